@@ -45,13 +45,13 @@ QUERIES = {
     "op8_mixing": op8_mixing,
 }
 
-_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLES = {
     "op4_quality_rules": rf"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents
 ), windows AS (
   SELECT doc_id, unnest(generate_series(1, len(w) - 2)) AS p, w FROM base WHERE len(w) > 2
@@ -63,7 +63,7 @@ WITH base AS (
   SELECT doc_id, count(DISTINCT p + o) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) AS v(o) GROUP BY doc_id
 ), m AS (
   SELECT b.doc_id, CAST(len(w) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(l) AS BIGINT) AS n_lines,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
@@ -87,7 +87,7 @@ WITH p AS (
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id <> f THEN f END AS refers_to,
-       'urn:uuid:' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-8' || h[18:20] || '-' || h[21:32] AS record_id
+       '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-8' || h[18:20] || '-' || h[21:32] || '>' AS record_id
 FROM (SELECT *, sha256('docketlens-record:' || CAST(page_id AS VARCHAR)) AS h FROM q)
 """,
 }
