@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lang_id, mixing, packing, quality, token_files, warc
+from . import jaccard, lang_id, mixing, packing, pii, quality, token_files, toxicity, warc
 from .common import table
 from .tokenizing import vocabulary
 
@@ -32,22 +32,58 @@ def op6_warc(spark, sf_dir):
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op7_personal_data(spark, sf_dir):
+    return pii.private(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
+    "op7_personal_data": op7_personal_data,
     "op8_mixing": op8_mixing,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_toxicity": op10_toxicity,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLES = {
+    "op9_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[p : p + 4], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS p FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
+""",
     "op4_quality_rules": rf"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
