@@ -7,7 +7,7 @@ rest is packed into sequences.
 
 from __future__ import annotations
 
-from docketlens.llm import mixing, packing, quality
+from docketlens.llm import jaccard, mixing, packing, pii, quality
 from docketlens.llm.common import scratch, table
 from docketlens.llm.tokenizing import vocabulary
 
@@ -17,6 +17,16 @@ def quality_rules(spark, docs, sf_dir):
     return quality.kept_documents(docs)
 
 
+def near_duplicates(spark, docs, sf_dir):
+    """The smallest id of each group of near duplicates."""
+    return jaccard.one_of_each(docs)
+
+
+def personal_data(spark, docs, sf_dir):
+    """Documents with personal data and what reveals it masked."""
+    return pii.sanitised_documents(docs)
+
+
 def mix_sources(spark, docs, sf_dir):
     """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
@@ -29,6 +39,8 @@ def pack_sequences(spark, docs, sf_dir):
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("personal data", personal_data),
     ("mixing sources to target weights", mix_sources),
     ("packing", pack_sequences),
 ]

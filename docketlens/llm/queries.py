@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard, lang_id, mixing, packing, pii, quality, token_files, toxicity, warc
+from . import ann, jaccard, lang_id, mixing, packing, pii, quality, token_files, toxicity, warc
 from .common import table
 from .tokenizing import vocabulary
 
@@ -13,6 +13,10 @@ def op1_language_id(spark, sf_dir):
     return lang_id.languages(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_files(spark, sf_dir):
     return token_files.token_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -50,6 +54,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
