@@ -86,7 +86,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
             "sort_array(filter(transform(_s, (x, i) -> CASE WHEN get(_s, i - 1).h = x.h OR get(_s, i + 1).h = x.h THEN x.p END), p -> p IS NOT NULL))"
         ).alias("_p"),
     )
-    return fourth.select(
+    measured = fourth.select(
         *keep,
         "n_words",
         "word_chars",
@@ -98,7 +98,11 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
         ).alias("n_repeat_words"),
         "n_lines",
         "n_caps",
+        F.rand(0).alias("_barrier"),
     )
+    # A later filter on a measurement must not be pushed below the steps above: it would
+    # inline their arrays into one another's lambdas.  Spark pushes none past a random column.
+    return measured.where("_barrier >= 0").drop("_barrier")
 
 
 def ledger(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
