@@ -1,4 +1,506 @@
-"""Every registered query of the engine and, where SQL can express it, its SQL."""
+"""Every registered query of the engine and, where SQL can express it, its SQL.
+
+The driver's tables stand in for dockets: customers are judges, nations are
+courts, orders are cases; users of ``events`` are cases too, and an event's
+type gives its docket text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import patterns as P
+from ..functions import text as T
+from ..operators import dockets, relational, resolve, sealed, statistics
+from ..sources.readers import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- stand-ins ---------------------------------------------------------------
+
+DECISIONS = """decisions AS (
+  SELECT o_orderkey AS case_id, o_custkey AS judge, n_name AS court, CAST(year(o_orderdate) AS INTEGER) AS yr,
+         CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END AS outcome,
+         CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS g
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+TEXTS = {
+    "signup": "MOTION for leave to proceed in forma pauperis",
+    "purchase": "ORDER granting motion to proceed in forma pauperis",
+    "error": "ORDER denying motion to proceed in forma pauperis",
+    "click": "NOTICE OF APPEAL",
+    "view": "MOTION to seal document",
+}
+ACTIONS = {"signup": "application", "purchase": "grant", "error": "deny", "click": "other"}
+_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TEXTS.items())
+LINES = f"""lines AS (
+  SELECT user_id AS case_id, event_id AS idx, ts, value, event_type, CASE event_type {_CASE} ELSE 'OTHER entry' END AS txt FROM events)"""
+
+
+def decisions(spark, d):
+    o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
+    joined = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    return joined.select(
+        F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("judge"), F.col("n_name").alias("court"), F.year("o_orderdate").alias("yr"),
+        F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", -1).otherwise(0).alias("outcome"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("g"),
+    )
+
+
+def lines(spark, d):
+    text = F.lit("OTHER entry")
+    for k, v in TEXTS.items():
+        text = F.when(F.col("event_type") == k, v).otherwise(text)
+    return table(spark, d, "events").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("idx"), "ts", "value", "event_type", text.alias("txt"))
+
+
+def rounded(df, *columns):
+    return df.select(*[F.round(c, 6).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+# --- statistics --------------------------------------------------------------
+
+
+@query(f"""WITH {DECISIONS}
+SELECT case_id, judge, outcome, count(*) OVER w AS case_total, count(*) FILTER (outcome <> 0) OVER w AS decision_total,
+       round(avg(CASE WHEN outcome = 1 THEN 1.0 ELSE 0.0 END) OVER w, 6) AS decision_average
+FROM decisions WINDOW w AS (PARTITION BY judge)""")
+def judge_totals(spark, d):
+    return rounded(statistics.totals(decisions(spark, d).select("case_id", "judge", "outcome"), ["judge"], "outcome"), "decision_average")
+
+
+@query(f"""WITH {DECISIONS}
+SELECT judge, yr, count(*) AS case_total, count(*) FILTER (outcome <> 0) AS decision_total, round(avg(CASE WHEN outcome = 1 THEN 1.0 ELSE 0.0 END), 6) AS decision_average
+FROM decisions GROUP BY judge, yr""")
+def judge_year_totals(spark, d):
+    out = decisions(spark, d).groupBy("judge", "yr").agg(
+        F.count("*").alias("case_total"), F.count_if(F.col("outcome") != 0).alias("decision_total"), F.avg((F.col("outcome") == 1).cast("double")).alias("decision_average")
+    )
+    return rounded(out, "decision_average")
+
+
+_MOMENTS = f"""{DECISIONS}, j AS (
+  SELECT court, judge, count(*) AS n, CAST(sum(g) AS DOUBLE) AS s FROM decisions GROUP BY court, judge
+), m AS (
+  SELECT *, sum(n) OVER c - n AS no, sum(s) OVER c - s AS so FROM j WINDOW c AS (PARTITION BY court)
+), v AS (
+  SELECT court, judge, n, no, s / n AS mj, so / nullif(no, 0) AS mo FROM m
+), x AS (
+  SELECT *, greatest(mj - mj * mj, 0) AS vj, greatest(mo - mo * mo, 0) AS vo FROM v
+)"""
+
+
+@query(f"""WITH {_MOMENTS}, y AS (SELECT *, vj / n AS a, vo / no AS b FROM x WHERE n > 5 AND no > 0)
+SELECT court, judge, CAST(n AS BIGINT) AS n_judge, CAST(no AS BIGINT) AS n_other, round(mj, 6) AS mean_judge, round(mo, 6) AS mean_other,
+       round(vj, 6) AS var_judge, round(vo, 6) AS var_other, round(mj - mo, 6) AS diff, round(sqrt(a + b), 6) AS se,
+       round((a + b) * (a + b) / nullif(a * a / (n - 1) + CASE WHEN no > 1 THEN b * b / (no - 1) ELSE 0 END, 0), 4) AS df
+FROM y""")
+def leave_one_out_diff(spark, d):
+    out = statistics.leave_one_out(decisions(spark, d), "judge", "court", "g")
+    return rounded(out, "mean_judge", "mean_other", "var_judge", "var_other", "diff", "se").withColumn("df", F.round("df", 4))
+
+
+@query()
+def welch_intervals(spark, d):
+    return statistics.welch_intervals(decisions(spark, d), "judge", "court", "g").select("court", "judge", "diff", "lb", "ub", "sig")
+
+
+@query(f"""WITH {_MOMENTS}
+SELECT court, judge, CAST(n AS BIGINT) AS n_judge, CAST(no AS BIGINT) AS n_other, round(mj - mo, 6) AS diff,
+       round(sqrt((vj * n + vo * no) / (n + no - 2) * (1.0 / n + 1.0 / no)), 6) AS se, CAST(n + no - 2 AS BIGINT) AS df
+FROM x WHERE no > 0 AND n + no > 2""")
+def pooled_ttest_diff(spark, d):
+    out = statistics.pooled(decisions(spark, d), "judge", "court", "g")
+    return rounded(out, "diff", "se").select("court", "judge", "n_judge", "n_other", "diff", "se", "df")
+
+
+@query(f"""WITH {_MOMENTS}, y AS (
+  SELECT court, n, CASE WHEN abs(mj - mo) > 1.959963984540054 * sqrt(vj / n + vo / no) THEN 1 ELSE 0 END AS sig FROM x WHERE n > 5 AND no > 0
+), u AS (SELECT court, sig, 'all' AS excl FROM y UNION ALL SELECT court, sig, 'over10' FROM y WHERE n > 10)
+SELECT court, excl, CAST(sum(sig) AS BIGINT) AS jsum, count(*) AS jcount, round(avg(sig), 6) AS jmean, avg(sig) > 0.05 AS is_sig FROM u GROUP BY court, excl""")
+def sig_lookup(spark, d):
+    one = statistics.leave_one_out(decisions(spark, d), "judge", "court", "g")
+    return rounded(statistics.significance_table([("all", one), ("over10", one.where("n_judge > 10"))], "court"), "jmean")
+
+
+@query("""WITH j AS (SELECT l_suppkey AS judge, count(*) AS n, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS rate FROM lineitem GROUP BY 1 HAVING count(*) >= 35)
+SELECT judge, n, round(rate, 6) AS rate, row_number() OVER (ORDER BY rate, judge) AS place, round(100.0 * row_number() OVER (ORDER BY rate, judge) / count(*) OVER (), 6) AS percentile FROM j""")
+def judge_percentile_rank(spark, d):
+    j = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("judge")).agg(F.count("*").alias("n"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("rate"))
+    return rounded(statistics.percentile_rank(j.where("n >= 35"), "rate", "judge"), "rate", "percentile")
+
+
+# --- docket lines ------------------------------------------------------------
+
+_OUT = "CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END"
+
+
+@query(f"""WITH {LINES}, o AS (SELECT case_id, idx, {_OUT} AS outcome FROM lines), r AS (
+  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY CASE outcome WHEN 1 THEN 0 WHEN -1 THEN 1 ELSE 4 END, idx) AS k FROM o)
+SELECT case_id, idx, outcome AS resolution FROM r WHERE k = 1""")
+def outcome_priority(spark, d):
+    return dockets.outcome_priority(lines(spark, d).withColumn("outcome", T.outcome(F.col("txt"))), "case_id", "idx", "outcome")
+
+
+def _statuses(spark, d):
+    action = F.lit(None).cast("string")
+    for k, v in ACTIONS.items():
+        action = F.when(F.col("event_type") == k, v).otherwise(action)
+    return lines(spark, d).withColumn("action", action).where("action IS NOT NULL").withColumn("kind", T.entry_type(F.col("txt")))
+
+
+@query(f"""WITH {LINES}, s AS (
+  SELECT case_id, idx, CASE event_type WHEN 'purchase' THEN 'grant' WHEN 'error' THEN 'deny' ELSE 'other' END AS action, txt FROM lines WHERE event_type IN ('purchase', 'error', 'click')
+), c AS (
+  SELECT *, (CASE WHEN txt LIKE 'ORDER%' THEN 1.0 ELSE 0 END) + (CASE WHEN idx = max(idx) OVER (PARTITION BY case_id) THEN 0.5 ELSE 0 END) + 1.0
+         + (CASE WHEN lower(txt) LIKE '%appeal%' THEN 0 ELSE 1.0 END) + (CASE action WHEN 'grant' THEN 1.5 WHEN 'deny' THEN 1.0 ELSE 0 END) AS score FROM s
+), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, idx) AS k FROM c)
+SELECT case_id, idx, action, CAST(score AS DOUBLE) AS score FROM r WHERE k = 1""")
+def status_score_argmax(spark, d):
+    return dockets.status_argmax(_statuses(spark, d), "case_id", "idx", "idx", "action", "kind", "txt").select("case_id", "idx", "action", "score")
+
+
+@query(f"""WITH {LINES}, w AS (SELECT case_id, idx AS s, idx + 500 AS e FROM lines WHERE event_type = 'click')
+SELECT l.case_id, l.idx, l.event_type FROM lines l WHERE l.event_type IN ('purchase', 'error') AND NOT EXISTS (SELECT 1 FROM w WHERE w.case_id = l.case_id AND w.s <= l.idx AND l.idx < w.e)""")
+def appeal_window_anti(spark, d):
+    all_ = lines(spark, d)
+    windows = all_.where("event_type = 'click'").select("case_id", F.col("idx").alias("start"), (F.col("idx") + 500).alias("end"))
+    return dockets.outside_windows(all_.where("event_type IN ('purchase', 'error')"), windows, "case_id", "idx").select("case_id", "idx", "event_type")
+
+
+@query(f"""WITH {LINES}, t AS (SELECT case_id, idx, event_type = 'error' AS t FROM lines), b AS (
+  SELECT *, coalesce(sum(CASE WHEN t THEN 1 ELSE 0 END) OVER (PARTITION BY case_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS own FROM t)
+SELECT case_id, idx, CAST(own AS BIGINT) AS block FROM b UNION ALL SELECT case_id, idx, CAST(own + 1 AS BIGINT) FROM b WHERE t""")
+def transfer_blocks(spark, d):
+    return dockets.transfer_blocks(lines(spark, d).select("case_id", "idx", "event_type"), "case_id", "idx", F.col("event_type") == "error").select("case_id", "idx", "block")
+
+
+@query(f"""WITH {LINES}, c AS (SELECT case_id, event_type, count(*) AS n FROM lines WHERE idx BETWEEN 1000 AND 5000 GROUP BY 1, 2), m AS (SELECT *, max(n) OVER (PARTITION BY case_id) AS x FROM c)
+SELECT case_id, CASE WHEN count(*) = 1 THEN min(event_type) END AS event_type, max(n) AS n FROM m WHERE n = x GROUP BY case_id""")
+def unique_mode_between(spark, d):
+    return dockets.unique_mode(lines(spark, d).where("idx BETWEEN 1000 AND 5000"), "case_id", "event_type")
+
+
+@query(f"""WITH {LINES}, c AS (SELECT case_id, event_type, count(*) AS n, min(idx) AS f FROM lines GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, f) AS k FROM c)
+SELECT case_id, event_type, n FROM r WHERE k = 1""")
+def first_seen_mode(spark, d):
+    return dockets.first_seen_mode(lines(spark, d), "case_id", "event_type", "idx")
+
+
+@query(f"""WITH {LINES}, a AS (SELECT case_id, idx FROM lines WHERE event_type = 'purchase'), v AS (SELECT case_id, idx, round(value, 6) AS value FROM lines WHERE event_type = 'view'), r AS (
+  SELECT a.case_id, a.idx, v.idx AS found_at, v.value, row_number() OVER (PARTITION BY a.case_id, a.idx ORDER BY CASE WHEN v.idx < a.idx THEN 0 ELSE 1 END, abs(v.idx - a.idx)) AS k
+  FROM a LEFT JOIN v ON a.case_id = v.case_id)
+SELECT case_id, idx, found_at, value FROM r WHERE k = 1""")
+def nearest_line_probe(spark, d):
+    all_ = lines(spark, d).withColumn("value", F.round("value", 6))
+    return dockets.nearest_line(all_.where("event_type = 'purchase'"), all_.where("event_type = 'view'"), "case_id", "idx", "value")
+
+
+@query(f"""WITH {LINES}, c AS (
+  SELECT case_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) END AS sole, min(CASE WHEN event_type = 'purchase' AND value > 300 THEN 'exact' END) AS exact_match,
+         min(CASE WHEN event_type = 'error' AND value > 100 THEN 'neighbour' END) AS near FROM lines GROUP BY case_id)
+SELECT case_id, coalesce(sole, exact_match, near) AS attributed, CASE WHEN sole IS NOT NULL THEN 'sole' WHEN exact_match IS NOT NULL THEN 'exact' WHEN near IS NOT NULL THEN 'near' ELSE 'not_found' END AS method FROM c""")
+def attribution_cascade(spark, d):
+    c = lines(spark, d).groupBy("case_id").agg(
+        F.when(F.countDistinct("event_type") == 1, F.min("event_type")).alias("sole"),
+        F.min(F.when((F.col("event_type") == "purchase") & (F.col("value") > 300), "exact")).alias("exact_match"),
+        F.min(F.when((F.col("event_type") == "error") & (F.col("value") > 100), "neighbour")).alias("near"),
+    )
+    return dockets.cascade(c, [("sole", "sole"), ("exact", "exact_match"), ("near", "near")]).select("case_id", "attributed", "method")
+
+
+@query(f"""WITH {LINES}, r AS (SELECT case_id, ts, max(round(value, 6)) AS label FROM lines WHERE event_type = 'signup' GROUP BY 1, 2)
+SELECT l.case_id, l.idx, (SELECT arg_max(r.label, r.ts) FROM r WHERE r.case_id = l.case_id AND r.ts <= l.ts) AS label FROM lines l WHERE l.event_type = 'purchase'""")
+def asof_label(spark, d):
+    all_ = lines(spark, d)
+    right = all_.where("event_type = 'signup'").select("case_id", "ts", F.round("value", 6).alias("label"))
+    left = all_.where("event_type = 'purchase'").select("case_id", "idx", "ts")
+    return dockets.asof(left, right, "case_id", "ts", "label").select("case_id", "idx", "label")
+
+
+def _alternation(group):
+    return "|".join(f"(?:{p})" for p in group).replace("'", "''")
+
+
+_OUTCOME_SQL = "CASE WHEN t LIKE '%order of service%' THEN 0 " + " ".join(f"WHEN regexp_matches(t, '{_alternation(g)}') THEN {v}" for v, g in P.OUTCOME_GROUPS.items()) + " ELSE 0 END"
+
+
+@query(f"""WITH {LINES}, u AS (SELECT idx, lower(txt) AS t FROM lines) SELECT idx, CAST({_OUTCOME_SQL} AS INTEGER) AS outcome FROM u""")
+def regex_outcome(spark, d):
+    return lines(spark, d).select("idx", T.outcome(F.col("txt")).alias("outcome"))
+
+
+@query(f"""WITH {LINES}, a AS (SELECT DISTINCT case_id FROM lines WHERE lower(txt) LIKE '%forma pauperis%' OR lower(txt) LIKE '%ifp%')
+SELECT case_id, idx, txt FROM lines SEMI JOIN a USING (case_id) WHERE lower(txt) LIKE '%forma pauperis%' OR lower(txt) LIKE '%ifp%' OR lower(txt) LIKE '%prepay%' OR lower(txt) LIKE '%1915%'""")
+def phrase_gate(spark, d):
+    return dockets.phrase_gate(lines(spark, d), "case_id", "txt").select("case_id", "idx", "txt")
+
+
+# --- sealing -----------------------------------------------------------------
+
+_FLAGS = ", ".join(f"regexp_matches(t, '{p}') AS {n}" for n, p in P.INDICATORS.items())
+
+
+@query(f"""WITH {LINES}, u AS (SELECT idx, lower(txt) AS t FROM lines) SELECT idx, {_FLAGS} FROM u""")
+def indicator_matrix(spark, d):
+    return sealed.matrix(lines(spark, d), "txt", ["idx"]).drop("text")
+
+
+def _tidy_sql() -> str:
+    full = {f: f"({f} OR ({f}_p AND NOT part_grant_deny))" for f in ("seal_grant", "seal_deny", "unseal_grant", "unseal_deny")}
+    flags = [*P.INDICATORS, "sealed_without_motion", "unseal_grant_deny", "seal_grant_deny"]
+    others = lambda skip: " OR ".join(n for n in flags if n != skip)
+    changed = ("seal_grant", "seal_deny", "unseal_grant", "unseal_deny")
+    keep = [n for n in P.INDICATORS if n not in changed]
+    kept = [n for n in flags if not n.endswith("_p") and n not in ("system_entry", "parenthesis", "part_grant_deny")]
+    return f"""WITH {LINES}, u AS (SELECT idx, lower(txt) AS t FROM lines), m AS (SELECT idx, t, {_FLAGS} FROM u), n AS (
+  SELECT *, system_entry OR parenthesis AS sealed_without_motion, part_grant_deny AND contains(t, 'unseal') AS unseal_grant_deny, part_grant_deny AND NOT contains(t, 'unseal') AS seal_grant_deny FROM m
+), o AS (SELECT idx, t, {', '.join(keep)}, sealed_without_motion, unseal_grant_deny, seal_grant_deny,
+  {full['unseal_grant']} OR (contains(t, 'granted') AND contains(t, 'unseal') AND NOT unseal_grant_deny) AS unseal_grant,
+  {full['seal_grant']} OR (contains(t, 'granted') AND NOT contains(t, 'unseal') AND NOT seal_grant_deny) AS seal_grant,
+  {full['unseal_deny']} OR (contains(t, 'denied') AND contains(t, 'unseal') AND NOT unseal_grant_deny AND NOT contains(t, 'if there are sealed')) AS unseal_deny,
+  {full['seal_deny']} OR (contains(t, 'denied') AND NOT contains(t, 'unseal') AND NOT unseal_grant_deny) AS seal_deny FROM n
+), p AS (SELECT * REPLACE (seal_motion AND NOT ({others('seal_motion')}) AS seal_motion) FROM o
+), q AS (SELECT * REPLACE (unseal_motion AND NOT ({others('unseal_motion')}) AS unseal_motion) FROM p)
+SELECT idx, {', '.join(kept)} FROM q"""
+
+
+@query(_tidy_sql())
+def indicator_tidy(spark, d):
+    return sealed.tidy(sealed.matrix(lines(spark, d), "txt", ["idx"])).drop("text")
+
+
+@query("""SELECT n_name AS court, count(DISTINCT l_orderkey) AS case_count, count(*) AS docket_lines, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS sealed_article,
+  CAST(sum(CASE WHEN l_linestatus = 'F' AND l_quantity > 49 THEN 1 ELSE 0 END) AS BIGINT) AS seal_motion,
+  round(sum(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN l_linestatus = 'F' AND l_quantity > 49 THEN 1.0 ELSE 0 END), 0), 6) AS ratio
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""")
+def sealed_quotient(spark, d):
+    li, s, n = table(spark, d, "lineitem"), table(spark, d, "supplier"), table(spark, d, "nation")
+    rows = li.join(s, li["l_suppkey"] == s["s_suppkey"]).join(n, s["s_nationkey"] == n["n_nationkey"]).select(
+        F.col("n_name").alias("court"), F.col("l_orderkey").alias("ucid"), (F.col("l_returnflag") == "R").alias("article"), ((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 49)).alias("motion")
+    )
+    return rounded(sealed.quotients(rows, "court", "ucid", "article", "motion"), "ratio")
+
+
+@query("""SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(max(l_shipdate) AS DATE)) AS INTEGER) AS days FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate""")
+def case_duration(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("start"), F.lit(None).cast("timestamp").alias("end"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    return dockets.durations(o, li, "o_orderkey", "start", "end", "l_shipdate")
+
+
+@query(f"""WITH {LINES}, f AS (SELECT *, min(CASE WHEN event_type = 'error' THEN idx END) OVER (PARTITION BY case_id) AS first FROM lines)
+SELECT case_id, idx, CASE WHEN first IS NULL THEN 'none' WHEN idx < first THEN 'before' WHEN idx = first THEN 'protective' ELSE 'after' END AS timeframe FROM f""")
+def protective_timeframe(spark, d):
+    flagged = lines(spark, d).withColumn("flag", F.col("event_type") == "error")
+    return sealed.timeframe(flagged, "case_id", "idx", "flag").select("case_id", "idx", "timeframe")
+
+
+# --- names and entities ------------------------------------------------------
+
+_PREFIXES = ["Bankruptcy Judge ", "signed by U.S. District Judge ", "MAGISTRATE JUDGE ", "Hon. ", "filed by ", "Circuit Judge "]
+_PREFIX_SQL = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PREFIXES)) + " END || p_name"
+_CATEGORY_SQL = "CASE " + " ".join(
+    f"WHEN regexp_matches(lower(t), '(^|[^a-z0-9_])({'|'.join(w.replace('.', chr(92) + '.') for w in words)})([^a-z0-9_]|$)') THEN '{n}'" for n, words in P.PREFIX_CATEGORIES.items()
+) + " ELSE 'No_Keywords' END"
+MENTIONS = f"mentions AS (SELECT p_partkey AS case_id, p_name AS name, p_brand AS court, {_PREFIX_SQL} AS t FROM part), tagged AS (SELECT *, {_CATEGORY_SQL} AS category FROM mentions)"
+
+
+def mentions(spark, d):
+    prefix = F.element_at(F.array(*[F.lit(p) for p in _PREFIXES]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("case_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("court"), F.concat(prefix, "p_name").alias("t")).withColumn(
+        "category", T.prefix_category(F.col("t"))
+    )
+
+
+@query(f"WITH {MENTIONS} SELECT case_id, t, category FROM tagged")
+def prefix_category(spark, d):
+    return mentions(spark, d).select("case_id", "t", "category")
+
+
+_CLEAN = "lower(t)"
+for _p, _n in [
+    (r"\b(the )?(honorable|hon|judge|justice|magistrate|chief|senior|district|us|u\.s\.)\b\.?", " "), (r"[^a-z ,''-]", " "), (r"''s\b", ""), (r",? (jr|junior)\b\.?", " jr"), (r",? (sr|senior)\b\.?", " sr"), ("[,]", " "), (r"\s+", " "),
+]:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_n}', 'g')"
+
+
+@query(f"WITH {MENTIONS} SELECT case_id, trim({_CLEAN}) AS clean FROM tagged")
+def name_clean(spark, d):
+    return mentions(spark, d).select("case_id", T.clean_name(F.col("t")).alias("clean"))
+
+
+@query(f"""WITH {MENTIONS}, a AS (SELECT name, court, count(DISTINCT case_id) AS n_entries FROM tagged WHERE case_id % 3 = 0 GROUP BY 1, 2), b AS (SELECT name, court, count(DISTINCT case_id) AS n_headers FROM tagged WHERE case_id % 3 = 1 GROUP BY 1, 2)
+SELECT coalesce(a.name, b.name) AS name, coalesce(a.court, b.court) AS court, coalesce(n_entries, 0) AS n_entries, coalesce(n_headers, 0) AS n_headers FROM a FULL JOIN b ON a.name = b.name AND a.court = b.court""")
+def ucid_counts_full_outer(spark, d):
+    m = mentions(spark, d)
+    return relational.counts_full_outer(m.where("case_id % 3 = 0"), m.where("case_id % 3 = 1"), ["name", "court"], "case_id")
+
+
+CATEGORIES = [*P.PREFIX_CATEGORIES, "No_Keywords"]
+_PIVOT = ", ".join(f"count(DISTINCT CASE WHEN category = '{c}' THEN case_id END) AS {c}" for c in CATEGORIES)
+
+
+@query(f"WITH {MENTIONS} SELECT name, {_PIVOT} FROM tagged GROUP BY name")
+def category_pivot(spark, d):
+    return relational.category_pivot(mentions(spark, d), "name", "category", "case_id", CATEGORIES)
+
+
+def _ladder_sql() -> str:
+    share = {c: f"(100.0 * {c} / nullif(tot, 0))" for c in CATEGORIES}
+    ranked, weak = ["Magistrate_Judge", "District_Judge", "Bankruptcy_Judge"], ["Nondescript_Judge", "No_Keywords", "Judicial_Actor"]
+    floor = lambda c: " AND total > 3" if c == "District_Judge" else ""
+    out = ["WHEN total <= 3 AND head = 0 THEN 'deny - low occurence'", f"WHEN {share['No_Keywords']} = 100 THEN 'deny - Junk'"]
+    out += [f"WHEN {share[c]} = 100 THEN '{c}'" for c in CATEGORIES]
+    out += ["WHEN " + " AND ".join(f"{o} = 0" for o in CATEGORIES if o != c and o not in weak) + f"{floor(c)} THEN '{c}'" for c in ranked]
+    out += [f"WHEN {share[c]} >= 50{floor(c)} THEN '{c}'" for c in ranked]
+    out += [f"WHEN {share[c]} >= 25 AND " + " AND ".join(f"{share[o]} < 25" for o in ranked if o != c) + f"{floor(c)} THEN '{c}'" for c in ranked]
+    return f"""WITH {MENTIONS}, k AS (SELECT name || '/' || court AS entity, case_id, category FROM tagged), p AS (
+  SELECT entity, {_PIVOT.replace('name', 'entity')}, count(DISTINCT case_id) AS total, count(DISTINCT CASE WHEN case_id % 4 = 0 THEN case_id END) AS head FROM k GROUP BY entity
+), s AS (SELECT *, {' + '.join(CATEGORIES)} AS tot FROM p)
+SELECT entity, total, head, CASE {' '.join(out)} ELSE 'Nondescript_Judge' END AS label FROM s"""
+
+
+@query(_ladder_sql())
+def label_ladder(spark, d):
+    m = mentions(spark, d).withColumn("entity", F.concat_ws("/", "name", "court"))
+    pivot = relational.category_pivot(m, "entity", "category", "case_id", CATEGORIES)
+    totals = m.groupBy("entity").agg(F.countDistinct("case_id").alias("total"), F.countDistinct(F.when(F.col("case_id") % 4 == 0, F.col("case_id"))).alias("head"))
+    return relational.label_ladder(pivot.join(totals, "entity"), "total", "head", CATEGORIES).select("entity", "total", "head", "label")
+
+
+@query(f"""WITH {MENTIONS} SELECT case_id, name, court FROM tagged SEMI JOIN (SELECT name, court FROM tagged GROUP BY 1, 2 HAVING count(DISTINCT case_id) > 2) AS x USING (name, court)""")
+def frequency_ignore(spark, d):
+    return relational.frequent(mentions(spark, d), ["name", "court"], "case_id", 2).select("case_id", "name", "court")
+
+
+@query(f"""WITH {MENTIONS}, p AS (SELECT DISTINCT court AS pc, name AS pn FROM tagged WHERE case_id % 5 = 0) SELECT case_id, name, court FROM tagged WHERE NOT EXISTS (SELECT 1 FROM p WHERE pc = court AND pn = name)""")
+def party_anti_join(spark, d):
+    m = mentions(spark, d)
+    parties = m.where("case_id % 5 = 0").select("court", F.col("name").alias("party"))
+    return resolve.drop_parties(m, parties, "court", "name", "party", least=100).select("case_id", "name", "court")
+
+
+_WORDS = "words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS n FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 7 = 0)"
+
+
+@query(f"""WITH {_WORDS} SELECT a.n AS name, CASE WHEN count(b.n) = 1 THEN min(b.n) ELSE a.n END AS resolved FROM words a LEFT JOIN words b ON length(b.n) > length(a.n) AND contains(b.n, a.n) GROUP BY a.n""")
+def substring_unique_match(spark, d):
+    part = table(spark, d, "part")
+    names = part.select(F.explode(F.split("p_name", " ")).alias("name")).union(part.where("p_partkey % 7 = 0").select("p_name"))
+    return relational.unique_container(names, "name")
+
+
+def _name_nodes(spark, d):
+    return resolve.ordered(table(spark, d, "part").select(F.lit("all").alias("scope"), F.col("p_name").alias("name")).distinct(), "scope", "name")
+
+
+@query()
+def token_subset_pairs(spark, d):
+    part = table(spark, d, "part")
+    short = part.select(F.lit("all").alias("scope"), F.regexp_replace("p_name", r"^(\w)\w* ", "$1 ").alias("name"))
+    nodes = resolve.ordered(short.union(part.select(F.lit("all"), "p_name")).distinct(), "scope", "name")
+    return resolve.token_edges(resolve.blocked_pairs(nodes, "scope", "name"), "scope")
+
+
+@query()
+def fuzzy_pairs(spark, d):
+    return resolve.fuzzy_edges(resolve.blocked_pairs(_name_nodes(spark, d), "scope", "name"), "scope", "ratio", 75)
+
+
+@query()
+def resolve_within_group(spark, d):
+    return resolve.resolve(mentions(spark, d), "court", "name", "case_id")
+
+
+@query()
+def tag_new_cases(spark, d):
+    m = mentions(spark, d)
+    known = relational.assign_ids(m.where("case_id % 2 = 0").select("name").distinct(), ["name"])
+    new = m.where("case_id % 2 = 1").select("case_id", F.regexp_replace("name", r"^(\w)\w* ", "$1 ").alias("name"))
+    return resolve.tag(new, known, "name", "name", "sjid")
+
+
+@query("""SELECT name, 'SJ' || lpad(CAST(row_number() OVER (ORDER BY name) - 1 + 100 AS VARCHAR), 6, '0') AS sjid FROM (SELECT DISTINCT p_name AS name FROM part)""")
+def sjid_assign(spark, d):
+    return relational.assign_ids(table(spark, d, "part").select(F.col("p_name").alias("name")).distinct(), ["name"], start=100)
+
+
+@query("""WITH n AS (SELECT c_custkey AS k, c_nationkey AS j, 'new' AS label FROM customer WHERE c_custkey % 3 = 0)
+SELECT c_custkey, c_nationkey, coalesce(n.label, c_mktsegment) AS label FROM customer LEFT JOIN n ON c_custkey IS NOT DISTINCT FROM k AND c_nationkey IS NOT DISTINCT FROM j""")
+def upsert_by_key(spark, d):
+    old = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("label"))
+    new = old.where("c_custkey % 3 = 0").select("c_custkey", "c_nationkey", F.lit("new").alias("label"))
+    return relational.upsert(old, new, ["c_custkey", "c_nationkey"], ["label"])
+
+
+@query("""SELECT p_partkey, 1 AS number, p_brand AS title, p_type AS place FROM part UNION ALL SELECT p_partkey, 2, CASE WHEN p_size > 25 THEN p_name END, CASE WHEN p_size > 25 THEN p_brand END FROM part WHERE p_size > 25""")
+def appointments_unpivot(spark, d):
+    wide = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("t1"), F.col("p_type").alias("l1"), F.when(F.col("p_size") > 25, F.col("p_name")).alias("t2"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("l2"))
+    return relational.unpivot_appointments(wide, ["p_partkey"], {1: ["t1", "l1"], 2: ["t2", "l2"]}, ["title", "place"])
+
+
+_RANKS = " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(P.LABEL_RANK))
+
+
+@query(f"""WITH {MENTIONS}, p AS (SELECT a.case_id, a.category AS old, b.category AS new FROM tagged a LEFT JOIN tagged b ON b.case_id = a.case_id + 1)
+SELECT case_id, CASE WHEN new IS NULL OR (CASE old {_RANKS} ELSE 8 END) <= (CASE new {_RANKS} ELSE 8 END) THEN old ELSE new END AS label FROM p""")
+def rank_order_label(spark, d):
+    m = mentions(spark, d).select("case_id", F.col("category").alias("old"))
+    n = m.select((F.col("case_id") - 1).alias("k"), F.col("old").alias("new"))
+    return m.join(n, F.col("case_id") == F.col("k"), "left").select("case_id", relational.better_label("old", "new").alias("label"))
+
+
+# --- relational basics -------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1) SELECT c_custkey FROM customer LEFT JOIN t ON c_custkey = o_custkey WHERE last IS NULL OR last >= TIMESTAMP '2000-01-01'""")
+def active_filter(spark, d):
+    last = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
+    return table(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").where("last IS NULL OR last >= TIMESTAMP '2000-01-01'").select("c_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def semi_isin(spark, d):
+    return table(spark, d, "orders").join(table(spark, d, "customer").where("c_acctbal < 0"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def anti_notin(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT c_name AS name, 'customer' AS kind FROM customer UNION ALL SELECT s_name, 'supplier' FROM supplier")
+def union_all(spark, d):
+    return table(spark, d, "customer").select(F.col("c_name").alias("name"), F.lit("customer").alias("kind")).unionByName(table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("supplier").alias("kind")))
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus, CAST(year(l_shipdate) AS INTEGER) AS yr FROM lineitem")
+def distinct_rows(spark, d):
+    return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("yr")).distinct()
+
+
+@query()
+def events_tag_stream(spark, d):
+    """The events as a stream, tagged with their user's first type, until all are read."""
+    from ..streaming.tagging import tagged_stream
+
+    events = table(spark, d, "events")
+    known = events.groupBy(F.col("user_id").alias("user")).agg(F.min_by("event_type", "event_id").alias("label"))
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    name = f"tagged_{abs(hash(d))}"
+    out = tagged_stream(stream.select("event_id", F.col("user_id").alias("user")), known, "user", "label")
+    out.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
