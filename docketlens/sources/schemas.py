@@ -1,10 +1,8 @@
-"""Declared schemas of the inputs and outputs."""
+"""Declared schemas of the inputs and outputs, as DDL (no session needed to import them)."""
 
-from pyspark.sql.types import StructType
 
-
-def _ddl(text: str) -> StructType:
-    return StructType.fromDDL(" ".join(text.split()))
+def _ddl(text: str) -> str:
+    return " ".join(text.split())
 
 
 CASE = _ddl("""ucid string, case_id string, case_type string, court string, download_court string, judge string,
