@@ -17,6 +17,19 @@ def phrase_gate(lines: DataFrame, case: str, text: str, basic: list[str] | None
     return lines.where(contains_any(F.col(text), every)).join(admitted, case, "left_semi")
 
 
+def valid_docket(first_text, any_line):
+    """A docket that records no mistake: ``any_line(word)`` says whether any line has it."""
+    ok = ~F.coalesce(first_text.contains("EXECUTIVE COMMITTEE ORDER") | first_text.contains("in error") | first_text.contains("shall not be used for any other proceeding"), F.lit(False))
+    return ok & ~any_line("clerical error")
+
+
+def wrong_assignment(lines: DataFrame, case: str, text: str) -> DataFrame:
+    """Cases with ``wrong``: a line says that the case was assigned or entered by mistake."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    hit = (t.contains("assigned") & t.contains("in error")) | t.contains("clerical error") | t.contains("shall not be used for any other proceeding")
+    return lines.groupBy(case).agg(F.bool_or(hit).alias("wrong"))
+
+
 def outcome_priority(lines: DataFrame, case: str, index: str, outcome: str, order: list[int] | None = None) -> DataFrame:
     """Of each case the first line of its best outcome; without one, its first line with outcome 0."""
     order = order or P.OUTCOME_PRIORITY

@@ -62,6 +62,78 @@ def token_edges(pairs: DataFrame, scope: str, rule: int = 2) -> DataFrame:
     return pairs.where(token_subset(F.col("a"), F.col("b"))).select(scope, F.lit(rule).alias("rule"), "a_ord", "b_ord")
 
 
+def _last(name):
+    """The surname: the last word that is no suffix."""
+    t = F.filter(tokens(name), lambda w: ~w.isin("jr", "sr", "ii", "iii", "iv"))
+    return F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(""))
+
+
+def _first(name):
+    return F.coalesce(F.get(tokens(name), F.lit(0)), F.lit(""))
+
+
+def initialism_edges(pairs: DataFrame, scope: str, rule: int = 3) -> DataFrame:
+    """``Xxx M K`` against a name of three words or more with that first word, whose next two words
+    (or the two after the second) begin with the initials."""
+    def fits(short, long):
+        x, y = tokens(F.col(short)), tokens(F.col(long))
+        begins = lambda i, j: F.substring(F.get(y, F.lit(j)), 1, 1) == F.substring(F.get(x, F.lit(i)), 1, 1)
+        shaped = (F.size(x) == 3) & (F.length(F.get(x, F.lit(2))) == 1) & (F.length(F.get(x, F.lit(1))) == 1) & (F.length(F.get(x, F.lit(0))) > 2)
+        return shaped & (F.size(y) >= 3) & (F.get(x, F.lit(0)) == F.get(y, F.lit(0))) & ((begins(1, 1) & begins(2, 2)) | (begins(1, 2) & begins(2, 3)))
+
+    hit = F.coalesce(fits("a", "b"), F.lit(False)) | F.coalesce(fits("b", "a"), F.lit(False))
+    return pairs.where(hit).select(scope, F.lit(rule).alias("rule"), "a_ord", "b_ord")
+
+
+def single_word_edges(pairs: DataFrame, scope: str, rule: int = 4) -> DataFrame:
+    """Two lone surnames that differ by a possessive s, or are close anagrams."""
+    a, b = F.lower("a"), F.lower("b")
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    lone = (F.size(tokens(F.col("a"))) == 1) & (F.size(tokens(F.col("b"))) == 1)
+    possessive = (a == F.concat(b, F.lit("s"))) | (b == F.concat(a, F.lit("s")))
+    anagram = (letters(a) == letters(b)) & (similarity("ratio", a, b) > 80)
+    return pairs.where(lone).where(possessive | anagram).select(scope, F.lit(rule).alias("rule"), "a_ord", "b_ord")
+
+
+def first_last_edges(pairs: DataFrame, scope: str, least: int = 85, rule: int = 5) -> DataFrame:
+    """First words and surnames both close, unless both names have a middle word and its initials differ."""
+    x, y = tokens(F.col("a")), tokens(F.col("b"))
+    veto = (F.size(x) >= 3) & (F.size(y) >= 3) & (F.substring(F.get(x, F.lit(1)), 1, 1) != F.substring(F.get(y, F.lit(1)), 1, 1))
+    many = pairs.where((F.size(x) > 1) & (F.size(y) > 1)).where(~F.coalesce(veto, F.lit(False)))
+    close = (similarity("ratio", _first(F.col("a")), _first(F.col("b"))) >= least) & (similarity("ratio", _last(F.col("a")), _last(F.col("b"))) >= least)
+    return many.where(close).select(scope, F.lit(rule).alias("rule"), "a_ord", "b_ord")
+
+
+def token_sort_edges(pairs: DataFrame, scope: str, least: int = 98, rule: int = 6) -> DataFrame:
+    """Names of three words or more that are the same words in another order."""
+    long = pairs.where((F.size(tokens(F.col("a"))) >= 3) & (F.size(tokens(F.col("b"))) >= 3))
+    return long.where(similarity("token_sort_ratio", F.col("a"), F.col("b")) >= least).select(scope, F.lit(rule).alias("rule"), "a_ord", "b_ord")
+
+
+def fused(name):
+    """``van x`` and the like as one word."""
+    return F.regexp_replace(F.lower(name), r"\b(van|von|de|di|la|mc|o) (\w)", "$1$2")
+
+
+def fused_edges(pairs: DataFrame, scope: str, least: int = 90, rule: int = 7) -> DataFrame:
+    """Equal first words, and surnames that are close once particles are fused."""
+    a, b = fused(F.col("a")), fused(F.col("b"))
+    particle = (a != F.lower("a")) | (b != F.lower("b"))
+    return pairs.where(particle & (_first(a) == _first(b)) & (similarity("ratio", _last(a), _last(b)) >= least)).select(scope, F.lit(rule).alias("rule"), "a_ord", "b_ord")
+
+
+#: Rules in the order in which the fold applies them.
+RULES = [fuzzy_edges, token_edges, initialism_edges, single_word_edges, first_last_edges, token_sort_edges, fused_edges]
+
+
+def all_edges(pairs: DataFrame, scope: str) -> DataFrame:
+    out = None
+    for rule in RULES:
+        part = rule(pairs, scope)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def fold(nodes: DataFrame, edges: DataFrame, scope: str, name: str, weight: str) -> DataFrame:
     """``scope, name, points_to``: the name that absorbed it in the end.
 
@@ -96,11 +168,11 @@ def fold(nodes: DataFrame, edges: DataFrame, scope: str, name: str, weight: str)
     return nodes.groupBy(scope).cogroup(edges.groupBy(scope)).applyInPandas(run, schema)
 
 
-def resolve(mentions: DataFrame, scope: str, name: str, case: str, least: int = 93) -> DataFrame:
-    """Names of each scope resolved by closeness, then by ordered words."""
+def resolve(mentions: DataFrame, scope: str, name: str, case: str, least: int = 93, rules: str = "plain") -> DataFrame:
+    """Names of each scope resolved by closeness, then by ordered words; ``rules="all"`` adds the others."""
     nodes = ordered(mentions.where(F.col(name).isNotNull() & F.col(scope).isNotNull()).groupBy(scope, name).agg(F.countDistinct(case).alias("weight")), scope, name)
     pairs = blocked_pairs(nodes, scope, name)
-    edges = fuzzy_edges(pairs, scope, "ratio", least, 1).unionByName(token_edges(pairs, scope, 2))
+    edges = all_edges(pairs, scope) if rules == "all" else fuzzy_edges(pairs, scope, "ratio", least, 1).unionByName(token_edges(pairs, scope, 2))
     return fold(nodes, edges, scope, name, "weight")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import dockets, relational, resolve, sealed, statistics
+from ..operators import dockets, ground_truth, relational, resolve, sealed, statistics
 from ..sources.readers import table
 
 QUERIES: dict = {}
@@ -425,6 +425,29 @@ def resolve_within_group(spark, d):
     return resolve.resolve(mentions(spark, d), "court", "name", "case_id")
 
 
+@query()
+def resolve_all_rules(spark, d):
+    return resolve.resolve(mentions(spark, d).withColumn("name", F.regexp_replace("name", r"^(\w)\w* ", "$1 ")), "court", "name", "case_id", rules="all")
+
+
+@query(f"""WITH {LINES}, h AS (SELECT DISTINCT case_id AS sjid, ts AS start, CASE WHEN event_id % 2 = 0 THEN 'Article III' ELSE 'Bankruptcy-Magistrate' END AS source FROM (SELECT case_id, ts, idx AS event_id FROM lines WHERE event_type = 'signup'))
+SELECT l.case_id AS sjid, l.idx, CASE arg_max(h.source, (h.start, h.source)) WHEN 'Article III' THEN 'District Judge' WHEN 'Bankruptcy-Magistrate' THEN 'Magistrate Judge' ELSE 'some label' END AS label_at_date
+FROM lines l LEFT JOIN h ON h.sjid = l.case_id AND h.start <= l.ts WHERE l.event_type = 'purchase' GROUP BY l.case_id, l.idx""")
+def back_annotation(spark, d):
+    all_ = lines(spark, d)
+    held = all_.where("event_type = 'signup'").select(F.col("case_id").alias("sjid"), F.col("ts").alias("start"), F.when(F.col("idx") % 2 == 0, "Article III").otherwise("Bankruptcy-Magistrate").alias("source"), F.lit("U.S. District Court").alias("court_type"))
+    m = all_.where("event_type = 'purchase'").select(F.col("case_id").alias("sjid"), "idx", F.col("ts").alias("date"))
+    own = all_.select(F.col("case_id").alias("sjid"), F.lit("some_label").alias("label")).distinct()
+    return ground_truth.back_annotate(m, held, own).select("sjid", "idx", "label_at_date")
+
+
+@query(f"""WITH {LINES} SELECT case_id, bool_or((contains(txt, 'assigned') AND contains(txt, 'in error')) OR contains(txt, 'clerical error') OR contains(txt, 'shall not be used for any other proceeding')) AS wrong
+FROM (SELECT case_id, CASE WHEN idx % 97 = 0 THEN txt || ' assigned in error' ELSE txt END AS txt FROM lines) GROUP BY case_id""")
+def wrong_assignment(spark, d):
+    marked = lines(spark, d).withColumn("txt", F.when(F.col("idx") % 97 == 0, F.concat("txt", F.lit(" assigned in error"))).otherwise(F.col("txt")))
+    return dockets.wrong_assignment(marked, "case_id", "txt")
+
+
 @query()
 def tag_new_cases(spark, d):
     m = mentions(spark, d)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketlens.functions import fuzzy, student
 from docketlens.functions import text as T
-from docketlens.operators import dockets, relational, resolve, sealed, statistics
+from docketlens.operators import dockets, ground_truth, relational, resolve, sealed, statistics
 
 
 def rows(df):
@@ -100,3 +100,29 @@ def test_percentile_rank_ties(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "judge int, court string, g int")
     assert statistics.leave_one_out(none, "judge", "court", "g").count() == 0
+
+
+def pair(spark, a, b):
+    return spark.createDataFrame([("s", 1, a, 2, b)], "scope string, a_ord int, a string, b_ord int, b string")
+
+
+def test_rules(spark):
+    hits = lambda rule, a, b: rule(pair(spark, a, b), "scope").count() == 1
+    assert hits(resolve.initialism_edges, "karen m k", "karen mary kline") and not hits(resolve.initialism_edges, "karen m k", "karen jane kline")
+    assert hits(resolve.single_word_edges, "smith", "smiths") and not hits(resolve.single_word_edges, "smith", "jones")
+    assert hits(resolve.first_last_edges, "jon smith", "john smith") and not hits(resolve.first_last_edges, "karen j williams", "karen m williams")
+    assert hits(resolve.token_sort_edges, "lewis wilma a", "wilma a lewis") and not hits(resolve.token_sort_edges, "lewis a", "a lewis")
+    assert hits(resolve.fused_edges, "john van dyke", "john vandyke")
+
+
+def test_appointments_fill_dates(spark):
+    cols = [f"{c} ({i})" for i in (1, 2) for c in ground_truth.APPOINTMENT]
+    schema = "nid string, FullName string, " + ", ".join(f"`{c}` string" for c in cols)
+    df = spark.createDataFrame([("1", "A B", "t", "court x", "judge", None, "01/02/1990", "1999-05-06", "t", "court y", "judge", None, None, None)], schema)
+    out = ground_truth.appointments(df, "2020-07-01", numbers=2).orderBy("number").collect()
+    assert [(str(r.commission_date), str(r.termination_date)) for r in out] == [("1990-01-02", "1999-05-06"), ("2020-01-01", "2020-07-01")]
+
+
+def test_positions(spark):
+    df = spark.createDataFrame([("1bnk", "Judge", "U.S. Bankruptcy Court"), ("2", "Clerk", "U.S. District Court"), ("3", "Judge", "U.S. Court of Appeals"), ("4", None, None)], "JUDGE_ID string, TITLE string, INSTITUTION string")
+    assert [r.JUDGE_ID for r in ground_truth.positions(df).collect()] == ["1bnk"]
