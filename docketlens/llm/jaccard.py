@@ -38,6 +38,8 @@ WORDS = 5
 SKETCH, PIECE = 1 << 20, 1 << 14
 #: A list that the sketch puts above this is split into lists of about this many.
 LONG_LIST = 4096
+#: Sets in a list from which pairs are formed at their first common shingle only.
+LONG_PAIRS = 16
 #: Ids (8 bytes each) up to which a list of documents is broadcast; beyond, it is joined.
 BROADCAST_IDS = 1_000_000
 
@@ -294,8 +296,31 @@ def components(links: DataFrame) -> DataFrame:
 def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of lists that still hold different components: ``gram, x, label``."""
     told = shared.join(labels, F.col("x.rep") == F.col("node"), "left").select("gram", "x", F.coalesce("root", "x.rep").alias("label"))
-    mixed = told.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("gram")
-    return told.join(mixed, "gram", "left_semi")
+    mixed = told.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).where("l <> h").select("gram", "size")
+    return told.join(mixed, "gram")
+
+
+def _remaining(left: DataFrame, shared: DataFrame) -> DataFrame:
+    """All filtered pairs of different components that share a list.
+
+    Two sets that share many long lists would meet in each of them.  In a long
+    list they meet only if none of their earlier shingles is common: a similar
+    pair passes the filters at its first common shingle, so this loses none.
+    """
+    join = "gram = g AND x < y AND label <> m AND 4 * x.n >= 3 * y.n"
+    other = [F.col("gram").alias("g"), F.col("x").alias("y"), F.col("label").alias("m")]
+    short = left.where(F.col("size") < LONG_PAIRS)
+    pairs = _pairs(short.join(short.select(*other), F.expr(join)).select("x", "y"))
+    long = left.where(F.col("size") >= LONG_PAIRS)
+    reps = long.select(F.col("x.rep").alias("_r")).distinct()
+    grams = shared.select(F.col("x.rep").alias("r"), F.struct("x.pos", "gram").alias("p")).join(reps, F.col("r") == F.col("_r"), "left_semi")
+    grams = grams.groupBy("r").agg(F.collect_list("p").alias("all"))
+    long = stored(
+        long.join(grams, F.col("x.rep") == F.col("r")).select("gram", "x", "label", F.expr("transform(filter(all, p -> p.pos < x.pos), p -> p.gram)").alias("early")),
+        "jaccard-long",
+    )
+    again = F.expr(f"{join} AND NOT arrays_overlap(early, f)")
+    return pairs.unionByName(_pairs(long.join(long.select(*other, F.col("early").alias("f")), again).select("x", "y"))).distinct()
 
 
 def _more(links: DataFrame, labels: DataFrame, pairs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
@@ -338,9 +363,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links, labels, changed = _more(links, labels, again, docs)
     left = stored(_labelled(shared, labels), "jaccard-left") if changed else left
     # All pairs of different components that are left.
-    right = left.select(F.col("gram").alias("g"), F.col("x").alias("y"), F.col("label").alias("m"))
-    rest = _pairs(left.join(right, F.expr("gram = g AND x < y AND label <> m AND 4 * x.n >= 3 * y.n")).select("x", "y"))
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "jaccard-pairs")
+    rest = stored(_remaining(left, shared).join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "jaccard-pairs")
     links, labels, _ = _more(links, labels, rest, docs)
     labels = stored(labels, "jaccard-components")
     keyed = classes.select("rep", F.col("n").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"))
