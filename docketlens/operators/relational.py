@@ -71,6 +71,14 @@ def assign_ids(new: DataFrame, order: list[str], start: int = 0, prefix: str = "
     return new.withColumn("sjid", F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0")))
 
 
+def continue_ids(old: DataFrame, new: DataFrame, name: str, id_: str = "sjid", prefix: str = "SJ", width: int = 6) -> DataFrame:
+    """Names of ``new`` with their id in ``old``, or the next free ids in alphabetical order; every old name stays."""
+    top = old.agg(F.max(F.regexp_extract(id_, r"(\d+)$", 1).cast("long"))).first()[0]
+    unknown = new.select(name).where(F.col(name).isNotNull()).distinct().join(old.select(name), name, "left_anti")
+    fresh = assign_ids(unknown, [name], 0 if top is None else top + 1, prefix, width).withColumnRenamed("sjid", id_)
+    return old.select(name, id_).unionByName(fresh)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Old rows, with values replaced where the null-safe key is in ``new``; new keys are not added."""
     renamed = new.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*values).alias("_v"))

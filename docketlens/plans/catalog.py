@@ -461,6 +461,14 @@ def sjid_assign(spark, d):
     return relational.assign_ids(table(spark, d, "part").select(F.col("p_name").alias("name")).distinct(), ["name"], start=100)
 
 
+@query("""WITH o AS (SELECT name, 'SJ' || lpad(CAST(row_number() OVER (ORDER BY name) - 1 AS VARCHAR), 6, '0') AS sjid FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_size <= 2)), m AS (SELECT count(*) AS n FROM o)
+SELECT * FROM o UNION ALL SELECT name, 'SJ' || lpad(CAST(m.n + row_number() OVER (ORDER BY name) - 1 AS VARCHAR), 6, '0') FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_name NOT IN (SELECT name FROM o)), m""")
+def sjid_continue(spark, d):
+    names = table(spark, d, "part").select(F.col("p_name").alias("name"), "p_size")
+    old = relational.assign_ids(names.where("p_size <= 2").select("name").distinct(), ["name"])
+    return relational.continue_ids(old, names, "name")
+
+
 @query("""WITH n AS (SELECT c_custkey AS k, c_nationkey AS j, 'new' AS label FROM customer WHERE c_custkey % 3 = 0)
 SELECT c_custkey, c_nationkey, coalesce(n.label, c_mktsegment) AS label FROM customer LEFT JOIN n ON c_custkey IS NOT DISTINCT FROM k AND c_nationkey IS NOT DISTINCT FROM j""")
 def upsert_by_key(spark, d):

@@ -126,3 +126,14 @@ def test_appointments_fill_dates(spark):
 def test_positions(spark):
     df = spark.createDataFrame([("1bnk", "Judge", "U.S. Bankruptcy Court"), ("2", "Clerk", "U.S. District Court"), ("3", "Judge", "U.S. Court of Appeals"), ("4", None, None)], "JUDGE_ID string, TITLE string, INSTITUTION string")
     assert [r.JUDGE_ID for r in ground_truth.positions(df).collect()] == ["1bnk"]
+
+
+def test_config():
+    from datetime import date
+
+    from docketlens.plans.config import Config
+
+    c = Config.read("[in]\nentries = a\n[bounds]\ntoday = 2020-01-02\nleast_similarity = 90\n")
+    assert (c.entries, c.today, c.least_similarity) == ("a", date(2020, 1, 2), 90)
+    with pytest.raises(ValueError):
+        Config.read("[x]\nnope = 1\n")
