@@ -134,7 +134,22 @@ def _survey(batches):
     for p in range(SKETCH // PIECE):
         part = sketch[p * PIECE : (p + 1) * PIECE]
         if part.any():
-            yield pa.RecordBatch.from_pydict({"doc_id": [None], "n": [None], "f1": [None], "f2": [None], "piece": [p], "counts": [part.tobytes()]}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"doc_id": [None], "n": [None], "f1": [None], "f2": [None], "piece": [p], "counts": [_pack_piece(part)]}, schema=schema)
+
+
+def _pack_piece(part: np.ndarray) -> bytes:
+    """Counts of a piece: all of them, or the non-zero ones with their places where that is shorter."""
+    at = np.flatnonzero(part)
+    few = len(at) * 10 < part.nbytes * 2
+    return b"s" + at.astype("<u2").tobytes() + part[at].astype("<u8").tobytes() if few else b"d" + part.astype("<u8").tobytes()
+
+
+def _add_piece(total: np.ndarray, data: bytes) -> None:
+    if data[:1] == b"d":
+        total += np.frombuffer(data, "<u8", offset=1)
+    else:
+        n = (len(data) - 1) // 10
+        total[np.frombuffer(data, "<u2", n, 1)] += np.frombuffer(data, "<u8", n, 1 + 2 * n)
 
 
 
@@ -149,15 +164,15 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         total: dict[int, np.ndarray] = {}
         for pdf in frames:
             for p, c in zip(pdf["piece"], pdf["counts"], strict=True):
-                total[p] = total.get(p, 0) + np.frombuffer(c, np.uint32 if len(c) == 4 * PIECE else np.uint64).astype(np.uint64)
-        yield pd.DataFrame({"piece": list(total), "counts": [c.tobytes() for c in total.values()]})
+                _add_piece(total.setdefault(p, np.zeros(PIECE, np.uint64)), c)
+        yield pd.DataFrame({"piece": list(total), "counts": [_pack_piece(c) for c in total.values()]})
 
     # Summed in each task as read, then across tasks, a piece at a time.
     pieces = both.where("piece IS NOT NULL").select("piece", "counts").mapInPandas(add, "piece int, counts binary")
     whole = pieces.repartition(16, "piece").mapInPandas(add, "piece int, counts binary")
     sketch = np.zeros(SKETCH, np.uint64)
     for r in whole.collect():
-        sketch[r.piece * PIECE : (r.piece + 1) * PIECE] += np.frombuffer(r.counts, np.uint64)
+        _add_piece(sketch[r.piece * PIECE : (r.piece + 1) * PIECE], bytes(r.counts))
     return both.where("piece IS NULL").drop("piece", "counts"), sketch
 
 
