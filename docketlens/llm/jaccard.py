@@ -38,6 +38,8 @@ WORDS = 5
 SKETCH, PIECE = 1 << 20, 1 << 14
 #: A list that the sketch puts above this is split into lists of about this many.
 LONG_LIST = 4096
+#: Rounds of leaders by chance, at most, before all that is left meets.
+LEADER_ROUNDS = 4
 #: Sets in a list from which pairs are formed at their first common shingle only.
 LONG_PAIRS = 16
 #: Ids (8 bytes each) up to which a list of documents is broadcast; beyond, it is joined.
@@ -356,7 +358,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(classes_with_prefix(docs, counts), "jaccard-classes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     list_ = Window.partitionBy("key")
-    x = F.struct((F.col("np").bitwiseAND(F.lit(0)) + F.shiftright("np", 32)).alias("n"), "rep", F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
+    x = F.struct(F.shiftright("np", 32).alias("n"), "rep", F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
     spread = postings(classes, counts).select("key", x.alias("x"))
     shared = (
         spread.withColumn("size", F.count("*").over(list_))
@@ -370,15 +372,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = stored(_pairs(shared.select("x", F.col("leader").alias("y"))), "jaccard-pairs")
     links = stored(verify(tried, docs), "jaccard-links")
     labels = components(links)
-    # Lists of several components: each set with another leader, by chance.
+    # Lists of several components: each set with other leaders, by chance, while that adds links.
     left = stored(_labelled(shared, labels), "jaccard-left")
-    other = left.groupBy("gram").agg(F.max_by(F.struct("x", "label"), F.xxhash64("gram", "x.rep")).alias("o"))
-    again = _pairs(left.join(other, "gram").where("label <> o.label").select("x", F.col("o.x").alias("y")))
-    again = stored(again.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    links, labels, changed = _more(links, labels, again, docs)
-    left = stored(_labelled(shared, labels), "jaccard-left") if changed else left
+    for turn in range(LEADER_ROUNDS):
+        other = left.groupBy("gram").agg(F.max_by(F.struct("x", "label"), F.xxhash64(F.lit(turn), "gram", "x.rep")).alias("o"))
+        again = _pairs(left.join(other, "gram").where("label <> o.label").select("x", F.col("o.x").alias("y")))
+        again = stored(again.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        links, labels, changed = _more(links, labels, again, docs)
+        tried = tried.unionByName(again)
+        if not changed:
+            break
+        left = stored(_labelled(shared, labels), "jaccard-left")
     # All pairs of different components that are left.
-    rest = stored(_remaining(left, shared).join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "jaccard-pairs")
+    rest = stored(_remaining(left, shared).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     links, labels, _ = _more(links, labels, rest, docs)
     labels = stored(labels, "jaccard-components")
     keyed = classes.select("rep", F.col("n").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"))
