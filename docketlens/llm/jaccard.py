@@ -265,7 +265,8 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose sets are similar: ``a, b``."""
-    need = stored(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "jaccard-need")
+    need = pairs.select(F.col("a").alias("rep")).distinct().unionByName(pairs.select(F.col("b").alias("rep")).distinct())
+    need = stored(need.distinct(), "jaccard-need")
     ids = need.select(F.col("rep").alias("_rep"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
