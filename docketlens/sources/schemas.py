@@ -13,7 +13,7 @@ ENTRY_ENTITY = _ddl("""ucid string, court string, year int, cid string, docket_i
     full_span_start int, full_span_end int, extracted_pre_5 string, extracted_entity string, extracted_post_5 string,
     Ent_span_start int, Ent_span_end int, docket_source string, Entity_Extraction_Method string""")
 PARTY = _ddl("ucid string, court string, cid string, year int, filing_date string, Role string, Entity string")
-ENTITY = _ddl("""name string, Presentable_Name string, SJID string, SCALES_Judge_Label string, Head_UCIDs long,
+ENTITY = _ddl("""name string, Presentable_Name string, SJID string, Judge_Label string, Head_UCIDs long,
     Tot_UCIDs long, is_FJC boolean, is_BA_MAG boolean, NID string, BA_MAG_ID string""")
 MENTION = _ddl("""Entity_Extraction_Method string, docket_source string, judge_enum long, party_enum double, pacer_id double,
     docket_index double, ucid string, cid string, court string, year int, original_text string, Extracted_Entity string,
