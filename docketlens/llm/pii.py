@@ -2,27 +2,30 @@
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone
 numbers.  Each distinct value found is a protected entity.  Over the whole
-corpus, a term (a word of ``TERM_LETTERS`` letters or more) co-occurs with an
-entity where it stands within ``CONTEXT_WORDS`` words of it.  With document
-frequencies, the pointwise mutual information PMI(e; t) says how much of the
-entity's information content IC(e) = -log p(e) the term gives away.  In
-documents that hold the entity, terms with PMI / IC of at least ``GENERALISE``
-are generalised, of at least ``REMOVE`` removed.  A pair counts only if its
-contexts differ in ``SUPPORT`` documents: copies of one passage are one
-observation, and a word met once with an entity met once proves nothing.
+corpus, a term (a run of letters) co-occurs with an entity in every text that
+holds both.  Frequencies count distinct texts: copies of a whole text are one.
+The pointwise mutual information PMI(e; t) = log(p(e, t) / (p(e) p(t))) says how
+much of the entity's information content IC(e) = -log p(e) the term gives away.
+In texts that hold the entity, terms with PMI / IC of at least ``GENERALISE``
+are generalised, of at least ``REMOVE`` removed.  The share alone decides, for
+entities of one text too; p(t) is estimated from one text more than the term
+was seen in, so that a word of a very small table is not telling by being rare.
+
+Entities held by the same texts have the same shares and count as one, so a
+list of a thousand addresses is no more work than one address.
 
 Offsets are code points, ends exclusive.
 
 Defined results: null and empty texts have no spans; repeated rows are
-searched each; rows of one ``doc_id`` share their disclosing terms; an empty
-table gives an empty result.
+searched each; a row's disclosing terms follow from its own text, whatever its
+``doc_id``; an entity that all texts hold has no information to give away; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT_WORDS, TERM_LETTERS, SUPPORT, GENERALISE, REMOVE = 5, 4, 3, 0.7, 0.9
-#: Disclosing pairs up to which they travel with the tasks; beyond, they are joined by document.
-SMALL_PAIRS = 50_000
+GENERALISE, REMOVE = 0.7, 0.9
+#: Keys (8 bytes each) up to which a list of texts is broadcast; beyond, it is joined.
+BROADCAST_KEYS = 1_000_000
 
 # Equivalent to the stated patterns, but linear in the length of the text: a
 # match can begin only at the start of its run of digits (or local part).
@@ -43,8 +46,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(rf"[^\W\d_]{{{TERM_LETTERS},}}")
-_WORD = re.compile(r"[^ \t-\r]+")
+_TERM = re.compile(r"[^\W\d_]+")
 
 
 def _emails(text: str):
@@ -102,97 +104,90 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]):
-    """``(entity, term, context)`` for the terms near each span; the context is a hash of all words near it."""
-    held = [(s, e) for _, s, e in spans]
-    words = [m.span() for m in _WORD.finditer(text)]
-    at = 0
-    for kind, start, end in sorted(spans, key=lambda x: x[1]):
-        while at < len(words) and words[at][1] <= start:
+def outside(text: str, base: list[tuple[str, int, int]]):
+    """Matches of terms that touch no base span."""
+    taken = sorted((s, e) for _, s, e in base)
+    at, reach = 0, 0  # spans that begin before the term ends, and how far they go
+    for m in _TERM.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
             at += 1
-        after = at
-        while after < len(words) and words[after][0] < end:
-            after += 1
-        near = words[max(0, at - CONTEXT_WORDS) : at] + words[after : after + CONTEXT_WORDS]
-        near = [w for w in near if not any(s < w[1] and w[0] < e for s, e in held)]
-        key = int.from_bytes(hashlib.blake2b(" ".join(text[s:e] for s, e in near).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        for term in {t.lower() for s, e in near for t in _TERM.findall(text[s:e])}:
-            yield entity(kind, text[start:end]), term, key
+        if reach <= m.start():
+            yield m
 
 
-def observations(docs: DataFrame) -> DataFrame:
-    """``entity, term, context``: every co-occurrence, and with a null term every document that holds the entity."""
-    schema = pa.schema([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64())])
+def observations(keyed: DataFrame) -> DataFrame:
+    """``key, entity, term`` from ``text, key``: of every text with entities each entity, and each term outside them."""
+    schema = pa.schema([("key", pa.int64()), ("entity", pa.string()), ("term", pa.string())])
 
     def run(batches):
         for batch in batches:
-            rows = set()
             found = []
-            for text in batch.column(0).to_pylist():
-                spans = base_spans(text)
-                if spans:
-                    rows.clear()
-                    rows.update(contexts(text, spans))
-                    found += rows
-                    found += [(e, None, None) for e in {entity(k, text[a:b]) for k, a, b in spans}]
+            for text, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if spans := base_spans(text):
+                    found += [(key, e, None) for e in {entity(k, text[a:b]) for k, a, b in spans}]
+                    found += [(key, None, t) for t in {m[0].lower() for m in outside(text, spans)}]
             yield pa.RecordBatch.from_pydict({n: [r[i] for r in found] for i, n in enumerate(schema.names)}, schema=schema)
 
-    return docs.select("text").mapInArrow(run, "entity string, term string, context long")
+    return keyed.select("text", "key").mapInArrow(run, "key long, entity string, term string")
 
 
-def term_frequencies(docs: DataFrame, flush: int = 200_000) -> DataFrame:
-    """``term, n``: partial document frequencies of every term of the corpus, to be summed."""
+def term_frequencies(weighed: DataFrame, flush: int = 200_000) -> DataFrame:
+    """``term, n`` from ``text, weight``: partial weights of the texts that hold each term, to be summed."""
 
     def run(batches):
-        counts: dict[str, int] = {}
+        counts: dict[str, float] = {}
 
         def out():
-            return pa.RecordBatch.from_pydict({"term": list(counts), "n": pa.array(counts.values(), pa.int64())}, schema=pa.schema([("term", pa.string()), ("n", pa.int64())]))
+            return pa.RecordBatch.from_pydict({"term": list(counts), "n": pa.array(counts.values(), pa.float64())}, schema=pa.schema([("term", pa.string()), ("n", pa.float64())]))
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    for term in set(_TERM.findall(text.lower())):
-                        counts[term] = counts.get(term, 0) + 1
-            if len(counts) > flush:
-                yield out()
-                counts = {}
+            for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for term in {t.lower() for t in _TERM.findall(text)}:
+                    counts[term] = counts.get(term, 0) + weight
+                if len(counts) > flush:
+                    yield out()
+                    counts = {}
         if counts:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "term string, n long")
+    return weighed.select("text", "weight").mapInArrow(run, "term string, n double")
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
 def disclosures(docs: DataFrame) -> DataFrame:
-    """``entity, term, share``: how much of the entity's information each term gives away, from ``GENERALISE`` up."""
+    """``key, term, share``: the terms of each text (by its hash) that give away an entity it holds, and
+    how much of the entity's information at most, from ``GENERALISE`` up."""
     bound_batches(docs.sparkSession)
-    seen = stored(observations(docs), "pii-observations")
-    pairs = seen.where("term IS NOT NULL")
-    # Distinct contexts first: copies of a passage are one observation.
-    supported = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT).drop("contexts")
-    supported = stored(supported, "pii-supported")
-    joint = pairs.join(supported, ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    holding = seen.where("term IS NULL").groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = supported.select("term").distinct()
-    frequency = term_frequencies(docs).join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
-    n = docs.count()
-    share = F.expr("ln(n_et * n / (n_e * n_t)) / ln(n / n_e)")
-    return (
-        joint.join(holding, "entity")
-        .join(frequency, "term")
-        .withColumn("n", F.lit(float(n)))
-        # Counts of occurrences near an entity may exceed those of documents; p(e, t) <= p(e), p(t).
-        .withColumn("n_et", F.expr("least(n_et, n_e, n_t)"))
-        .where("n_e < n")
-        .select("entity", "term", share.alias("share"))
-        .where(F.col("share") >= GENERALISE)
-    )
+    keyed = docs.where("text <> ''").select("text", F.xxhash64("text").alias("key"))
+    texts = stored(keyed.groupBy("key").agg(F.count("*").alias("copies")), "pii-texts")
+    n = float(texts.count())
+    seen = stored(observations(keyed), "pii-observations")
+    held = stored(seen.where("entity IS NOT NULL").select("key", "entity").distinct(), "pii-held")
+    # Entities of the same texts are one group.
+    same = held.groupBy("entity").agg(F.count("*").alias("n_e"), F.expr("bit_xor(xxhash64(key))").alias("x"), F.expr("bit_xor(xxhash64(key, 1))").alias("y"))
+    same = same.where(F.col("n_e") < n).select(F.col("entity").alias("_e"), F.struct("n_e", "x", "y").alias("who"), "n_e")
+    groups = stored(held.join(same, F.col("entity") == F.col("_e")).select("key", "who", "n_e").distinct(), "pii-groups")
+    # No share is reached beyond this frequency of a term, even if the term stands in every text of the entity.
+    rare = f"n_t + 1 <= pow({n}D, {1 - GENERALISE}D) * pow(n_e, {GENERALISE}D) * 1.000001D"
+    most = groups.agg(F.max("n_e").alias("n_e")).first().n_e or 0
+    weighed = keyed.join(_few(texts.where("copies > 1").select(F.col("key").alias("_key"), "copies")), F.col("key") == F.col("_key"), "left")
+    weighed = weighed.select("text", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    frequency = term_frequencies(weighed).groupBy("term").agg(F.round(F.sum("n")).alias("n_t")).withColumn("n_e", F.lit(most)).where(rare).select(F.col("term").alias("_t"), "n_t")
+    terms = seen.where("term IS NOT NULL").select("key", "term").distinct().join(frequency, F.col("term") == F.col("_t")).select(F.col("key").alias("_key"), "term", "n_t")
+    pairs = stored(groups.join(terms, F.col("key") == F.col("_key")).where(rare).select("key", "who", "n_e", "term", "n_t"), "pii-pairs")
+    share = F.expr(f"ln(n_et * {n}D / (n_e * (n_t + 1))) / ln({n}D / n_e)")
+    shares = pairs.groupBy("who", "term", "n_e", "n_t").agg(F.count("*").alias("n_et")).select(F.col("who").alias("_w"), F.col("term").alias("_t"), share.alias("share"))
+    told = pairs.join(shares.where(F.col("share") >= GENERALISE), F.expr("who = _w AND term = _t"))
+    return told.groupBy("key", "term").agg(F.max("share").alias("share"))
 
 
 def term_spans(text: str, base: list[tuple[str, int, int]], terms: dict[str, float]) -> list[tuple[str, int, int]]:
     """Disclosing terms outside the base spans."""
-    taken = [(s, e) for _, s, e in base]
-    return [("term", *m.span()) for m in _TERM.finditer(text) if m[0].lower() in terms and not any(s < m.end() and m.start() < e for s, e in taken)]
+    return [("term", *m.span()) for m in outside(text, base) if m[0].lower() in terms]
 
 
 def sanitise(text: str, spans: list[tuple[str, int, int]], terms: dict[str, float]) -> str:
@@ -212,20 +207,16 @@ def written(spans) -> str:
 
 def private(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataFrame:
     """``keep`` columns with ``n_email, n_ip, n_card, n_phone, base_sha256, spans``, and ``clean`` (the
-    sanitised text) if asked for.  One pass of statistics over the corpus, one of searching."""
+    sanitised text) if asked for.  Two passes of statistics over the corpus, one of searching."""
     spark = docs.sparkSession
-    found = stored(disclosures(docs), "pii-disclosures")
-    small = found.limit(SMALL_PAIRS + 1).count() <= SMALL_PAIRS
-    kept = docs.select(*keep, F.col("text").alias("_text"))
-    by_entity: dict[str, dict[str, float]] = {}
-    if small:
-        for r in found.collect():  # at most SMALL_PAIRS rows
-            by_entity.setdefault(r.entity, {})[r.term] = r.share
-        kept = kept.withColumn("_terms", F.lit(None).cast("map<string,double>"))
-    else:
-        holders = _holders(docs).join(found, "entity").groupBy("_id", "term").agg(F.max("share").alias("share"))
-        lists = holders.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_terms"))
-        kept = kept.join(lists, kept["doc_id"].eqNullSafe(lists["_id"]), "left").drop("_id")
+    found = disclosures(docs).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_terms"))
+    found = stored(found.withColumnRenamed("key", "_k"), "pii-disclosures")
+    kept = docs.select(*keep, F.col("text").alias("_text"), F.xxhash64("text").alias("_key"))
+    # Only texts with terms meet their terms; the others do not move.
+    telling = _few(found.select("_k"))
+    with_terms = kept.join(telling, F.col("_key") == F.col("_k"), "left_semi").join(found, F.col("_key") == F.col("_k")).drop("_key", "_k")
+    without = kept.join(telling, F.col("_key") == F.col("_k"), "left_anti").drop("_key").withColumn("_terms", F.lit(None).cast("map<string,double>"))
+    kept = with_terms.unionByName(without)
     bound_batches(spark)
     names = [*keep, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"] + ["clean"] * with_text
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
@@ -239,10 +230,6 @@ def private(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataFr
             for text, told in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True):
                 base = base_spans(text)
                 terms = dict(told or ())
-                if by_entity and base:
-                    for k, s, e in base:
-                        for t, share in by_entity.get(entity(k, text[s:e]), {}).items():
-                            terms[t] = max(share, terms.get(t, 0))
                 more = term_spans(text, base, terms) if terms else []
                 for k in KINDS:
                     counts[k].append(sum(b[0] == k for b in base))
@@ -257,17 +244,6 @@ def private(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataFr
     return kept.mapInArrow(run, ddl)
 
 
-def _holders(docs: DataFrame) -> DataFrame:
-    """``_id, entity``: which document holds which entity."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [(i, x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in {entity(k, t[s:e]) for k, s, e in base_spans(t)}]
-            yield pa.RecordBatch.from_pydict({"_id": [r[0] for r in rows], "entity": [r[1] for r in rows]}, schema=pa.schema([("_id", pa.int64()), ("entity", pa.string())]))
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "_id long, entity string")
-
-
 def sanitised_documents(docs: DataFrame) -> DataFrame:
     """The documents with sanitised texts, and the columns they came with (``n_chars`` follows the text)."""
     keep = [c for c in docs.columns if c != "text"]

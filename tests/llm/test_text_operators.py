@@ -192,6 +192,52 @@ def test_terms_that_give_an_entity_away_are_found(spark):
     assert all("zebulon" not in r.text for r in pii.sanitised_documents(docs).collect())
 
 
+def brute_terms(texts):
+    """Of each text the terms from 0.7 up, by the formula, over distinct texts."""
+    from math import log
+
+    texts = sorted({t for t in texts if t})
+    held, terms = {}, {}
+    for t in texts:
+        spans = pii.base_spans(t)
+        for k, s, e in spans:
+            held.setdefault(pii.entity(k, t[s:e]), set()).add(t)
+        for m in re.finditer(r"[^\W\d_]+", t):
+            terms.setdefault(m[0].lower(), [set(), set()])[0].add(t)
+            if not any(s < m.end() and m.start() < e for _, s, e in spans):
+                terms[m[0].lower()][1].add(t)
+    out = {t: set() for t in texts}
+    for e, own in held.items():
+        for term, (all_, outside) in terms.items():
+            if (both := own & outside) and len(own) < len(texts) and log(len(both) * len(texts) / (len(own) * (len(all_) + 1))) / log(len(texts) / len(own)) >= 0.7:
+                for t in both:
+                    out[t].add(term)
+    return out
+
+
+def test_terms_match_the_formula(spark):
+    import random
+
+    from conftest import words
+
+    rnd = random.Random(5)
+    rows = [(i, " ".join(words(rnd, 60))) for i in range(300)]
+    # One text only; a fixed footer at the end of different texts; a list of addresses; a word of two letters; two texts.
+    rows.append((1000, " ".join([*words(rnd, 20), "zebulon far", *words(rnd, 30), "one@rare.org"])))
+    rows += [(2000 + i, " ".join([*words(rnd, 30), "ask Jane Smithers, Records Office, jane@x.org"])) for i in range(40)]
+    rows.append((3000, " ".join(f"{w} m{i}@list.org" for i, w in enumerate(words(rnd, 50)))))
+    rows += [(4000 + i, " ".join([*words(rnd, 10), "qx +1 (555) 123-4567", *words(rnd, 10)])) for i in range(2)]
+    rows += [(5000, rows[300][1])] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_terms([t for _, t in rows])
+    got = pii.private(docs.select("doc_id", "text"), ["doc_id"]).collect()
+    by_id = dict(rows)
+    for r in got:
+        spans = [x.split(":") for x in r.spans.split(",") if x.startswith("term")]
+        assert {by_id[r.doc_id][int(s) : int(e)].lower() for _, s, e in spans} == want[by_id[r.doc_id]]
+    assert len(got) == len(rows) and "zebulon" in want[by_id[5000]] and {"jane", "smithers"} <= want[by_id[2007]] and "qx" in want[by_id[4001]]
+
+
 def brute_components(rows):
     sets = {}
     for key, text in rows:
