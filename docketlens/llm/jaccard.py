@@ -396,10 +396,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without all but the smallest id of each component."""
-    groups = stored(near_duplicates(docs), "jaccard-groups")
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """The documents without all but the smallest id of each component.
+
+    Rows are told apart by id and text together: different texts under one id,
+    or without an id, are judged each by its own component, where rows without
+    an id come last.  Of rows that repeat a text and an id (or have none) one
+    stays; rows without words and without an id all do.
+    """
+    node = F.xxhash64("doc_id", "text")
+    groups = stored(near_duplicates(docs.select(node.alias("doc_id"), "text")), "jaccard-groups")
+    ids = docs.select(node.alias("_n"), "doc_id").distinct()
+    rows = groups.groupBy(F.col("doc_id").alias("node")).agg(F.count("*").alias("times"), F.first("n_shingles").alias("n"), F.first("component_id").alias("root"))
+    rows = stored(rows.join(ids, F.col("node") == F.col("_n")).select("node", "times", "n", "root", "doc_id"), "jaccard-nodes")
+    first = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "node")).alias("f")).select(F.col("f.node").alias("_first"))
+    gone = stored(rows.where("n > 0").join(first, F.col("node") == F.col("_first"), "left_anti").select(F.col("node").alias("_gone")), "jaccard-gone")
+    again = rows.where("times > 1 AND (n > 0 OR doc_id IS NOT NULL)").select(F.col("node").alias("_again"))
+    again = stored(again.join(gone, F.col("_again") == F.col("_gone"), "left_anti"), "jaccard-again")
+    few = [F.broadcast(x) if x.count() <= BROADCAST_IDS else x for x in (gone, again)]
+    kept = docs.withColumn("_node", node).join(few[0], F.col("_node") == F.col("_gone"), "left_anti")
+    once = kept.join(few[1], F.col("_node") == F.col("_again"), "left_anti")
+    repeated = kept.join(few[1], F.col("_node") == F.col("_again"), "left_semi").dropDuplicates(["_node"])
+    return once.unionByName(repeated).drop("_node")

@@ -300,6 +300,19 @@ def test_jaccard_odd_rows(odd, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_keeps_different_texts_without_an_id_or_under_one_id(spark):
+    import random
+
+    from conftest import words
+
+    rnd = random.Random(8)
+    a, b, c, d, e, f = (" ".join(words(rnd, 60)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c + " tail"), (1, c), (2, d), (2, e), (3, e + " tail"), (4, f), (4, f), (5, f), (None, None), (None, ""), (6, None), (7, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect())
+    assert got == Counter([(None, a), (None, b), (1, c), (2, d), (2, e), (4, f), (None, None), (None, ""), (6, None), (7, None)])
+
+
 def test_language_held_out_accuracy(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = lang_id.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
