@@ -11,6 +11,8 @@
    verified links join sets into components, and then only sets of different
    components still meet.  What is left out can change no component.
 4. Pairs are verified once, with a suffix filter before the intersection.
+5. ``links`` and ``linked_documents`` give every link: similar sets are always of one
+   component, so within each the sets meet all to all, in blocks of ``LINK_BLOCK``.
 
 A list is keyed by 48 bits of the hash (a collision only adds a candidate);
 lists the sketch knows to be long are split over tasks, and meet again in the
@@ -42,6 +44,8 @@ LONG_LIST = 4096
 LEADER_ROUNDS = 4
 #: Sets in a list from which pairs are formed at their first common shingle only.
 LONG_PAIRS = 16
+#: Sets of a component in a block; two blocks meet in a task.
+LINK_BLOCK = 256
 #: Ids (8 bytes each) up to which a list of documents is broadcast; beyond, it is joined.
 BROADCAST_IDS = 1_000_000
 
@@ -263,25 +267,30 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar: ``a, b``."""
-    need = pairs.select(F.col("a").alias("rep")).distinct().unionByName(pairs.select(F.col("b").alias("rep")).distinct())
-    need = stored(need.distinct(), "jaccard-need")
-    ids = need.select(F.col("rep").alias("_rep"))
+def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``rep, s``: the sets of the documents ``rep``."""
+    ids = reps.select(F.col("rep").alias("_rep"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["rep", "s"])
 
+    some = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, F.col("rep") == F.col("_rep"), "left_semi")
+    return stored(some.mapInArrow(sets, "rep long, s binary"), "jaccard-sets").dropDuplicates(["rep"])
+
+
+def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar: ``a, b``."""
+    need = pairs.select(F.col("a").alias("rep")).distinct().unionByName(pairs.select(F.col("b").alias("rep")).distinct())
+    found = _sets(docs, stored(need.distinct(), "jaccard-need"))
+
     def check(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
             rows = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))]
             yield pa.RecordBatch.from_pydict({"a": [r[0] for r in rows], "b": [r[1] for r in rows]}, schema=schema)
 
-    some = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, F.col("rep") == F.col("_rep"), "left_semi")
-    found = stored(some.mapInArrow(sets, "rep long, s binary"), "jaccard-sets").dropDuplicates(["rep"])
     both = (
         pairs.join(found.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a")
         .join(found.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
@@ -350,8 +359,8 @@ def _more(links: DataFrame, labels: DataFrame, pairs: DataFrame, docs: DataFrame
     return links, components(links), True
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: one row per row of ``docs``."""
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes and fingerprints of the documents, their classes, and the components of linked classes."""
     spark = docs.sparkSession
     bound_batches(spark)
     sizes, sketch = survey(docs)
@@ -387,7 +396,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # All pairs of different components that are left.
     rest = stored(_remaining(left, shared).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     links, labels, _ = _more(links, labels, rest, docs)
-    labels = stored(labels, "jaccard-components")
+    return sizes, classes, stored(labels, "jaccard-components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: one row per row of ``docs``."""
+    sizes, classes, labels = _joined(docs)
     keyed = classes.select("rep", F.col("n").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"))
     keyed = keyed.join(labels, F.col("rep") == F.col("node"), "left").select("_n", "_f1", "_f2", F.coalesce("root", "rep").alias("root"))
     return sizes.join(keyed, F.expr("n = _n AND f1 = _f1 AND f2 = _f2"), "left").select(
@@ -395,6 +409,71 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _met(docs: DataFrame, weights: DataFrame, labels: DataFrame, how, ddl: str) -> DataFrame:
+    """``how(reps, weights, similar)`` of every two blocks of a component's sets: ``similar`` is a matrix that
+    holds each similar pair of the component in one of the groups, in one of its halves."""
+    import pandas as pd
+
+    members = labels.select(F.col("node").alias("rep"), "root").unionByName(labels.select(F.col("root").alias("rep"), "root")).distinct()
+    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / LINK_BLOCK).alias("blocks")).withColumnRenamed("root", "_root")
+    members = stored(members.join(blocks, F.col("root") == F.col("_root")).select("rep", "root", "blocks"), "jaccard-members")
+    held = members.join(_sets(docs, members).withColumnRenamed("rep", "_r"), F.col("rep") == F.col("_r")).join(weights, "rep")
+    held = held.withColumn("own", F.expr("pmod(xxhash64(rep), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    held = held.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "weight", "s")
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        own, sets = pdf["own"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["s"]]
+        n = np.array([len(x) for x in sets])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        starts = np.r_[0, np.cumsum(n)[:-1]]
+        hit, similar_ = np.zeros(codes.max() + 1, np.int32), np.zeros((len(sets), len(sets)), bool)
+        for k in range(len(sets)):
+            mine = codes[starts[k] : starts[k] + n[k]]
+            hit[mine] = 1
+            similar_[k] = np.add.reduceat(hit[codes], starts) >= least_overlap(n[k], n)
+            hit[mine] = 0
+        # Pairs inside a block belong to the group of that block alone.
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+            similar_ &= own[:, None] != own[None, :]
+        np.fill_diagonal(similar_, False)
+        return how(pdf["rep"].to_numpy(), pdf["weight"].to_numpy(), similar_)
+
+    return held.groupBy("root", "i", "j").applyInPandas(find, ddl)
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """``a, b``: every two similar classes of different sets, each by its smallest id, the smaller one first."""
+    import pandas as pd
+
+    def pairs(reps, weights, similar_):
+        x, y = np.nonzero(np.triu(similar_))  # reps are in order
+        return pd.DataFrame({"a": reps[x], "b": reps[y]})
+
+    _, classes, labels = _joined(docs)
+    return _met(docs, classes.select("rep", F.lit(1).cast("long").alias("weight")), labels, pairs, "a long, b long")
+
+
+def linked_documents(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links``: with the number of other documents (with an id) that are similar,
+    copies among them; counted by class and weighed by the classes' documents, so pairs are not listed."""
+    import pandas as pd
+
+    def counts(reps, weights, similar_):
+        return pd.DataFrame({"rep": reps, "n": similar_ @ weights})
+
+    sizes, classes, labels = _joined(docs)
+    same = sizes.where("n > 0 AND doc_id IS NOT NULL").distinct().groupBy("n", "f1", "f2").agg(F.count("*").alias("weight"))
+    classes = stored(classes.select("rep", "n", "f1", "f2").join(same, ["n", "f1", "f2"]), "jaccard-weights")
+    more = _met(docs, classes.select("rep", "weight"), labels, counts, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("more"))
+    keyed = classes.join(labels, F.col("rep") == F.col("node"), "left").join(more, "rep", "left")
+    keyed = keyed.select(F.col("n").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.coalesce("root", "rep").alias("root"), (F.col("weight") + F.coalesce("more", F.lit(0))).alias("all"))
+    return sizes.join(keyed, F.expr("n = _n AND f1 = _f1 AND f2 = _f2"), "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"),
+        F.coalesce(F.col("all") - F.col("doc_id").isNotNull().cast("long"), F.lit(0)).cast("long").alias("n_links"),
+    )
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without all but the smallest id of each component.
 

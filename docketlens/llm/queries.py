@@ -48,6 +48,10 @@ def op9_ngram_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_links(spark, sf_dir):
+    return jaccard.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op7_personal_data": op7_personal_data,
     "op8_mixing": op8_mixing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op9_ngram_jaccard_links": op9_ngram_jaccard_links,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -132,3 +137,8 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM (SELECT *, sha256('docketlens-record:' || CAST(page_id AS VARCHAR)) AS h FROM q)
 """,
 }
+
+_LINKS, _COMPONENTS = ORACLES["op9_ngram_jaccard"].split("SELECT d.doc_id, ")
+ORACLES["op9_ngram_jaccard_links"] = f"""{_LINKS}SELECT k.n_links, d.doc_id, {_COMPONENTS}
+JOIN (SELECT d.doc_id, count(l.b) AS n_links FROM documents d LEFT JOIN links l ON l.a = d.doc_id GROUP BY d.doc_id) k USING (doc_id)
+"""

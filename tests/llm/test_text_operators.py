@@ -291,6 +291,32 @@ def test_jaccard_join_matches_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_every_link_is_found_and_counted(spark, monkeypatch):
+    import random
+
+    from conftest import words
+
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", 16)
+    rnd = random.Random(13)
+    hot, chain, rows = words(rnd, 100), words(rnd, 130), []
+    for i in range(60):
+        w = list(hot)
+        for p in rnd.sample(range(100), rnd.choice([1, 2, 3])):
+            w[p] = f"v{i}x{p}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(chain[2 * i : 2 * i + 100])) for i in range(12)] + [(200 + i, rows[5][1]) for i in range(3)] + [(300, "")]
+    sets = {k: frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for k, t in rows for w in [t.split()]}
+    similar = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {s: k for k, s in sorted(sets.items(), reverse=True)}
+    want = {(a, b) for a in first.values() for b in first.values() if a < b and similar(sets[a], sets[b])}
+    got = [(r.a, r.b) for r in jaccard.links(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    counted = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.linked_documents(docs).collect()}
+    whole = brute_components(rows)
+    assert counted == {a: (*whole[a], sum(a != b and similar(sets[a], sets[b]) for b in sets)) for a in sets}
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == odd.count() and {r.component_id for r in got if r.doc_id in (0, 1, 2)} == {0}
