@@ -118,25 +118,27 @@ class Model:
         return winner, np.clip(score, 0, 1), sims[np.arange(len(raw)), near] < self.least[near]
 
 
-def smallest_hashes(rows: DataFrame, sizes: DataFrame, group: str, bound) -> DataFrame:
-    """``group, _h``: each group's ``bound`` smallest distinct hashes.
+def smallest_hashes(rows: DataFrame, group: str, bound) -> DataFrame:
+    """``group, _h``: each group's ``bound`` smallest distinct hashes, or all of fewer.
 
     Only hashes below the share that some four times the bound are expected
     under reach the ranking: no task sees more of a group, whatever its size.
+    The share is of distinct hashes, so copies take nothing from it.
     """
+    rows = rows.select(group, "_h").distinct()
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
     told = sizes.select(F.col(group).alias("_g"), F.least(F.lit(1.0), 4.0 * bound / F.col("n")).alias("_f"), bound.alias("_b"))
     low = rows.join(F.broadcast(told), F.col(group) == F.col("_g")).where("_h / 9223372036854775808D <= 2 * _f - 1")
     first = Window.partitionBy(group).orderBy("_h")
-    return low.select(group, "_h", "_b").distinct().withColumn("_r", F.row_number().over(first)).where("_r <= _b").select(group, "_h")
+    return low.select(group, "_h", "_b").withColumn("_r", F.row_number().over(first)).where("_r <= _b").select(group, "_h")
 
 
 def fit(train: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL) -> Model | None:
     """``text, lang`` -> model; None without usable rows."""
     labelled = train.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.xxhash64("text").alias("_h"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))  # a row per language
-    langs = max(1, sizes.count())
+    langs = max(1, labelled.select("lang").distinct().count())
     bound = max(10, min(per_lang, total // langs))
-    chosen = smallest_hashes(labelled.select("lang", "_h"), sizes, "lang", F.lit(bound))
+    chosen = smallest_hashes(labelled, "lang", F.lit(bound))
     sample = labelled.join(F.broadcast(chosen), ["lang", "_h"]).dropDuplicates(["lang", "_h"]).select("text", "lang")
 
     def vectorise(batches):

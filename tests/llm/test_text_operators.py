@@ -339,6 +339,13 @@ def test_one_of_each_keeps_different_texts_without_an_id_or_under_one_id(spark):
     assert got == Counter([(None, a), (None, b), (1, c), (2, d), (2, e), (4, f), (None, None), (None, ""), (6, None), (7, None)])
 
 
+def test_the_sample_takes_no_less_for_copies(spark):
+    rows = spark.range(20000).select(F.lit("x").alias("g"), F.when(F.col("id") < 19900, 0).otherwise(F.col("id")).alias("t")).select("g", F.xxhash64("t").alias("_h"))
+    got = [r._h for r in lang_id.smallest_hashes(rows, "g", F.lit(60)).collect()]
+    assert sorted(got) == sorted(r._h for r in rows.distinct().collect())[:60]
+    assert lang_id.smallest_hashes(rows, "g", F.lit(300)).count() == 101
+
+
 def test_language_held_out_accuracy(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = lang_id.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
