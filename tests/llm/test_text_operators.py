@@ -238,6 +238,22 @@ def test_terms_match_the_formula(spark):
     assert len(got) == len(rows) and "zebulon" in want[by_id[5000]] and {"jane", "smithers"} <= want[by_id[2007]] and "qx" in want[by_id[4001]]
 
 
+def test_terms_follow_from_the_text_not_from_the_id(spark):
+    import random
+
+    from conftest import words
+
+    rnd = random.Random(6)
+    rows = [(i, " ".join(words(rnd, 40))) for i in range(60)]
+    for key in (None, 500):
+        rows += [(key, f"zebulon{key} a{key}@x.org"), (key, f"zebulon{key} b{key}@x.org quiet"), (key, f"plain zebulon{key} quiet")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_terms([t for _, t in rows])
+    for r in pii.private(docs.selectExpr("doc_id", "text", "text AS own"), ["own"]).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x.startswith("term")]
+        assert {r.own[int(s) : int(e)].lower() for _, s, e in spans} == want[r.own]
+
+
 def brute_components(rows):
     sets = {}
     for key, text in rows:
