@@ -215,7 +215,7 @@ def nearest_classes(ranks: DataFrame, n: int, reach: int, k: int) -> DataFrame:
 
 def search(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the queries ``vec_id % step = 0`` against all rows."""
-    bound_batches(vectors.sparkSession, 4000)
+    bound_batches(vectors.sparkSession)
     rows = usable(vectors)
     same = Window.partitionBy("v").orderBy("vec_id")
     members = stored(

@@ -366,7 +366,6 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sizes, sketch = survey(docs)
     counts = spark.sparkContext.broadcast(sketch)  # SKETCH numbers
     classes = stored(classes_with_prefix(docs, counts), "jaccard-classes")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     list_ = Window.partitionBy("key")
     x = F.struct(F.shiftright("np", 32).alias("n"), "rep", F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
     spread = postings(classes, counts).select("key", x.alias("x"))
@@ -377,7 +376,6 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .select(F.shiftright("key", 16).alias("gram"), "x", "leader")
     )
     shared = stored(shared, "jaccard-lists")
-    bound_batches(spark)
     # Each set with the leader of its list.
     tried = stored(_pairs(shared.select("x", F.col("leader").alias("y"))), "jaccard-pairs")
     links = stored(verify(tried, docs), "jaccard-links")
