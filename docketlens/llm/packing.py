@@ -11,11 +11,15 @@ A document is cut at multiples of the sequence length; its full pieces fill a
 sequence each, only its rest is packed with others.
 
 Defined results: null text counts as empty (a piece of the end id alone);
-repeated rows are packed each; an empty table gives an empty result.
+repeated rows are packed each; equal sizes go in any order; a very long text is
+looked up in parts, and its pieces may lie in several groups; further columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -71,35 +75,38 @@ def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def cut(docs: DataFrame, vocab: str, end_id: int, length: int = LENGTH) -> DataFrame:
-    """``doc_id, start, length, doc_tokens, ids`` (little-endian unsigned 32-bit): one row per piece."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-    end, step = np.array([end_id], "<u4").tobytes(), 4 * length
+def cut(docs: DataFrame, vocab: str, end_id: int, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+    """``doc_id, start, length, ids_crc32, doc_tokens, turn`` and, if asked for, ``ids`` (little-endian
+    unsigned 32-bit): one row per piece; ``turn`` counts the pieces of a task."""
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("turn", pa.int64())]
+    schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def pieces(batches):
-        tok = tokenizer(vocab)
+        tok, turn, end = tokenizer(vocab), 0, np.array([end_id], "<u4")
         for batch in batches:
-            rows = {k: [] for k in schema.names}
-            for key, ids in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                for i in range(0, len(ids), step):
-                    piece = ids[i : i + step]
-                    rows["doc_id"].append(key)
-                    rows["start"].append(i // 4)
-                    rows["length"].append(len(piece) // 4)
-                    rows["doc_tokens"].append(len(ids) // 4)
-                    rows["ids"].append(piece)
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+            rows = []
+            for key, ids in zip(batch.column(0).to_pylist(), tok.arrays(batch.column(1).to_pylist()), strict=True):
+                ids = np.concatenate([ids.astype("<u4", copy=False), end])
+                for i in range(0, len(ids), length):
+                    piece = ids[i : i + length].tobytes()
+                    rows.append((key, i, len(piece) // 4, zlib.crc32(piece), len(ids), turn, piece)[: len(schema)])
+                    turn += 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, turn long" + ", ids binary" * with_ids
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, ddl)
 
 
 def pack(pieces: DataFrame, n_docs: int, room: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """``doc_id, start, length, doc_tokens, ...`` -> with ``sequence_id, offset``."""
+    """``doc_id, start, length, turn, ...`` -> the same without ``turn``, with ``sequence_id, offset``.
+
+    Groups are dealt by every column that tells pieces apart, ``turn`` among
+    them: rows without an id or repeated ones spread as all others do.
+    """
     groups = max(1, -(-n_docs // group_docs))
-    grouped = pieces.withColumn("_grp", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups)))
-    columns = pieces.columns
+    grouped = pieces.withColumn("_grp", F.pmod(F.xxhash64("doc_id", "start", "length", "turn"), F.lit(groups))).drop("turn")
+    columns = [c for c in pieces.columns if c != "turn"]
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "start"], kind="stable", na_position="first")
@@ -109,7 +116,7 @@ def pack(pieces: DataFrame, n_docs: int, room: int = LENGTH, group_docs: int = G
         out["offset"] = offsets
         return out
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "turn")
     return grouped.groupBy("_grp").applyInPandas(place, f"{fields}, sequence_id long, offset long")
 
 
@@ -120,5 +127,4 @@ def padded_length(used: int, room: int = LENGTH) -> int:
 
 def packed_digests(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
     """The pieces of all documents with ``ids_crc32`` and their place."""
-    pieces = cut(docs, vocab, end_id).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return pack(pieces, docs.count())
+    return pack(cut(docs, vocab, end_id), docs.count())

@@ -13,7 +13,9 @@ them, so a lost executor's images are written again and never seen twice.
 
 Defined results: null text counts as empty (its document is the end id alone);
 documents go in ascending ``doc_id`` (null first), equal ids by a hash of the
-text; an empty table gives an empty table of files.
+text, equal rows in any order; a very long text is looked up in parts and may
+make its shard longer than ``SHARD_IDS``; further columns are ignored; an empty
+table gives an empty table of files.
 """
 
 from __future__ import annotations
@@ -103,19 +105,19 @@ def _writer(vocab: str, end_id: int, shard_ids: int):
         from pyspark import TaskContext
 
         tok, part = tokenizer(vocab), TaskContext.get().partitionId()
-        bits, end = bits_for(max(tok.vocab_size, end_id + 1)), np.array([end_id], "<u4").tobytes()
+        bits, end = bits_for(max(tok.vocab_size, end_id + 1)), np.array([end_id], np.uint32)
         docs, lengths, held, n, shard, start = [], [], [], 0, 0, 0
 
         def close():
-            image = build_image(docs, lengths, np.frombuffer(b"".join(held), "<u4"), bits)
+            image = build_image(docs, lengths, np.concatenate(held), bits)
             return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "start_in_part": [start], "n_docs": [len(docs)], "n_ids": [n], "image": [image]}, schema=_ARROW)
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for key, ids in zip(keys, tok.encode(batch.column(1).to_pylist()), strict=True):
+            for key, ids in zip(keys, tok.arrays(batch.column(1).to_pylist()), strict=True):
                 docs.append(key)
                 held += (ids, end)
-                lengths.append(len(ids) // 4 + 1)
+                lengths.append(len(ids) + 1)
                 n += lengths[-1]
                 if n >= shard_ids:
                     yield close()
@@ -129,10 +131,11 @@ def _writer(vocab: str, end_id: int, shard_ids: int):
 def write_token_files(docs: DataFrame, path: str, vocab: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
     """Encode ``doc_id, text`` and write shard images in ascending ``doc_id`` order to ``path``."""
     bound_batches(docs.sparkSession)
+    # The third key lets equal rows spread over several ranges.
     ordered = (
-        docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_h"))
-        .repartitionByRange("doc_id", "_h")
-        .sortWithinPartitions("doc_id", "_h")
+        docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_h"), (F.monotonically_increasing_id() % 1021).alias("_s"))
+        .repartitionByRange("doc_id", "_h", "_s")
+        .sortWithinPartitions("doc_id", "_h", "_s")
         .select("doc_id", "text")
     )
     ordered.mapInArrow(_writer(vocab, end_id, shard_ids), IMAGES).write.parquet(path)
@@ -164,7 +167,7 @@ def _digests(batches):
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, read from the files."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # images
+    bound_batches(spark)
     files = spark.read.parquet(path)
     # One row per part; a part's offset is the ids of all parts before it.
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))

@@ -128,7 +128,7 @@ def test_chunked_encoding_is_exact():
     rnd = random.Random(2)
     texts = ["".join(rnd.choice("aB' \n\t\r.,1é\xa0 <|endoftext|>\x1c漢") for _ in range(rnd.randint(0, 30))) for _ in range(3000)] + [" a", "a ", "  a  b", "it's  we'll\n\n x", "<|endoftext|> a"]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        lib, own = Tokenizer.from_file(vocabulary(name)), ChunkTokenizer(vocabulary(name), cache_chunks=50)
+        lib, own = Tokenizer.from_file(vocabulary(name)), ChunkTokenizer(vocabulary(name), slots=1 << 8, pool_ids=1 << 10, piece_bytes=200)
         for i in range(0, len(texts), 100):
             some = texts[i : i + 100]
             assert own.encode(some) == [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(some, add_special_tokens=False)]
