@@ -11,12 +11,15 @@ less than its largest document, and the expected copies of every document equal
 its rate.  Everything random is a hash of ids: reruns agree.
 
 A hot source spreads over as many groups as its documents need; no group, task
-or driver sees a source as a whole.
+or driver sees a source as a whole.  Rows of equal id, size and source are
+counted and numbered, so that they spread as others do.
 
 Defined results: null text or a text without words has size 0 and takes 0
 words; a null source is a source of its own (last in order); rows may repeat
-(each takes part on its own); an empty table gives an empty result; targets of
-a mix without words are 0.
+(each takes part on its own); ties between equal rows are broken by their
+number; a very long text is one document as any other, and its source may miss
+its target by that much; further columns are ignored; an empty table gives an
+empty result; targets of a mix without words are 0.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Documents that fold in one group, on average.
 FAN_IN = 64
+#: Equal rows that one row stands for, at most, when they are numbered.
+REPEATS = 100_000
+#: Rows (16 bytes each) up to which the counts of copies are broadcast; beyond, they are joined.
+BROADCAST_ROWS = 1_000_000
 SEED = 20
 
 
@@ -89,11 +96,15 @@ def round_dependently(rows: DataFrame, count: int, fan_in: int = FAN_IN, seed: i
     by less than its largest size.
     """
     key = rows.schema["key"].dataType.simpleString()
+    # Equal rows become one with a count, then each again, with a number.
+    counted = rows.groupBy("grp", "n", "key", "size", "p").agg(F.count("*").alias("_m"))
+    blocks = counted.withColumn("_b", F.explode(F.expr(f"sequence(0L, (_m - 1) div {REPEATS})")))
+    rows = blocks.withColumn("_i", F.explode(F.expr(f"sequence(_b * {REPEATS}, least(_m, (_b + 1) * {REPEATS}) - 1)")))
     item, done = f"struct<h:bigint,key:{key},size:bigint,p:double>", f"struct<key:{key},size:bigint,up:int>"
     level = rows.select(
         "grp",
         F.greatest(F.ceil(F.col("n") / fan_in), F.lit(1)).cast("long").alias("groups"),
-        F.struct(F.xxhash64(F.lit(seed), "key", "size").alias("h"), "key", "size", "p").alias("item"),
+        F.struct(F.xxhash64(F.lit(seed), "key", "size", "_i").alias("h"), "key", "size", "p").alias("item"),
     )
     settled, left, depth = [], max(1, -(-count // fan_in)), 0
     while True:
@@ -149,15 +160,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, fan_in: int = FAN_IN,
     return fixed.unionByName(mixed).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix: each row as often as it is taken, with the columns it came with."""
-    chosen = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    # Rows of the same doc_id take that id's counts in turn.
-    by_id = chosen.groupBy("_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    turn = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    numbered = docs.withColumn("_turn", F.row_number().over(turn))
-    joined = numbered.join(by_id, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_n", F.expr("coalesce(get(_copies, _turn - 1), 0)")).where("_n > 0").select(
-        *cols, F.explode(F.expr("sequence(1, _n)")).alias("_copy")
-    ).drop("_copy")
+def mixed_documents(docs: DataFrame, cap: int = CAP, **how) -> DataFrame:
+    """The documents of the mix: each row as often as it is taken, with the columns it came with.
+
+    Rows of equal id and text take their counts in turn; only such repeats are
+    numbered.
+    """
+    node = F.xxhash64("doc_id", "text")
+    counts = mix(docs.select(node.alias("doc_id"), "text", "source"), cap=cap, **how)
+    # Of the rows with a node: how many there are, and how many are taken at least 1, 2, ... times.
+    least = [F.count_if(F.col("copies") >= k).alias(f"_{k}") for k in range(1, cap + 1)]
+    chosen = stored(counts.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_m"), *least).where("_1 > 0"), "mix-copies")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    met = docs.withColumn("_node", node).join(chosen, F.col("_node") == F.col("_id"))
+    times = F.lit(0)
+    for k in range(1, cap + 1):
+        times = times + (F.col("_turn") <= F.col(f"_{k}")).cast("int")
+    turn = Window.partitionBy("_node").orderBy(F.lit(0))
+    numbered = met.where("_m = 1").withColumn("_turn", F.lit(1)).unionByName(met.where("_m > 1").withColumn("_turn", F.row_number().over(turn)))
+    out = numbered.withColumn("_times", times).where("_times > 0")
+    return out.withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
