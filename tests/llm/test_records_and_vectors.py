@@ -89,3 +89,28 @@ def test_recall_on_the_tables(spark):
         s[ids == q] = -2
         hits += len(got[q] & set(ids[np.argsort(-s)[:5]]))
     assert hits >= 0.9 * 5 * len(got)
+
+
+def test_recall_of_windows_smaller_than_the_table(spark):
+    """Twenty noisy copies of every vector: the windows decide, and a query meets at most a fifth of the rows."""
+    from pyspark.sql import functions as F
+
+    base = np.array(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().embedding.tolist(), float)
+    x = np.repeat(base, 20, 0)
+    x += 0.6 * base.std() * np.random.default_rng(1).standard_normal(x.shape)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>")
+    classes = ann.usable(df).select(F.col("vec_id").alias("cls"), (F.col("vec_id") % 50 == 0).alias("is_q"), "v")
+    ranks = ann.ranked(ann.orderings(classes))
+    reach = ann.window(classes, ranks)
+    assert 0 < 2 * reach * ann.ORDERINGS <= len(x) / 5
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(u), 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argpartition(-s, 5)[:5]))
+    assert len(got) == len(u) // 50 and hits >= 0.9 * 5 * len(got)
