@@ -380,3 +380,70 @@ def test_toxicity(spark, odd, empty):
     got = toxicity.toxicity(odd, labels.limit(0)).collect()
     assert len(got) == odd.count() and all(r.score == 0 and r.predicted == 0 for r in got)
     assert toxicity.toxicity(empty, labels).count() == 0
+
+
+def _rated(spark, name):
+    docs, labels = spark.read.parquet(f"/root/testdata/{name}/documents.parquet"), spark.read.parquet(f"/root/testdata/{name}/labels.parquet")
+    out = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").select("toxic", "predicted").collect()
+    hits = sum(r.toxic == r.predicted == 1 for r in out)
+    return hits / sum(r.toxic == 1 for r in out), hits / sum(r.predicted == 1 for r in out)
+
+
+def test_toxicity_is_found_on_more_rows(spark):
+    recall, precision = _rated(spark, "check_s")
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_toxicity_scores_match_a_plain_loop():
+    import random
+
+    import zstandard
+
+    rnd = random.Random(5)
+    plain = ["alder", "birch", "cedar", "maple", "willow", "poplar", "linden", "hazel"]
+    make = lambda bad: " ".join(rnd.choice(["vexgrim", "dulkorf"] if rnd.random() < bad else plain) + rnd.choice(["", "s", "en"]) for _ in range(rnd.randint(1, 90)))
+    model = toxicity.Model([make(0.2) for _ in range(60)], [make(0.0) for _ in range(120)], 3.0)
+    texts = [make(rnd.choice([0, 0.05, 0.3])) for _ in range(60)] + [None, "", " \n", "vexgrim"]
+
+    def size(window, content, room):
+        how = zstandard.ZstdCompressionParameters(window_log=17, chain_log=17, hash_log=16, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d = zstandard.ZstdCompressionDict(content.rjust(room, b"\x00") + toxicity.PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(window))
+
+    def step(v, steps):
+        at = 0.0
+        for x, p in zip(*steps, strict=True):
+            at = p if v >= x else at
+        return at
+
+    room = max(len(model.toxic), len(model.ordinary))
+    for text, got in zip(texts, model.scores(texts), strict=True):
+        words = (text or "").encode().lower().split()
+        ws = [toxicity.PRIMER + b" " + b" ".join(words[i : i + 5]) + b" " for i in range(0, len(words), 5)]
+        ev = [size(w, model.ordinary, room) - size(w, model.toxic, room) for w in ws]
+        best = max(step(sum(e >= level for e in ev) / (1 + slope * len(ev) / 100), steps) for level, slope, steps in model.thresholds.levels)
+        assert got == step(best, model.thresholds.last) and 0 <= got <= 1
+    found = model.scores([make(0.3) for _ in range(50)] + [make(0.0) for _ in range(50)]) >= 0.7
+    assert found[:50].mean() > 0.8 and found[50:].mean() < 0.1
+
+
+def test_isotonic_steps_match_all_partitions():
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(rng.integers(1, 7))
+        x, y, w = np.arange(n).astype(float), rng.integers(0, 2, n).astype(float), rng.uniform(0.5, 2, n)
+        got = toxicity.stepped(x, toxicity.isotonic(x, y, w))
+        best = None
+        for k in range(n):
+            for cuts in combinations(range(1, n), k):
+                parts = np.split(np.arange(n), cuts)
+                means = [np.average(y[p], weights=w[p]) for p in parts]
+                if all(a <= b for a, b in zip(means, means[1:])):
+                    fit = np.concatenate([np.full(len(p), m) for p, m in zip(parts, means)])
+                    loss = (w * (y - fit) ** 2).sum()
+                    if best is None or loss < best[0] - 1e-12:
+                        best = loss, fit
+        assert np.allclose(got, best[1])
