@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,14 +39,78 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docketlens/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the
     lineage, survives a lost executor, and is evaluated once."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    if not lasting and _PASSING.get() is not None:
+        _PASSING.get().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession):
+    """Tables stored inside go at the end, but for lasting ones: nothing that is used later may read them."""
+    held: list[str] = []
+    token = _PASSING.set(held)
+    try:
+        yield held
+    finally:
+        _PASSING.reset(token)
+        for path in held:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        release_shuffles(spark)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark removes shuffle files when the driver collects what refers to them; between the steps of a long operator, do."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Keys that may be called hot at most, whatever the table's size, and rows of a key below which none is.
+HOT_KEYS, HOT_ROWS = 100_000, 512
+
+
+def hot_keys(rows: DataFrame, keys: list[str]) -> list[DataFrame | None]:
+    """For each of the columns ``_hot, _parts``: values with more than ``HOT_ROWS`` rows and more than their share
+    of ``HOT_KEYS``, so a bounded list, and in how many parts to split them; None where there are none."""
+    sides = F.array(*[F.struct(F.lit(i).alias("i"), F.col(k).alias("k")) for i, k in enumerate(keys)])
+    counts = rows.select(F.explode(sides).alias("_s")).groupBy("_s.i", "_s.k").agg(F.count("*").alias("_n"))
+    counts = stored(counts.where(F.col("_n") > HOT_ROWS), "hot-keys")
+    total = {r.i: r.n for r in counts.groupBy("i").agg(F.sum("_n").alias("n")).collect()}  # a row per column
+    out: list[DataFrame | None] = []
+    for i in range(len(keys)):
+        limit = max(HOT_ROWS, total.get(i, 0) // HOT_KEYS)
+        own = counts.where((F.col("i") == i) & (F.col("_n") > limit)).select(F.col("k").alias("_hot"), F.ceil(F.col("_n") / limit).alias("_parts"))
+        out.append(own if i in total else None)
+    return out
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Inner join with a row per key; the rows of hot keys stay where they are."""
+    if hot is None:
+        return many.join(one, key)
+    hot = F.broadcast(hot.select("_hot"))
+    of_hot = F.broadcast(one.join(hot, F.col(key) == F.col("_hot"), "left_semi"))
+    return many.join(of_hot, key).unionByName(many.join(hot, F.col(key) == F.col("_hot"), "left_anti").join(one, key))
+
+
+def join_spread(many: DataFrame, one: DataFrame, key: str, by: str, hot: DataFrame | None) -> DataFrame:
+    """Inner join with a (large) row per key; hot keys are split by ``by``, and their row is copied to each part."""
+    if hot is None:
+        return many.join(one, key)
+    hot = F.broadcast(hot)
+    left = many.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.expr(f"pmod(xxhash64(`{by}`), coalesce(_parts, 1L))")).drop("_hot", "_parts")
+    right = one.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.expr("sequence(0L, coalesce(_parts, 1L) - 1)"))).drop("_hot", "_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 #: What one Arrow batch holds at most; a single longer row is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, stored
+from .common import bound_batches, hot_keys, join_one, join_spread, passing_tables, release_shuffles, stored
 
 WORDS = 5
 #: Buckets of the count sketch (its size is fixed), and of the pieces it is summed in.
@@ -44,8 +44,8 @@ LONG_LIST = 4096
 LEADER_ROUNDS = 4
 #: Sets in a list from which pairs are formed at their first common shingle only.
 LONG_PAIRS = 16
-#: Sets of a component in a block; two blocks meet in a task.
-LINK_BLOCK = 256
+#: Sets of a component, and of a list, in a block; two blocks meet in a task.
+LINK_BLOCK, LIST_BLOCK = 256, 1024
 #: Ids (8 bytes each) up to which a list of documents is broadcast; beyond, it is joined.
 BROADCAST_IDS = 1_000_000
 
@@ -164,7 +164,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """``doc_id, n, f1, f2`` of every document, and the sketch (``SKETCH`` counts, whatever the input's size)."""
     import pandas as pd
 
-    both = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_survey, "doc_id long, n long, f1 long, f2 long, piece int, counts binary"), "jaccard-survey")
+    both = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_survey, "doc_id long, n long, f1 long, f2 long, piece int, counts binary"), "jaccard-survey", lasting=True)
 
     def add(frames):
         total: dict[int, np.ndarray] = {}
@@ -291,12 +291,11 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             rows = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))]
             yield pa.RecordBatch.from_pydict({"a": [r[0] for r in rows], "b": [r[1] for r in rows]}, schema=schema)
 
-    both = (
-        pairs.join(found.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a")
-        .join(found.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
-        .select("a", "b", "x", "y")
-    )
-    return both.mapInArrow(check, "a long, b long")
+    # A leader meets many sets: its pairs spread over tasks.
+    hot_a, hot_b = hot_keys(pairs, ["a", "b"])
+    with_x = join_spread(pairs.select("a", "b"), found.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a", "b", hot_a)
+    both = join_spread(with_x, found.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b", "a", hot_b)
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -320,11 +319,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings of lists that still hold different components: ``gram, x, label``."""
+def _labelled(shared: DataFrame, labels: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Postings of lists that still hold different components: ``gram, x, label, size``."""
     told = shared.join(labels, F.col("x.rep") == F.col("node"), "left").select("gram", "x", F.coalesce("root", "x.rep").alias("label"))
+    told = told if hot is None else stored(told, "jaccard-told")
     mixed = told.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).where("l <> h").select("gram", "size")
-    return told.join(mixed, "gram")
+    return join_one(told, mixed, "gram", hot)
 
 
 def _remaining(left: DataFrame, shared: DataFrame) -> DataFrame:
@@ -343,11 +343,16 @@ def _remaining(left: DataFrame, shared: DataFrame) -> DataFrame:
     grams = shared.select(F.col("x.rep").alias("r"), F.struct("x.pos", "gram").alias("p")).join(reps, F.col("r") == F.col("_r"), "left_semi")
     grams = grams.groupBy("r").agg(F.collect_list("p").alias("all"))
     long = stored(
-        long.join(grams, F.col("x.rep") == F.col("r")).select("gram", "x", "label", F.expr("transform(filter(all, p -> p.pos < x.pos), p -> p.gram)").alias("early")),
+        long.join(grams, F.col("x.rep") == F.col("r")).select("gram", "x", "label", "size", F.expr("transform(filter(all, p -> p.pos < x.pos), p -> p.gram)").alias("early")),
         "jaccard-long",
     )
-    again = F.expr(f"{join} AND NOT arrays_overlap(early, f)")
-    return pairs.unionByName(_pairs(long.join(long.select(*other, F.col("early").alias("f")), again).select("x", "y"))).distinct()
+    # The sets of a list are dealt into blocks, and every two blocks meet in a group of their own.
+    blocks = f"cast(ceil(size / {LIST_BLOCK}) as long)"
+    dealt = long.withColumn("own", F.expr(f"pmod(xxhash64(x.rep), {blocks})")).withColumn("k", F.explode(F.expr(f"sequence(0L, {blocks} - 1)")))
+    dealt = dealt.select("gram", "x", "label", "early", "own", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+    met = dealt.select(*other, F.col("early").alias("f"), F.col("own").alias("own2"), F.col("i").alias("i2"), F.col("j").alias("j2"))
+    again = F.expr(f"{join} AND i = i2 AND j = j2 AND (i = j OR own <> own2) AND NOT arrays_overlap(early, f)")
+    return pairs.unionByName(_pairs(dealt.join(met, again).select("x", "y"))).distinct()
 
 
 def _more(links: DataFrame, labels: DataFrame, pairs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
@@ -361,11 +366,16 @@ def _more(links: DataFrame, labels: DataFrame, pairs: DataFrame, docs: DataFrame
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sizes and fingerprints of the documents, their classes, and the components of linked classes."""
+    bound_batches(docs.sparkSession)
+    with passing_tables(docs.sparkSession):
+        return _join_steps(docs)
+
+
+def _join_steps(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
-    bound_batches(spark)
     sizes, sketch = survey(docs)
     counts = spark.sparkContext.broadcast(sketch)  # SKETCH numbers
-    classes = stored(classes_with_prefix(docs, counts), "jaccard-classes")
+    classes = stored(classes_with_prefix(docs, counts), "jaccard-classes", lasting=True)
     list_ = Window.partitionBy("key")
     x = F.struct(F.shiftright("np", 32).alias("n"), "rep", F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
     spread = postings(classes, counts).select("key", x.alias("x"))
@@ -380,21 +390,24 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     tried = stored(_pairs(shared.select("x", F.col("leader").alias("y"))), "jaccard-pairs")
     links = stored(verify(tried, docs), "jaccard-links")
     labels = components(links)
+    release_shuffles(spark)
+    (hot,) = hot_keys(shared, ["gram"])
     # Lists of several components: each set with other leaders, by chance, while that adds links.
-    left = stored(_labelled(shared, labels), "jaccard-left")
+    left = stored(_labelled(shared, labels, hot), "jaccard-left")
     for turn in range(LEADER_ROUNDS):
         other = left.groupBy("gram").agg(F.max_by(F.struct("x", "label"), F.xxhash64(F.lit(turn), "gram", "x.rep")).alias("o"))
-        again = _pairs(left.join(other, "gram").where("label <> o.label").select("x", F.col("o.x").alias("y")))
+        again = _pairs(join_one(left, other, "gram", hot).where("label <> o.label").select("x", F.col("o.x").alias("y")))
         again = stored(again.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         links, labels, changed = _more(links, labels, again, docs)
         tried = tried.unionByName(again)
         if not changed:
             break
-        left = stored(_labelled(shared, labels), "jaccard-left")
+        left = stored(_labelled(shared, labels, hot), "jaccard-left")
+        release_shuffles(spark)
     # All pairs of different components that are left.
     rest = stored(_remaining(left, shared).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     links, labels, _ = _more(links, labels, rest, docs)
-    return sizes, classes, stored(labels, "jaccard-components")
+    return sizes, classes, stored(labels, "jaccard-components", lasting=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

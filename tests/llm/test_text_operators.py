@@ -447,3 +447,26 @@ def test_isotonic_steps_match_all_partitions():
                     if best is None or loss < best[0] - 1e-12:
                         best = loss, fit
         assert np.allclose(got, best[1])
+
+
+def test_jaccard_components_do_not_depend_on_what_is_hot(spark, monkeypatch):
+    import random
+
+    from docketlens.llm import common
+
+    rnd = random.Random(11)
+    base = [[f"w{rnd.randrange(400)}" for _ in range(40)] for _ in range(4)]
+    rows = []
+    for i in range(120):
+        w = list(base[i % 4])
+        for _ in range(rnd.randint(0, 2)):
+            w[rnd.randrange(len(w))] = f"x{i % 7}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {tuple(r) for r in jaccard.near_duplicates(docs).collect()}
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    monkeypatch.setattr(jaccard, "LONG_PAIRS", 4)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 3)
+    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", 0)
+    assert {tuple(r) for r in jaccard.near_duplicates(docs).collect()} == want
