@@ -6,6 +6,7 @@ import gc
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,9 +81,8 @@ HOT_KEYS, HOT_ROWS = 100_000, 512
 def hot_keys(rows: DataFrame, keys: list[str]) -> list[DataFrame | None]:
     """For each of the columns ``_hot, _parts``: values with more than ``HOT_ROWS`` rows and more than their share
     of ``HOT_KEYS``, so a bounded list, and in how many parts to split them; None where there are none."""
-    sides = F.array(*[F.struct(F.lit(i).alias("i"), F.col(k).alias("k")) for i, k in enumerate(keys)])
-    counts = rows.select(F.explode(sides).alias("_s")).groupBy("_s.i", "_s.k").agg(F.count("*").alias("_n"))
-    counts = stored(counts.where(F.col("_n") > HOT_ROWS), "hot-keys")
+    each = [rows.groupBy(F.lit(i).alias("i"), F.col(k).alias("k")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS) for i, k in enumerate(keys)]
+    counts = stored(reduce(DataFrame.unionByName, each), "hot-keys")
     total = {r.i: r.n for r in counts.groupBy("i").agg(F.sum("_n").alias("n")).collect()}  # a row per column
     out: list[DataFrame | None] = []
     for i in range(len(keys)):

@@ -40,7 +40,7 @@ WORDS = 5
 SKETCH, PIECE = 1 << 20, 1 << 14
 #: A list that the sketch puts above this is split into lists of about this many.
 LONG_LIST = 4096
-#: Rounds of leaders by chance, at most, before all that is left meets.
+#: Rounds of leaders by chance, at most (an even number), before all that is left meets.
 LEADER_ROUNDS = 4
 #: Sets in a list from which pairs are formed at their first common shingle only.
 LONG_PAIRS = 16
@@ -299,18 +299,15 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root`` of every linked node: alternating large-star and small-star steps."""
+    """``node, root`` of every linked node: alternating large-star and small-star steps, until no root has a root."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "jaccard-edges")
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(state) == before or state[0] == 0:
-            break
-        before = tuple(state)
+    while not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).unionByName(
+        edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").select("u", F.lit(1).alias("n")).limit(1)
+    ).isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Large star: neighbours above a node move to its lowest neighbour.
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = stored(large, "jaccard-large")
         # Small star: a node and its neighbours below move to the lowest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -355,13 +352,12 @@ def _remaining(left: DataFrame, shared: DataFrame) -> DataFrame:
     return pairs.unionByName(_pairs(dealt.join(met, again).select("x", "y"))).distinct()
 
 
-def _more(links: DataFrame, labels: DataFrame, pairs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """Links and components with what the pairs add; whether they add anything."""
-    new = stored(verify(pairs, docs), "jaccard-links") if pairs.limit(1).count() else None
-    if new is None or not new.limit(1).count():
-        return links, labels, False
-    links = links.unionByName(new)
-    return links, components(links), True
+def _more(links: DataFrame, pairs: DataFrame, docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Links with those that the pairs add; whether they add any."""
+    if pairs.isEmpty():
+        return links, False
+    new = stored(verify(pairs, docs), "jaccard-links")
+    return (links, False) if new.isEmpty() else (links.unionByName(new), True)
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -394,19 +390,24 @@ def _join_steps(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     (hot,) = hot_keys(shared, ["gram"])
     # Lists of several components: each set with other leaders, by chance, while that adds links.
     left = stored(_labelled(shared, labels, hot), "jaccard-left")
-    for turn in range(LEADER_ROUNDS):
-        other = left.groupBy("gram").agg(F.max_by(F.struct("x", "label"), F.xxhash64(F.lit(turn), "gram", "x.rep")).alias("o"))
-        again = _pairs(join_one(left, other, "gram", hot).where("label <> o.label").select("x", F.col("o.x").alias("y")))
-        again = stored(again.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        links, labels, changed = _more(links, labels, again, docs)
-        tried = tried.unionByName(again)
-        if not changed:
+    # Components are found anew after every second round only.
+    for turn in range(0, LEADER_ROUNDS, 2):
+        added = False
+        for seed in (turn, turn + 1):
+            other = left.groupBy("gram").agg(F.max_by(F.struct("x", "label"), F.xxhash64(F.lit(seed), "gram", "x.rep")).alias("o"))
+            again = _pairs(join_one(left, other, "gram", hot).where("label <> o.label").select("x", F.col("o.x").alias("y")))
+            again = stored(again.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+            links, more = _more(links, again, docs)
+            tried, added = tried.unionByName(again), added or more
+        if not added:
             break
+        labels = components(links)
         left = stored(_labelled(shared, labels, hot), "jaccard-left")
         release_shuffles(spark)
     # All pairs of different components that are left.
     rest = stored(_remaining(left, shared).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    links, labels, _ = _more(links, labels, rest, docs)
+    links, more = _more(links, rest, docs)
+    labels = components(links) if more else labels
     return sizes, classes, stored(labels, "jaccard-components", lasting=True)
 
 
