@@ -47,25 +47,28 @@ BASIC_PHRASES = ["forma pauperis", "ifp"]
 ALL_PHRASES = ["forma pauperis", "ifp", "prepay", "prepaying", "1915"]
 APPEAL_PHRASES = ["appeal"]
 
-# Words of the sealing indicators.
-SEAL, MOTION = r"(un)?seal", r"motions?"
-ARTICLE = r"(document|motion|order|exhibit|transcript|brief|response|reply|affidavit|memorandum)s?"
+# Fixed values of the sealing indicators: fragments, then a pattern for each flag.
+ARTICLE = r"(motion|order|document|reply|response|affidavit|attachment|transcript|declaration|image|exhibit|indictment|judgement|vesrion)s?"
+DOCKET_NO = r"\(?\d{1,4}\)?"
+SEAL = r"(seal|file (\w+ )?under seal)"
+UNSEAL = r"(?<!\(case )unseal"
+MOTION = r"motion( for leave)?"
 INDICATORS = {
     "seal_motion": rf"({MOTION}|order) (by (\S+ ){{1,15}})?(to {SEAL}|sealing)",
     "unseal_motion": rf"(unsealing)|(({MOTION}|order) (by (\S+ ){{1,15}})?(to unseal|unsealing))",
-    "seal_grant": rf"granting {MOTION} to {SEAL}",
-    "seal_grant_p": rf"granting in part {MOTION} to {SEAL}",
-    "seal_deny": rf"denying (as moot |without prejudice )?{MOTION} to {SEAL}",
-    "seal_deny_p": rf"denying in part {MOTION} to {SEAL}",
-    "unseal_grant": rf"granting {MOTION} to unseal",
-    "unseal_grant_p": rf"granting in part {MOTION} to unseal",
-    "unseal_deny": rf"denying (as moot |without prejudice )?{MOTION} to unseal",
-    "unseal_deny_p": rf"denying in part {MOTION} to unseal",
+    "seal_grant": rf"granting ({DOCKET_NO} )?{MOTION} to {SEAL}",
+    "seal_grant_p": rf"granting in part ({DOCKET_NO} )?{MOTION} to {SEAL}",
+    "seal_deny": rf"denying (as moot |without prejudice )?({DOCKET_NO} )?{MOTION} to {SEAL}",
+    "seal_deny_p": rf"denying in part ({DOCKET_NO} )?{MOTION} to {SEAL}",
+    "unseal_grant": rf"granting ({DOCKET_NO} )?{MOTION} to unseal",
+    "unseal_grant_p": rf"granting in part ({DOCKET_NO} )?{MOTION} to unseal",
+    "unseal_deny": rf"denying (as moot |without prejudice )?({DOCKET_NO} )?{MOTION} to unseal",
+    "unseal_deny_p": rf"denying in part ({DOCKET_NO} )?{MOTION} to unseal",
     "part_grant_deny": r"((granted|granting),? in part and (denied|denying) in part|granting\s?/\s?denying in part)",
     "parenthesis": rf"\(sealed( {ARTICLE})?\)",
     "case_unsealed": "case unsealed",
     "system_entry": "^system entry",
-    "sealed_article": rf"sealed {ARTICLE}",
+    "sealed_article": rf"(?<!if there are )sealed {ARTICLE}",
     "e_gov": "e-government",
     "redacted": rf"^redaction|(un)?redacted {ARTICLE}",
     "protective": r"^(agreed |joint |notice of motion.{1,55})?(motion for )?protective order",
@@ -86,3 +89,25 @@ PREFIX_CATEGORIES = {
 LABEL_RANK = ["FJC Judge", "BA-MAG Judge", "District_Judge", "Magistrate_Judge", "Bankruptcy_Judge", "Circuit_Appeals", "Nondescript_Judge", "Judicial_Actor"]
 # Nature-of-suit codes of prisoner cases.
 PRISONER_NOS = [510, 530, 535, 540, 550, 555, 560]
+# Letters without their accents, as pairs.
+ACCENTS = ("áàéêéíóöúüñ", "aaeeeioouun")
+# Steps of the name cleaner, in order: what goes (any case where marked), and what stands there instead.
+NAME_STEPS = [
+    (r"(?i)(mag\. judge|judge|magjud|- ?MagJud|magistrate)", ""),
+    (r"(?i)(\\xc2|\\xa71)", ""),
+    (r"(?i)(\\xc3|\\xa1)", "a"),
+    (r"(?i)'s($|\s+(?!(jr|sr)\.*))|' s$", " "),
+    (r"[0-9]", ""),
+    (r"(!|\"|#|%|&|\*|\+|,|/|=|\?|@|\^|_|`|~|\$|\||\\)", " "),
+    (r"[.](?=[^\s])", " "),
+    (r"[.](?=[\s])", ""),
+    (r"['](?=[\s])|(?<=[\s])[']", ""),
+    (r"(?<=[^\s]) [-](?=[^\s])|(?<=[^\s])[-] (?=[^\s])", "-"),
+    (r"[-]", " "),
+    (r"[']", ""),
+    (r"(?<=[a-zA-Z])[\[](?=[a-zA-Z]+)", ""),
+    (r"(?<=[a-zA-Z])[\]](?=[\s]+)", ""),
+    (r"[.]", ""),
+    (r"(?i) (sr|snr|senior)", " sr"),
+    (r"(?i) (jr|jnr|junior)", " jr"),
+]

@@ -48,19 +48,11 @@ def sentences(text: Column) -> Column:
 
 
 def clean_name(name: Column) -> Column:
-    """Accents, titles, punctuation and runs of spaces out of a name; suffixes in one spelling."""
-    out = F.lower(F.translate(name, "áéíóúñüÁÉÍÓÚÑÜ", "aeiounuAEIOUNU"))
-    for pattern, new in [
-        (r"\b(the )?(honorable|hon|judge|justice|magistrate|chief|senior|district|us|u\.s\.)\b\.?", " "),
-        (r"[^a-z ,'-]", " "),
-        (r"'s\b", ""),
-        (r",? (jr|junior)\b\.?", " jr"),
-        (r",? (sr|senior)\b\.?", " sr"),
-        (r"[,]", " "),
-        (r"\s+", " "),
-    ]:
+    """Accents, titles, digits, punctuation, possessives and runs of spaces out of a name; suffixes in one spelling; lower case."""
+    out = F.translate(name, *P.ACCENTS)
+    for pattern, new in P.NAME_STEPS:
         out = F.regexp_replace(out, pattern, new)
-    return F.trim(out)
+    return F.trim(F.regexp_replace(F.lower(out), r"\s+", " "))
 
 
 def presentable(name: Column) -> Column:

@@ -30,6 +30,14 @@ def wrong_assignment(lines: DataFrame, case: str, text: str) -> DataFrame:
     return lines.groupBy(case).agg(F.bool_or(hit).alias("wrong"))
 
 
+def between_lines(lines: DataFrame, case: str, index: str, opens, closes) -> DataFrame:
+    """Of each case the lines from its first one that ``opens`` to the first after it that ``closes``; cases without either have none."""
+    of_case = Window.partitionBy(case)
+    opened = lines.withColumn("_first", F.min(F.when(opens, F.col(index))).over(of_case))
+    closed = opened.withColumn("_last", F.min(F.when(closes & (F.col(index) > F.col("_first")), F.col(index))).over(of_case))
+    return closed.where(F.col(index).between(F.col("_first"), F.col("_last"))).drop("_first", "_last")
+
+
 def outcome_priority(lines: DataFrame, case: str, index: str, outcome: str, order: list[int] | None = None) -> DataFrame:
     """Of each case the first line of its best outcome; without one, its first line with outcome 0."""
     order = order or P.OUTCOME_PRIORITY

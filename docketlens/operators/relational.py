@@ -23,26 +23,39 @@ def category_pivot(rows: DataFrame, entity: str, category: str, case: str, categ
     return rows.groupBy(entity).pivot(category, categories).agg(F.countDistinct(case)).na.fill(0)
 
 
-def label_ladder(pivot: DataFrame, total: str, head: str, categories: list[str]) -> DataFrame:
-    """A label from the shares of the categories: one alone, a leading one of half, a quarter that no rival has, else generic."""
+def label_ladder(pivot: DataFrame, total: str, head: str, categories: list[str], fjc: str | None = None, ba_mag: str | None = None, prior: str | None = None) -> DataFrame:
+    """A label for each entity, by the first rule that holds; ties for the largest share go to the category listed first.
+
+    ``fjc`` and ``ba_mag`` are flags of known judges, ``prior`` an earlier id:
+    an entity that has one keeps its label where the ladder would deny one.
+    """
     s = reduce(lambda a, b: a + b, [F.col(c) for c in categories])
     share = {c: F.try_divide(100.0 * F.col(c), s) for c in categories}
-    ranked = [c for c in ("Magistrate_Judge", "District_Judge", "Bankruptcy_Judge") if c in categories]
-    weak = [c for c in ("Nondescript_Judge", "No_Keywords", "Judicial_Actor") if c in categories]
-    out = F.when((F.col(total) <= 3) & (F.col(head) == 0), "deny - low occurence")
-    if "No_Keywords" in share:
-        out = out.when(share["No_Keywords"] == 100, "deny - Junk")
-    for c in categories:
-        out = out.when(share[c] == 100, c)
-    for c in ranked:
-        rest = reduce(lambda a, b: a & b, [share[o] == 0 for o in categories if o != c and o not in weak], F.lit(True))
-        out = out.when(rest & ((F.col(total) > 3) | F.lit(c != "District_Judge")), c)
+    of = lambda c: share.get(c, F.lit(0.0))
+    ranked, weak = ("Magistrate_Judge", "District_Judge", "Bankruptcy_Judge"), ("Nondescript_Judge", "No_Keywords", "Judicial_Actor")
+    seen, headed = {c: F.lit(True) for c in ranked} | {"District_Judge": F.col(total) > 3}, F.col(head) > 0
+    largest = lambda cs: F.array_max(F.array(*[F.struct(share[c].alias("share"), F.lit(-i).alias("i"), F.lit(c).alias("name")) for i, c in enumerate(cs)]))
+    top, next_ = largest(categories)["name"], largest([c for c in categories if c != "Nondescript_Judge"])
+    rules = [(F.col(flag), label) for flag, label in ((fjc, "FJC Judge"), (ba_mag, "BA-MAG Judge")) if flag]
+    rules += [((F.col(total) <= 3) & ~headed, "deny - low occurence"), (of("No_Keywords") == 100, "deny - Junk")]
+    rules += [(share[c] == 100, c) for c in categories]
     for c in ranked:
-        out = out.when((share[c] >= 50) & ((F.col(total) > 3) | F.lit(c != "District_Judge")), c)
+        rules.append((reduce(lambda a, b: a & b, [share[o] == 0 for o in categories if o != c and o not in weak], F.lit(True)) & seen[c], c))
+    rules += [((of(c) >= 50) & seen[c], c) for c in ranked]
     for c in ranked:
-        rivals = reduce(lambda a, b: a & b, [share[o] < 25 for o in ranked if o != c], F.lit(True))
-        out = out.when((share[c] >= 25) & rivals & ((F.col(total) > 3) | F.lit(c != "District_Judge")), c)
-    return pivot.withColumn("label", out.otherwise("Nondescript_Judge"))
+        rules.append((reduce(lambda a, b: a & b, [of(o) < 25 for o in ranked if o != c]) & (of(c) >= 25) & seen[c], c))
+    rules += [((of(c) > 5) & headed, label) for c, label in (("District_Judge", "District_Judge**"), ("Magistrate_Judge", "Magistrate_Judge"), ("Bankruptcy_Judge", "Bankruptcy_Judge**"))]
+    generic = (F.col(total) >= 25) & (top == "Nondescript_Judge")
+    rules += [(generic & (next_["share"] > 10), next_["name"]), (generic, "Nondescript_Judge")]
+    rules.append(((top == "No_Keywords") & (of("No_Keywords") >= 90), "--- deny --- insufficient data"))
+    rules.append((of("No_Keywords") + of("Judicial_Actor") > 60, "--- deny --- clerk or attorney"))
+    out = F.when(F.lit(False), "")
+    for holds, label in rules:
+        out = out.when(holds, label)
+    out = out.otherwise("Nondescript_Judge")
+    if prior:
+        out = F.when(F.col(prior).isNotNull() & out.contains("deny"), "Maintain Prior JEL").otherwise(out)
+    return pivot.withColumn("label", out)
 
 
 def frequent(rows: DataFrame, keys: list[str], case: str, least: int) -> DataFrame:

@@ -23,7 +23,7 @@ def tidy(flags: DataFrame) -> DataFrame:
     first, and its settled value counts against the unsealing one.
     """
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    unseal = low.contains("unseal")
+    unseal, mention = low.contains("unseal"), low.rlike(P.UNSEAL)
     one = flags.withColumns({
         "sealed_without_motion": F.col("system_entry") | F.col("parenthesis"),
         "unseal_grant_deny": F.col("part_grant_deny") & unseal,
@@ -33,10 +33,10 @@ def tidy(flags: DataFrame) -> DataFrame:
     two = one.withColumns(full)
     granted, denied = low.contains("granted"), low.contains("denied")
     three = two.withColumns({
-        "unseal_grant": F.col("unseal_grant") | (granted & unseal & ~F.col("unseal_grant_deny")),
-        "seal_grant": F.col("seal_grant") | (granted & ~unseal & ~F.col("seal_grant_deny")),
-        "unseal_deny": F.col("unseal_deny") | (denied & unseal & ~F.col("unseal_grant_deny") & ~low.contains("if there are sealed")),
-        "seal_deny": F.col("seal_deny") | (denied & ~unseal & ~F.col("unseal_grant_deny")),
+        "unseal_grant": F.col("unseal_grant") | (granted & mention & ~F.col("unseal_grant_deny")),
+        "seal_grant": F.col("seal_grant") | (granted & ~mention & ~F.col("seal_grant_deny")),
+        "unseal_deny": F.col("unseal_deny") | (denied & mention & ~F.col("unseal_grant_deny") & ~low.contains("if there are sealed")),
+        "seal_deny": F.col("seal_deny") | (denied & ~mention & ~F.col("unseal_grant_deny")),
     })
     names = [*P.INDICATORS, "sealed_without_motion", "unseal_grant_deny", "seal_grant_deny"]
     any_but = lambda skip: reduce(lambda a, b: a | b, [F.col(n) for n in names if n != skip])
@@ -46,8 +46,8 @@ def tidy(flags: DataFrame) -> DataFrame:
 
 
 def sealed_item():
-    """A sealed article, or restricted without any motion or outcome."""
-    settled = reduce(lambda a, b: a | b, [F.col(c) for c in ("seal_motion", "unseal_motion", "seal_grant", "seal_deny", "unseal_grant", "unseal_deny")])
+    """A sealed article (whatever else the line is), or restricted without a motion or one of these outcomes of tidy rows."""
+    settled = reduce(lambda a, b: a | b, [F.col(c) for c in ("seal_motion", "unseal_motion", "seal_grant", "unseal_grant", "unseal_deny", "seal_grant_deny", "unseal_grant_deny")])
     return F.col("sealed_article") | (F.col("restricted") & ~settled)
 
 

@@ -6,6 +6,8 @@ judge's own, so no judge is ever paired with other judges' rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,18 +56,19 @@ def leave_one_out(rows: DataFrame, judge: str, court: str, value: str, min_cases
         "*",
         (F.col("mean_judge") - F.col("mean_other")).alias("diff"),
         F.sqrt(a + b).alias("se"),
-        F.try_divide((a + b) * (a + b), a * a / (F.col("n_judge") - 1) + F.when(F.col("n_other") > 1, b * b / (F.col("n_other") - 1)).otherwise(F.lit(0.0))).alias("df"),
+        F.try_divide((a + b) * (a + b), a * a / (F.col("n_judge") - 1) + F.try_divide(b * b, F.col("n_other") - 1)).alias("df"),
     )
 
 
 def welch_intervals(rows: DataFrame, judge: str, court: str, value: str, level: float = 0.95, min_cases: int = 5) -> DataFrame:
-    """``leave_one_out`` with ``lb, ub`` at the level and ``sig``: the interval excludes zero."""
+    """``leave_one_out`` with ``lb, ub`` at the level and ``sig``: the interval excludes zero.  Without degrees of
+    freedom (no variance, or a single other row) there is no interval, and nothing is significant."""
     t = t_critical(0.5 + level / 2, F.col("df"))
     out = leave_one_out(rows, judge, court, value, min_cases).withColumn("_t", t)
     return (
         out.withColumn("lb", F.col("diff") - F.col("_t") * F.col("se"))
         .withColumn("ub", F.col("diff") + F.col("_t") * F.col("se"))
-        .withColumn("sig", F.signum("lb") == F.signum("ub"))
+        .withColumn("sig", F.coalesce(F.signum("lb") == F.signum("ub"), F.lit(False)))
         .drop("_t")
     )
 
@@ -84,12 +87,15 @@ def trim_outliers(rows: DataFrame, average: str, share: float) -> DataFrame:
     return rows.where(F.col(average).between(share / 2, 1 - share / 2))
 
 
-def significance_table(runs: list[tuple[str, DataFrame]], court: str, critical: float = 1.959963984540054, level: float = 0.05) -> DataFrame:
-    """Runs unioned; by court and run: significant judges, judges, their share, and whether the share passes ``level``."""
-    out = None
-    for name, run in runs:
-        part = run.select(court, (F.abs("diff") > critical * F.col("se")).cast("int").alias("sig"), F.lit(name).alias("excl"))
-        out = part if out is None else out.unionByName(part)
+def without_prisoners(rows: DataFrame, prisoner: str) -> DataFrame:
+    return rows.where(~F.coalesce(F.col(prisoner), F.lit(False)))
+
+
+def significance_table(runs: list[tuple[str, DataFrame]], court: str, level: float = 0.05, left_out: tuple[str, ...] = ("nmid",)) -> DataFrame:
+    """Runs of ``welch_intervals`` unioned; by court and run: judges whose interval excludes zero, judges, their
+    share, and whether the share passes ``level``.  Courts in ``left_out`` are not compared."""
+    parts = [run.select(court, F.col("sig").cast("int").alias("sig"), F.lit(name).alias("excl")) for name, run in runs]
+    out = reduce(DataFrame.unionByName, parts).where(~F.col(court).isin(*left_out))
     return out.groupBy(court, "excl").agg(F.sum("sig").alias("jsum"), F.count("sig").alias("jcount"), F.avg("sig").alias("jmean")).withColumn("is_sig", F.col("jmean") > level)
 
 

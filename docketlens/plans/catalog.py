@@ -105,7 +105,7 @@ _MOMENTS = f"""{DECISIONS}, j AS (
 @query(f"""WITH {_MOMENTS}, y AS (SELECT *, vj / n AS a, vo / no AS b FROM x WHERE n > 5 AND no > 0)
 SELECT court, judge, CAST(n AS BIGINT) AS n_judge, CAST(no AS BIGINT) AS n_other, round(mj, 6) AS mean_judge, round(mo, 6) AS mean_other,
        round(vj, 6) AS var_judge, round(vo, 6) AS var_other, round(mj - mo, 6) AS diff, round(sqrt(a + b), 6) AS se,
-       round((a + b) * (a + b) / nullif(a * a / (n - 1) + CASE WHEN no > 1 THEN b * b / (no - 1) ELSE 0 END, 0), 4) AS df
+       round((a + b) * (a + b) / nullif(a * a / (n - 1) + b * b / nullif(no - 1, 0), 0), 4) AS df
 FROM y""")
 def leave_one_out_diff(spark, d):
     out = statistics.leave_one_out(decisions(spark, d), "judge", "court", "g")
@@ -126,13 +126,38 @@ def pooled_ttest_diff(spark, d):
     return rounded(out, "diff", "se").select("court", "judge", "n_judge", "n_other", "diff", "se", "df")
 
 
-@query(f"""WITH {_MOMENTS}, y AS (
-  SELECT court, n, CASE WHEN abs(mj - mo) > 1.959963984540054 * sqrt(vj / n + vo / no) THEN 1 ELSE 0 END AS sig FROM x WHERE n > 5 AND no > 0
-), u AS (SELECT court, sig, 'all' AS excl FROM y UNION ALL SELECT court, sig, 'over10' FROM y WHERE n > 10)
-SELECT court, excl, CAST(sum(sig) AS BIGINT) AS jsum, count(*) AS jcount, round(avg(sig), 6) AS jmean, avg(sig) > 0.05 AS is_sig FROM u GROUP BY court, excl""")
+# The share of Student's distribution within t is an integral over the angle: Simpson's rule on 400 steps.
+_SIG = f"""WITH {DECISIONS}, d AS (
+  SELECT judge, court, g, o_orderpriority = '1-URGENT' AS prisoner, avg(g) OVER (PARTITION BY judge) AS average FROM decisions JOIN orders ON o_orderkey = case_id
+), runs AS (
+  SELECT court, judge, g, 'none' AS excl FROM d UNION ALL SELECT court, judge, g, 'prisoners and outliers' FROM d WHERE NOT prisoner AND average BETWEEN 0.05 AND 0.95
+), j AS (
+  SELECT excl, court, judge, count(*) AS n, CAST(sum(g) AS DOUBLE) AS s FROM runs GROUP BY ALL
+), m AS (
+  SELECT *, sum(n) OVER c - n AS no, sum(s) OVER c - s AS so FROM j WINDOW c AS (PARTITION BY excl, court)
+), v AS (
+  SELECT excl, court, judge, n, no, s / n AS mj, so / no AS mo FROM m WHERE n > 5 AND no > 0
+), y AS (
+  SELECT *, greatest(mj - mj * mj, 0) / n AS a, greatest(mo - mo * mo, 0) / no AS b FROM v
+), z AS (
+  SELECT excl, court, judge, (a + b) * (a + b) / nullif(a * a / (n - 1) + b * b / nullif(no - 1, 0), 0) AS df, abs(mj - mo) / nullif(sqrt(a + b), 0) AS t FROM y
+), steps AS (
+  SELECT z.*, k, atan(t / sqrt(df)) AS u FROM z, generate_series(0, 400) AS g(k)
+), within AS (
+  SELECT excl, court, judge, sum((CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(u * k / 400), df - 1)) * max(u) / 1200
+         * 2 / exp(lgamma(0.5) + lgamma(max(df) / 2) - lgamma((max(df) + 1) / 2)) AS p FROM steps GROUP BY ALL
+), f AS (SELECT court, excl, CASE WHEN p > 0.95 THEN 1 ELSE 0 END AS sig FROM within)"""
+
+
+@query(f"""{_SIG}
+SELECT court, excl, CAST(sum(sig) AS BIGINT) AS jsum, count(*) AS jcount, round(avg(sig), 6) AS jmean, avg(sig) > 0.05 AS is_sig FROM f GROUP BY court, excl""")
 def sig_lookup(spark, d):
-    one = statistics.leave_one_out(decisions(spark, d), "judge", "court", "g")
-    return rounded(statistics.significance_table([("all", one), ("over10", one.where("n_judge > 10"))], "court"), "jmean")
+    """All decisions, and those without prisoners' cases and judges at the extremes."""
+    rows = decisions(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_orderpriority") == "1-URGENT").alias("prisoner")), "case_id")
+    told = statistics.totals(rows, ["judge"], "outcome")
+    fewer = statistics.without_prisoners(statistics.trim_outliers(told, "decision_average", 0.1), "prisoner")
+    runs = [(name, statistics.welch_intervals(x, "judge", "court", "g")) for name, x in (("none", rows), ("prisoners and outliers", fewer))]
+    return rounded(statistics.significance_table(runs, "court"), "jmean")
 
 
 @query("""WITH j AS (SELECT l_suppkey AS judge, count(*) AS n, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS rate FROM lineitem GROUP BY 1 HAVING count(*) >= 35)
@@ -187,10 +212,14 @@ def transfer_blocks(spark, d):
     return dockets.transfer_blocks(lines(spark, d).select("case_id", "idx", "event_type"), "case_id", "idx", F.col("event_type") == "error").select("case_id", "idx", "block")
 
 
-@query(f"""WITH {LINES}, c AS (SELECT case_id, event_type, count(*) AS n FROM lines WHERE idx BETWEEN 1000 AND 5000 GROUP BY 1, 2), m AS (SELECT *, max(n) OVER (PARTITION BY case_id) AS x FROM c)
+@query(f"""WITH {LINES}, a AS (SELECT case_id, min(idx) AS first FROM lines WHERE event_type = 'signup' GROUP BY 1),
+  b AS (SELECT case_id, first, min(idx) AS last FROM lines JOIN a USING (case_id) WHERE event_type = 'purchase' AND idx > first GROUP BY 1, 2),
+  c AS (SELECT case_id, event_type, count(*) AS n FROM lines JOIN b USING (case_id) WHERE idx BETWEEN first AND last GROUP BY 1, 2), m AS (SELECT *, max(n) OVER (PARTITION BY case_id) AS x FROM c)
 SELECT case_id, CASE WHEN count(*) = 1 THEN min(event_type) END AS event_type, max(n) AS n FROM m WHERE n = x GROUP BY case_id""")
 def unique_mode_between(spark, d):
-    return dockets.unique_mode(lines(spark, d).where("idx BETWEEN 1000 AND 5000"), "case_id", "event_type")
+    """From each case's first application to its first resolution after that."""
+    between = dockets.between_lines(lines(spark, d), "case_id", "idx", F.col("event_type") == "signup", F.col("event_type") == "purchase")
+    return dockets.unique_mode(between, "case_id", "event_type")
 
 
 @query(f"""WITH {LINES}, c AS (SELECT case_id, event_type, count(*) AS n, min(idx) AS f FROM lines GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, f) AS k FROM c)
@@ -250,36 +279,82 @@ def phrase_gate(spark, d):
 
 # --- sealing -----------------------------------------------------------------
 
-_FLAGS = ", ".join(f"regexp_matches(t, '{p}') AS {n}" for n, p in P.INDICATORS.items())
+# For each flag lines that have it and lines that nearly do; every event is one of them.
+SEAL_LINES = [
+    "MOTION to Seal Document by Acme Corp", "Motion for leave to file document under seal", "ORDER by J. R. Doe to seal", "order sealing the exhibits", "motions to seal", "MOTION to Unseal Case", "order unsealing the indictment",
+    "Unsealing of the affidavit", "motion by Mary Ann to unseal", "ORDER granting 12 Motion to Seal", "granting (7) motion for leave to file exhibit under seal", "granting motion to strike", "granting in part 9 motion to seal",
+    "denying 7 motion to seal", "denying as moot motion to seal", "denying without prejudice 33 motion for leave to seal", "denying in part (12) motion to seal", "denying in full motion to seal", "granting 4 motion to unseal",
+    "granting in part motion to unseal", "denying without prejudice motion to unseal", "denying in part 8 motion to unseal", "motion granted, in part and denied in part as to the seal", "granting in part and denying in part motion to unseal",
+    "Granting / Denying in part motion to seal", "granting/denying in part the request to unseal", "(Sealed) Exhibit A", "Notice (sealed document) filed", "(sealed brief)", "Case unsealed as to John Doe", "(Case unsealed per order) motion granted",
+    "SYSTEM ENTRY - Docket Entry 12 restricted", "see system entry", "Sealed Documents received", "if there are sealed documents file them", "sealed brief", "sealed vesrion of the reply", "sealed attachment to 5", "E-Government notice",
+    "e government notice", "REDACTION of transcript", "unredacted exhibits filed", "notice of redaction", "Agreed Motion for Protective Order", "Notice of motion by all parties for a hearing and protective order", "Protective order entered",
+    "order on protective order", "*Restricted* by court", "order restricted to counsel", "restricted declaration", "filing (restricted)", "unrestricted access", "Stipulated protective order", "stipulation for docket control order",
+    "Unopposed sealed motion for entry of an agreed discovery control", "joint motion docket control order", "joint request for discovery control", "motion to unseal is GRANTED", "motion is granted", "motion to unseal denied",
+    "request denied", "denied if there are sealed items to unseal", "granted in part and denied in part", "hearing set", "", "Sealed Order granting 3 motion to seal", "redacted image", "motion to seal and motion to unseal",
+]
+_SEAL_SQL = "seal_lines AS (SELECT event_id AS idx, lower([" + ", ".join("'" + x.replace("'", "''") + "'" for x in SEAL_LINES) + f"][event_id % {len(SEAL_LINES)} + 1]) AS t FROM events)"
+
+
+def seal_lines(spark, d):
+    text = F.get(F.array(*[F.lit(x) for x in SEAL_LINES]), F.col("event_id") % len(SEAL_LINES))
+    return table(spark, d, "events").select(F.col("event_id").alias("idx"), text.alias("txt"))
+
+
+# By hand: no pattern here looks behind, so what must not stand before a word is taken out with it first.
+_ART = "(motion|order|document|reply|response|affidavit|attachment|transcript|declaration|image|exhibit|indictment|judgement|vesrion)s?"
+_NUM, _TO_SEAL = "([(]?[0-9]{1,4}[)]? )?motion( for leave)? to ", "(seal|file ([a-z0-9_]+ )?under seal)"
+_FLAG_SQL = {
+    "seal_motion": f"regexp_matches(t, '(motion( for leave)?|order) (by ([^ ]+ ){{1,15}})?(to {_TO_SEAL}|sealing)')",
+    "unseal_motion": "contains(t, 'unsealing') OR regexp_matches(t, '(motion( for leave)?|order) (by ([^ ]+ ){1,15})?to unseal')",
+    "seal_grant": f"regexp_matches(t, 'granting {_NUM}{_TO_SEAL}')",
+    "seal_grant_p": f"regexp_matches(t, 'granting in part {_NUM}{_TO_SEAL}')",
+    "seal_deny": f"regexp_matches(t, 'denying (as moot |without prejudice )?{_NUM}{_TO_SEAL}')",
+    "seal_deny_p": f"regexp_matches(t, 'denying in part {_NUM}{_TO_SEAL}')",
+    "unseal_grant": f"regexp_matches(t, 'granting {_NUM}unseal')",
+    "unseal_grant_p": f"regexp_matches(t, 'granting in part {_NUM}unseal')",
+    "unseal_deny": f"regexp_matches(t, 'denying (as moot |without prejudice )?{_NUM}unseal')",
+    "unseal_deny_p": f"regexp_matches(t, 'denying in part {_NUM}unseal')",
+    "part_grant_deny": "regexp_matches(t, 'grant(ed|ing),? in part and den(ied|ying) in part') OR regexp_matches(t, 'granting ?/ ?denying in part')",
+    "parenthesis": f"regexp_matches(t, '[(]sealed( {_ART})?[)]')",
+    "case_unsealed": "contains(t, 'case unsealed')",
+    "system_entry": "starts_with(t, 'system entry')",
+    "sealed_article": f"regexp_matches(replace(t, 'if there are sealed', '#'), 'sealed {_ART}')",
+    "e_gov": "contains(t, 'e-government')",
+    "redacted": f"starts_with(t, 'redaction') OR regexp_matches(t, 'redacted {_ART}')",
+    "protective": "starts_with(t, 'protective order') OR regexp_matches(t, '^(agreed |joint )?(motion for )?protective order') OR regexp_matches(t, '^notice of motion.{1,55}(motion for )?protective order')",
+    "restricted": f"starts_with(t, 'restrict') OR starts_with(t, '*restrict') OR contains(t, '(restricted)') OR regexp_matches(t, 'restricted {_ART}') OR regexp_matches(t, '{_ART} restricted')",
+    "discovery_control": "regexp_matches(t, '(stipulated|stipulation for|(agreed|joint|unopposed)( sealed)? motion .{1,100}) (protective order|discovery control|docket control order)')",
+}
+_FLAGS = ", ".join(f"{sql} AS {name}" for name, sql in _FLAG_SQL.items())
 
 
-@query(f"""WITH {LINES}, u AS (SELECT idx, lower(txt) AS t FROM lines) SELECT idx, {_FLAGS} FROM u""")
+@query(f"""WITH {_SEAL_SQL} SELECT idx, {_FLAGS} FROM seal_lines""")
 def indicator_matrix(spark, d):
-    return sealed.matrix(lines(spark, d), "txt", ["idx"]).drop("text")
-
-
-def _tidy_sql() -> str:
-    full = {f: f"({f} OR ({f}_p AND NOT part_grant_deny))" for f in ("seal_grant", "seal_deny", "unseal_grant", "unseal_deny")}
-    flags = [*P.INDICATORS, "sealed_without_motion", "unseal_grant_deny", "seal_grant_deny"]
-    others = lambda skip: " OR ".join(n for n in flags if n != skip)
-    changed = ("seal_grant", "seal_deny", "unseal_grant", "unseal_deny")
-    keep = [n for n in P.INDICATORS if n not in changed]
-    kept = [n for n in flags if not n.endswith("_p") and n not in ("system_entry", "parenthesis", "part_grant_deny")]
-    return f"""WITH {LINES}, u AS (SELECT idx, lower(txt) AS t FROM lines), m AS (SELECT idx, t, {_FLAGS} FROM u), n AS (
-  SELECT *, system_entry OR parenthesis AS sealed_without_motion, part_grant_deny AND contains(t, 'unseal') AS unseal_grant_deny, part_grant_deny AND NOT contains(t, 'unseal') AS seal_grant_deny FROM m
-), o AS (SELECT idx, t, {', '.join(keep)}, sealed_without_motion, unseal_grant_deny, seal_grant_deny,
-  {full['unseal_grant']} OR (contains(t, 'granted') AND contains(t, 'unseal') AND NOT unseal_grant_deny) AS unseal_grant,
-  {full['seal_grant']} OR (contains(t, 'granted') AND NOT contains(t, 'unseal') AND NOT seal_grant_deny) AS seal_grant,
-  {full['unseal_deny']} OR (contains(t, 'denied') AND contains(t, 'unseal') AND NOT unseal_grant_deny AND NOT contains(t, 'if there are sealed')) AS unseal_deny,
-  {full['seal_deny']} OR (contains(t, 'denied') AND NOT contains(t, 'unseal') AND NOT unseal_grant_deny) AS seal_deny FROM n
-), p AS (SELECT * REPLACE (seal_motion AND NOT ({others('seal_motion')}) AS seal_motion) FROM o
-), q AS (SELECT * REPLACE (unseal_motion AND NOT ({others('unseal_motion')}) AS unseal_motion) FROM p)
-SELECT idx, {', '.join(kept)} FROM q"""
-
-
-@query(_tidy_sql())
+    return sealed.matrix(seal_lines(spark, d), "txt", ["idx"]).drop("text")
+
+
+_TIDY = f"""WITH {_SEAL_SQL}, m AS (SELECT idx, t, contains(t, 'unseal') AS un, contains(replace(t, '(case unseal', '#'), 'unseal') AS says, {_FLAGS} FROM seal_lines), n AS (
+  SELECT *, system_entry OR parenthesis AS sealed_without_motion, part_grant_deny AND un AS unseal_grant_deny, part_grant_deny AND NOT un AS seal_grant_deny FROM m
+), o AS (SELECT * REPLACE (
+  unseal_grant OR (unseal_grant_p AND NOT part_grant_deny) OR (contains(t, 'granted') AND says AND NOT unseal_grant_deny) AS unseal_grant,
+  seal_grant OR (seal_grant_p AND NOT part_grant_deny) OR (contains(t, 'granted') AND NOT says AND NOT seal_grant_deny) AS seal_grant,
+  unseal_deny OR (unseal_deny_p AND NOT part_grant_deny) OR (contains(t, 'denied') AND says AND NOT unseal_grant_deny AND NOT contains(t, 'if there are sealed')) AS unseal_deny,
+  seal_deny OR (seal_deny_p AND NOT part_grant_deny) OR (contains(t, 'denied') AND NOT says AND NOT unseal_grant_deny) AS seal_deny) FROM n
+), p AS (SELECT *, seal_grant OR seal_grant_p OR seal_deny OR seal_deny_p OR unseal_grant OR unseal_grant_p OR unseal_deny OR unseal_deny_p OR part_grant_deny OR parenthesis OR case_unsealed OR system_entry OR sealed_article OR e_gov
+  OR redacted OR protective OR restricted OR discovery_control AS other FROM o
+), q AS (SELECT * REPLACE (seal_motion AND NOT unseal_motion AND NOT other AS seal_motion) FROM p
+), r AS (SELECT * REPLACE (unseal_motion AND NOT seal_motion AND NOT other AS unseal_motion) FROM q)"""
+_KEPT = "idx, seal_motion, unseal_motion, seal_grant, seal_deny, unseal_grant, unseal_deny, case_unsealed, sealed_article, e_gov, redacted, protective, restricted, discovery_control, sealed_without_motion, unseal_grant_deny, seal_grant_deny"
+
+
+@query(f"{_TIDY} SELECT {_KEPT} FROM r")
 def indicator_tidy(spark, d):
-    return sealed.tidy(sealed.matrix(lines(spark, d), "txt", ["idx"])).drop("text")
+    return sealed.tidy(sealed.matrix(seal_lines(spark, d), "txt", ["idx"])).drop("text")
+
+
+@query(f"{_TIDY} SELECT idx, sealed_article OR (restricted AND NOT (seal_motion OR unseal_motion OR seal_grant OR unseal_grant OR unseal_deny OR seal_grant_deny OR unseal_grant_deny)) AS sealed_item FROM r")
+def sealed_item(spark, d):
+    return sealed.tidy(sealed.matrix(seal_lines(spark, d), "txt", ["idx"])).select("idx", sealed.sealed_item().alias("sealed_item"))
 
 
 @query("""SELECT n_name AS court, count(DISTINCT l_orderkey) AS case_count, count(*) AS docket_lines, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS sealed_article,
@@ -330,23 +405,17 @@ def prefix_category(spark, d):
     return mentions(spark, d).select("case_id", "t", "category")
 
 
-_CLEAN = "lower(t)"
-for _p, _n in [
-    (r"\b(the )?(honorable|hon|judge|justice|magistrate|chief|senior|district|us|u\.s\.)\b\.?", " "), (r"[^a-z ,''-]", " "), (r"''s\b", ""), (r",? (jr|junior)\b\.?", " jr"), (r",? (sr|senior)\b\.?", " sr"), ("[,]", " "), (r"\s+", " "),
-]:
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_n}', 'g')"
-
-
-@query(f"WITH {MENTIONS} SELECT case_id, trim({_CLEAN}) AS clean FROM tagged")
+@query()
 def name_clean(spark, d):
+    """Its steps look ahead and behind, which the SQL has not: tested on names worked out by hand."""
     return mentions(spark, d).select("case_id", T.clean_name(F.col("t")).alias("clean"))
 
 
-@query(f"""WITH {MENTIONS}, a AS (SELECT name, court, count(DISTINCT case_id) AS n_entries FROM tagged WHERE case_id % 3 = 0 GROUP BY 1, 2), b AS (SELECT name, court, count(DISTINCT case_id) AS n_headers FROM tagged WHERE case_id % 3 = 1 GROUP BY 1, 2)
+@query(f"""WITH {MENTIONS}, a AS (SELECT name, court, count(DISTINCT case_id) AS n_entries FROM tagged WHERE case_id % 3 <> 1 GROUP BY 1, 2), b AS (SELECT name, court, count(DISTINCT case_id) AS n_headers FROM tagged WHERE case_id % 3 = 1 GROUP BY 1, 2)
 SELECT coalesce(a.name, b.name) AS name, coalesce(a.court, b.court) AS court, coalesce(n_entries, 0) AS n_entries, coalesce(n_headers, 0) AS n_headers FROM a FULL JOIN b ON a.name = b.name AND a.court = b.court""")
 def ucid_counts_full_outer(spark, d):
     m = mentions(spark, d)
-    return relational.counts_full_outer(m.where("case_id % 3 = 0"), m.where("case_id % 3 = 1"), ["name", "court"], "case_id")
+    return relational.counts_full_outer(m.where("case_id % 3 <> 1"), m.where("case_id % 3 = 1"), ["name", "court"], "case_id")
 
 
 CATEGORIES = [*P.PREFIX_CATEGORIES, "No_Keywords"]
@@ -358,26 +427,35 @@ def category_pivot(spark, d):
     return relational.category_pivot(mentions(spark, d), "name", "category", "case_id", CATEGORIES)
 
 
-def _ladder_sql() -> str:
-    share = {c: f"(100.0 * {c} / nullif(tot, 0))" for c in CATEGORIES}
-    ranked, weak = ["Magistrate_Judge", "District_Judge", "Bankruptcy_Judge"], ["Nondescript_Judge", "No_Keywords", "Judicial_Actor"]
-    floor = lambda c: " AND total > 3" if c == "District_Judge" else ""
-    out = ["WHEN total <= 3 AND head = 0 THEN 'deny - low occurence'", f"WHEN {share['No_Keywords']} = 100 THEN 'deny - Junk'"]
-    out += [f"WHEN {share[c]} = 100 THEN '{c}'" for c in CATEGORIES]
-    out += ["WHEN " + " AND ".join(f"{o} = 0" for o in CATEGORIES if o != c and o not in weak) + f"{floor(c)} THEN '{c}'" for c in ranked]
-    out += [f"WHEN {share[c]} >= 50{floor(c)} THEN '{c}'" for c in ranked]
-    out += [f"WHEN {share[c]} >= 25 AND " + " AND ".join(f"{share[o]} < 25" for o in ranked if o != c) + f"{floor(c)} THEN '{c}'" for c in ranked]
-    return f"""WITH {MENTIONS}, k AS (SELECT name || '/' || court AS entity, case_id, category FROM tagged), p AS (
-  SELECT entity, {_PIVOT.replace('name', 'entity')}, count(DISTINCT case_id) AS total, count(DISTINCT CASE WHEN case_id % 4 = 0 THEN case_id END) AS head FROM k GROUP BY entity
-), s AS (SELECT *, {' + '.join(CATEGORIES)} AS tot FROM p)
-SELECT entity, total, head, CASE {' '.join(out)} ELSE 'Nondescript_Judge' END AS label FROM s"""
-
-
-@query(_ladder_sql())
+_LADDER = f"""WITH k AS (
+  SELECT 'e' || p_size AS entity, p_partkey AS case_id, p_partkey % 4 = 0 AND p_size % 3 = 0 AS headed, (p_size * p_size + p_partkey % (1 + p_size % 5) + p_partkey % 2) % 7 AS pos, {CATEGORIES}[pos + 1] AS category FROM part
+), s AS (
+  SELECT *, 100.0 * n / sum(n) OVER (PARTITION BY entity) AS share FROM (SELECT entity, category, pos, count(DISTINCT case_id) AS n FROM k GROUP BY ALL)
+), w AS (
+  SELECT entity, list(category ORDER BY share DESC, pos)[1] AS top, list(category ORDER BY share DESC, pos) FILTER (category <> 'Nondescript_Judge') AS others, list(share ORDER BY share DESC, pos) FILTER (category <> 'Nondescript_Judge') AS other_shares,
+    max(CASE category WHEN 'Magistrate_Judge' THEN share ELSE 0 END) AS m, max(CASE category WHEN 'District_Judge' THEN share ELSE 0 END) AS d, max(CASE category WHEN 'Bankruptcy_Judge' THEN share ELSE 0 END) AS b,
+    max(CASE category WHEN 'Circuit_Appeals' THEN share ELSE 0 END) AS c, max(CASE category WHEN 'No_Keywords' THEN share ELSE 0 END) AS nk, max(CASE category WHEN 'Judicial_Actor' THEN share ELSE 0 END) AS ja, max(share) AS most FROM s GROUP BY entity
+), t AS (SELECT entity, count(DISTINCT case_id) AS total, count(DISTINCT CASE WHEN headed THEN case_id END) AS head FROM k GROUP BY entity)
+SELECT entity, total, head, CASE
+  WHEN total <= 3 AND head = 0 THEN 'deny - low occurence' WHEN nk = 100 THEN 'deny - Junk' WHEN most = 100 THEN top
+  WHEN d + b + c = 0 THEN 'Magistrate_Judge' WHEN m + b + c = 0 AND total > 3 THEN 'District_Judge' WHEN m + d + c = 0 THEN 'Bankruptcy_Judge'
+  WHEN m >= 50 THEN 'Magistrate_Judge' WHEN d >= 50 AND total > 3 THEN 'District_Judge' WHEN b >= 50 THEN 'Bankruptcy_Judge'
+  WHEN m >= 25 AND d < 25 AND b < 25 THEN 'Magistrate_Judge' WHEN d >= 25 AND m < 25 AND b < 25 AND total > 3 THEN 'District_Judge' WHEN b >= 25 AND m < 25 AND d < 25 THEN 'Bankruptcy_Judge'
+  WHEN d > 5 AND head > 0 THEN 'District_Judge**' WHEN m > 5 AND head > 0 THEN 'Magistrate_Judge' WHEN b > 5 AND head > 0 THEN 'Bankruptcy_Judge**'
+  WHEN total >= 25 AND top = 'Nondescript_Judge' AND other_shares[1] > 10 THEN others[1] WHEN total >= 25 AND top = 'Nondescript_Judge' THEN 'Nondescript_Judge'
+  WHEN top = 'No_Keywords' AND nk >= 90 THEN '--- deny --- insufficient data' WHEN nk + ja > 60 THEN '--- deny --- clerk or attorney' ELSE 'Nondescript_Judge' END AS label
+FROM w JOIN t USING (entity)"""
+
+
+@query(_LADDER)
 def label_ladder(spark, d):
-    m = mentions(spark, d).withColumn("entity", F.concat_ws("/", "name", "court"))
+    pos = F.expr("cast((p_size * p_size + p_partkey % (1 + p_size % 5) + p_partkey % 2) % 7 as int)")
+    m = table(spark, d, "part").select(
+        F.concat(F.lit("e"), "p_size").alias("entity"), F.col("p_partkey").alias("case_id"), F.expr("p_partkey % 4 = 0 AND p_size % 3 = 0").alias("headed"),
+        F.get(F.array(*[F.lit(c) for c in CATEGORIES]), pos).alias("category"),
+    )
     pivot = relational.category_pivot(m, "entity", "category", "case_id", CATEGORIES)
-    totals = m.groupBy("entity").agg(F.countDistinct("case_id").alias("total"), F.countDistinct(F.when(F.col("case_id") % 4 == 0, F.col("case_id"))).alias("head"))
+    totals = m.groupBy("entity").agg(F.countDistinct("case_id").alias("total"), F.countDistinct(F.when(F.col("headed"), F.col("case_id"))).alias("head"))
     return relational.label_ladder(pivot.join(totals, "entity"), "total", "head", CATEGORIES).select("entity", "total", "head", "label")
 
 
@@ -393,13 +471,13 @@ def party_anti_join(spark, d):
     return resolve.drop_parties(m, parties, "court", "name", "party", least=100).select("case_id", "name", "court")
 
 
-_WORDS = "words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS n FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 7 = 0)"
+_WORDS = "words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS n FROM part UNION SELECT DISTINCT p_name FROM part)"
 
 
 @query(f"""WITH {_WORDS} SELECT a.n AS name, CASE WHEN count(b.n) = 1 THEN min(b.n) ELSE a.n END AS resolved FROM words a LEFT JOIN words b ON length(b.n) > length(a.n) AND contains(b.n, a.n) GROUP BY a.n""")
 def substring_unique_match(spark, d):
     part = table(spark, d, "part")
-    names = part.select(F.explode(F.split("p_name", " ")).alias("name")).union(part.where("p_partkey % 7 = 0").select("p_name"))
+    names = part.select(F.explode(F.split("p_name", " ")).alias("name")).union(part.select("p_name"))
     return relational.unique_container(names, "name")
 
 
@@ -534,7 +612,9 @@ def events_tag_stream(spark, d):
     known = events.groupBy(F.col("user_id").alias("user")).agg(F.min_by("event_type", "event_id").alias("label"))
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     out = tagged_stream(stream.select("event_id", F.col("user_id").alias("user")), known, "user", "label")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/docketlens"  # the latter on one machine only
-    path = f"{shared}/stream-{uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(shared or '/tmp/checkpoints/docketlens').rstrip('/')}/stream-{uuid4().hex}"
     run_once(out, f"{path}/rows", f"{path}/state")
     return spark.read.schema(out.schema).parquet(f"{path}/rows")

@@ -137,3 +137,59 @@ def test_config():
     assert (c.entries, c.today, c.least_similarity) == ("a", date(2020, 1, 2), 90)
     with pytest.raises(ValueError):
         Config.read("[x]\nnope = 1\n")
+
+
+def test_every_sealing_flag_is_met_and_missed():
+    from docketlens.plans import catalog
+
+    con = __import__("duckdb").connect()
+    con.execute("CREATE TABLE events AS SELECT range AS event_id FROM range(1000)")
+    for name in ("indicator_matrix", "indicator_tidy", "sealed_item"):
+        rows = con.execute(catalog.ORACLES[name])
+        names = [c[0] for c in rows.description]
+        values = list(zip(*rows.fetchall(), strict=True))
+        assert all(set(v) == {True, False} for n, v in zip(names, values, strict=True) if n != "idx")
+
+
+def test_name_cleaner(spark):
+    from docketlens.functions.text import clean_name
+
+    want = {
+        "José A. Núñez": "jose a nunez", "Magistrate Judge John O'Neil": "john oneil", "J.R. Smith": "j r smith", "Doe, John Snr.": "doe john sr", "Ann Lee Junior": "ann lee jr",
+        "Mary Smith's order": "mary smith order", "Bob Brown's jr": "bob browns jr", "Al Green' s": "al green", "Smith - Jones": "smith jones", "Smith -Jones": "smith jones", "C[hristian] Rozolis": "christian rozolis",
+        "James 4th & Co.": "james th co", "the ' quoted": "the quoted", "MagJud Kim": "kim", "  two   spaces ": "two spaces", "": "", "K. Lee": "k lee",
+    }
+    df = spark.createDataFrame([(k,) for k in want] + [(None,)], "n string")
+    got = {r.n: r.c for r in df.select("n", clean_name(df.n).alias("c")).collect()}
+    assert got == want | {None: None}
+
+
+def test_label_ladder_rules(spark):
+    cats = ["Bankruptcy_Judge", "Circuit_Appeals", "District_Judge", "Magistrate_Judge", "Nondescript_Judge", "Judicial_Actor", "No_Keywords"]
+    # name, counts by category, total, head, known judge, earlier id, label
+    rows = [
+        ("fjc", (0, 0, 0, 0, 0, 0, 9), 9, 0, True, None, "FJC Judge"), ("rare", (0, 0, 1, 0, 0, 0, 0), 1, 0, False, None, "deny - low occurence"), ("kept", (0, 0, 1, 0, 0, 0, 0), 1, 0, False, "SJ1", "Maintain Prior JEL"),
+        ("junk", (0, 0, 0, 0, 0, 0, 9), 9, 1, False, None, "deny - Junk"), ("one", (0, 7, 0, 0, 0, 0, 0), 7, 0, False, None, "Circuit_Appeals"), ("weak", (0, 0, 0, 0, 4, 1, 3), 8, 0, False, None, "Magistrate_Judge"),
+        ("district", (0, 0, 1, 0, 4, 0, 3), 8, 0, False, None, "District_Judge"), ("half", (5, 1, 4, 0, 0, 0, 0), 10, 0, False, None, "Bankruptcy_Judge"), ("quarter", (2, 1, 2, 3, 2, 0, 0), 10, 0, False, None, "Magistrate_Judge"),
+        ("header", (0, 40, 10, 5, 45, 0, 0), 100, 2, False, None, "District_Judge**"), ("next", (3, 30, 3, 3, 61, 0, 0), 100, 0, False, None, "Circuit_Appeals"), ("generic", (6, 9, 6, 6, 73, 0, 0), 100, 0, False, None, "Nondescript_Judge"),
+        ("silent", (1, 1, 1, 1, 1, 1, 94), 100, 0, False, None, "--- deny --- insufficient data"), ("clerk", (1, 33, 1, 0, 0, 45, 20), 100, 0, False, None, "--- deny --- clerk or attorney"), ("rest", (4, 30, 1, 0, 5, 25, 35), 100, 0, False, None, "Nondescript_Judge"),
+    ]
+    df = spark.createDataFrame([(n, *c, t, h, f, p) for n, c, t, h, f, p, _ in rows], f"entity string, {', '.join(c + ' long' for c in cats)}, total long, head long, fjc boolean, prior string")
+    got = {r.entity: r.label for r in relational.label_ladder(df, "total", "head", cats, fjc="fjc", prior="prior").collect()}
+    assert got == {r[0]: r[-1] for r in rows}
+
+
+def test_lines_between(spark):
+    rows = [(1, i, t) for i, t in enumerate("xapybp")] + [(2, 0, "p"), (2, 1, "a"), (3, 0, "p"), (None, 0, "a"), (None, 1, "p")]
+    df = spark.createDataFrame(rows, "c long, i long, t string")
+    got = {(r.c, r.i) for r in dockets.between_lines(df, "c", "i", df.t == "a", df.t == "p").collect()}
+    assert got == {(1, 1), (1, 2), (None, 0), (None, 1)}
+
+
+def test_significance_without_intervals(spark):
+    rows = [("x", "a", 1)] * 8 + [("x", "b", 0)] + [("nmid", "a", 1)] * 9 + [("nmid", "b", 0)] * 9 + [("y", "a", 1)] * 9 + [("y", "a", 0)] + [("y", "b", 0)] * 9 + [("y", "b", 1)]
+    df = spark.createDataFrame(rows, "court string, judge string, g int")
+    run = statistics.welch_intervals(df, "judge", "court", "g")
+    assert {(r.court, r.judge): r.sig for r in run.collect()} == {("x", "a"): False, ("nmid", "a"): False, ("nmid", "b"): False, ("y", "a"): True, ("y", "b"): True}
+    table = {r.court: (r.jsum, r.jcount, r.is_sig) for r in statistics.significance_table([("all", run)], "court").collect()}
+    assert table == {"x": (0, 1, False), "y": (2, 2, True)}
