@@ -111,3 +111,11 @@ NAME_STEPS = [
     (r"(?i) (sr|snr|senior)", " sr"),
     (r"(?i) (jr|jnr|junior)", " jr"),
 ]
+# Words that admit a line, characters in which they and the flags are looked for, and characters of a line that are kept.
+WIDE_NET = ["seal", "restrict", "redact", "protective"]
+READ, KEPT = 200, 400
+# Districts with local patent rules.
+PLR_DISTRICTS = "cand casd flnd gand idd ilnd innd insd mdd mad moed nvd nhd njd nyed nynd nysd nced ncwd ohnd ohsd pawd tnwd txed txnd txsd utd waed wawd".split()
+# Suffixes that are no name of their own, and titles that stand inside a name.
+SUFFIXES = ["i", "ii", "iii", "iv", "v", "jr", "jnr", "snr", "sr", "senior", "junior"]
+TITLE_INSIDE = r"(?i)[a-zA-Z]+[\s\x08][a-zA-Z]*\.*( ?- ?Mag\. Judge| ?- ?MagJud| Judge| Hon\.| \(magistrate\))[\s\x08][a-zA-Z]+"

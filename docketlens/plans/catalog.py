@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import dockets, ground_truth, relational, resolve, sealed, statistics
+from ..operators import cases, dockets, ground_truth, relational, resolve, sealed, statistics
+from ..operators import mentions as mention_ops
 from ..sources.readers import table
 
 QUERIES: dict = {}
@@ -618,3 +619,185 @@ def events_tag_stream(spark, d):
     path = f"{(shared or '/tmp/checkpoints/docketlens').rstrip('/')}/stream-{uuid4().hex}"
     run_once(out, f"{path}/rows", f"{path}/state")
     return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+# --- cases and mentions ------------------------------------------------------
+
+_FILES = """files AS (SELECT 'mdd;;1:' || lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') || '-cv-' || o_orderkey AS ucid, CAST(year(o_orderdate) AS INTEGER) AS year, CASE o_orderkey % 4 WHEN 0 THEN 'txed' WHEN 1 THEN 'cand' WHEN 2 THEN 'alnd' ELSE 'nysd' END AS court,
+  CASE o_orderpriority WHEN '1-URGENT' THEN '830: patent' WHEN '2-HIGH' THEN '83' WHEN '3-MEDIUM' THEN NULL ELSE '440' END AS nature_suit, CASE WHEN o_orderkey % 5 = 0 THEN 'cr' ELSE 'cv' END AS case_type,
+  CASE o_orderkey % 7 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS is_multi, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'closed' END AS status, CAST(o_orderdate AS DATE) AS filing_date FROM orders)"""
+
+
+def files(spark, d):
+    return table(spark, d, "orders").selectExpr(
+        "concat('mdd;;1:', lpad(cast(o_orderkey % 30 as string), 2, '0'), '-cv-', o_orderkey) AS ucid", "year(o_orderdate) AS year", "CASE o_orderkey % 4 WHEN 0 THEN 'txed' WHEN 1 THEN 'cand' WHEN 2 THEN 'alnd' ELSE 'nysd' END AS court",
+        "CASE o_orderpriority WHEN '1-URGENT' THEN '830: patent' WHEN '2-HIGH' THEN '83' WHEN '3-MEDIUM' THEN NULL ELSE '440' END AS nature_suit", "CASE WHEN o_orderkey % 5 = 0 THEN 'cr' ELSE 'cv' END AS case_type",
+        "CASE o_orderkey % 7 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS is_multi", "CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'closed' END AS status", "cast(o_orderdate AS date) AS filing_date",
+    )
+
+
+@query(f"WITH {_FILES} SELECT ucid, court, year, nature_suit FROM files WHERE year = 1996 AND court = 'txed' AND nature_suit LIKE '83%'")
+def case_filters(spark, d):
+    return cases.select_cases(files(spark, d), year=1996, court="txed", nos="83").select("ucid", "court", "year", "nature_suit")
+
+
+@query(f"WITH {_FILES} SELECT ucid, CASE WHEN case_type = 'cr' THEN 'criminal' ELSE nature_suit END AS nature_suit FROM files WHERE is_multi IS NOT TRUE")
+def single_criminal_cases(spark, d):
+    return cases.single_cases(files(spark, d)).select("ucid", "nature_suit")
+
+
+@query(f"WITH {_FILES} SELECT ucid, 'sel/' || court || '/' || ucid[8:9] || '/' || replace(replace(ucid, ';;', '-'), ':', '-') || '.jsonl' AS path, 'sel/' || court || '/' || ucid[8:9] || '/_updates/' || replace(replace(ucid, ';;', '-'), ':', '-') || '_U.jsonl' AS update_path FROM files")
+def case_paths(spark, d):
+    return files(spark, d).select("ucid", mention_ops.case_path("sel", F.col("ucid"), F.col("court")).alias("path"), mention_ops.case_path("sel", F.col("ucid"), F.col("court"), update=True).alias("update_path"))
+
+
+_DATED = f"""dated AS (SELECT event_id, user_id AS case_id, CASE WHEN event_id % 11 <> 0 THEN CAST(ts AS DATE) END AS date_filed, DATE '2024-01-03' AS filing_date, [{", ".join("'" + x.replace("'", "''") + "'" for x in SEAL_LINES)}][event_id % {len(SEAL_LINES)} + 1] AS t FROM events),
+  long_lines AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN repeat('docket text ', 30) || t || repeat(' more', 40) ELSE t || repeat(' of the parties', 30) END AS text FROM dated)"""
+
+
+def _long_lines(spark, d):
+    e = table(spark, d, "events").selectExpr("event_id", "user_id AS case_id", "CASE WHEN event_id % 11 <> 0 THEN cast(ts AS date) END AS date_filed", "DATE '2024-01-03' AS filing_date")
+    t = F.get(F.array(*[F.lit(x) for x in SEAL_LINES]), F.col("event_id") % len(SEAL_LINES))
+    return e.withColumn("text", F.when(F.col("event_id") % 13 == 0, F.concat(F.repeat(F.lit("docket text "), 30), t, F.repeat(F.lit(" more"), 40))).otherwise(F.concat(t, F.repeat(F.lit(" of the parties"), 30))))
+
+
+@query(f"""WITH {_DATED}, s AS (SELECT *, lower(text[1:200]) AS b, date_diff('day', filing_date, date_filed) AS days FROM long_lines)
+SELECT event_id, text[1:400] AS text, CAST(days AS INTEGER) AS days_from_filing, regexp_matches(b, 'granting {_NUM}{_TO_SEAL}') AS seal_grant, contains(b, 'e-government') AS e_gov FROM s
+WHERE (days IS NULL OR days >= 0) AND (contains(b, 'seal') OR contains(b, 'restrict') OR contains(b, 'redact') OR contains(b, 'protective'))""")
+def sealing_docket_lines(spark, d):
+    return cases.sealing_lines(_long_lines(spark, d)).select("event_id", "text", "days_from_filing", "seal_grant", "e_gov")
+
+
+@query(f"{_TIDY} SELECT idx FROM r WHERE sealed_article OR restricted OR redacted OR protective OR seal_motion")
+def lines_with_flags(spark, d):
+    tidy = sealed.tidy(sealed.matrix(seal_lines(spark, d), "txt", ["idx"]))
+    return cases.with_any_flag(tidy, ["sealed_article", "restricted", "redacted", "protective", "seal_motion"]).select("idx")
+
+
+@query(f"""WITH {LINES}, t AS (SELECT case_id, idx, lower(CASE WHEN idx % 3 = 0 THEN 'Order of Service: ' || txt ELSE txt END) AS t FROM lines), f AS (SELECT case_id, min(idx) AS i FROM t WHERE contains(t, 'forma pauperis') AND NOT contains(t, 'order of service') GROUP BY 1)
+SELECT case_id, coalesce(i, 9999) AS first_line, CASE WHEN i IS NULL THEN 0 ELSE 1 END AS is_found FROM (SELECT DISTINCT case_id FROM t) LEFT JOIN f USING (case_id)""")
+def first_phrase_line(spark, d):
+    marked = lines(spark, d).withColumn("txt", F.when(F.col("idx") % 3 == 0, F.concat(F.lit("Order of Service: "), "txt")).otherwise(F.col("txt")))
+    return cases.first_phrase_line(marked, "case_id", "idx", "txt")
+
+
+@query(f"""WITH {DECISIONS} SELECT judge, count(*) AS total_cases, count(*) FILTER (outcome <> 0) AS total_decisions, round(sum(g) / nullif(count(*) FILTER (outcome <> 0), 0), 6) AS decision_average FROM decisions GROUP BY judge""")
+def decided_totals(spark, d):
+    return rounded(cases.decided_share(decisions(spark, d), ["judge"], "outcome"), "decision_average")
+
+
+@query(f"""WITH {LINES} SELECT idx, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 WHEN 'view' THEN 0 END AS resolution FROM lines""")
+def resolution_map(spark, d):
+    action = F.when(F.col("event_type") == "purchase", "grant").when(F.col("event_type") == "error", "deny").when(F.col("event_type") == "view", "none").otherwise("other")
+    return lines(spark, d).select("idx", cases.resolution(action).alias("resolution"))
+
+
+_ODD_NAMES = ["Smith", "x", "Jr", " sr ", "Doe, John Lee", "Doe, Jr.", "Ann Lee Judge Park", "Bo Kim - MagJud Ho", "", "Mary Ann Ross, III", "Ann B. Hon. Poe", "McD", "Ann Hon. Poe"]
+_PRE = ["before Judges ", "by Judge ", "signed", None]
+
+
+def _odd_mentions(spark, d):
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.get(F.array(*[F.lit(x) for x in [*_ODD_NAMES, None]]), F.col("p_partkey") % 14).alias("entity"), F.get(F.array(*[F.lit(x) for x in _PRE]), F.col("p_partkey") % 4).alias("pre")
+    )
+
+
+_ODD_SQL = "odd AS (SELECT p_partkey AS id, [" + ", ".join(f"'{x}'" for x in _ODD_NAMES) + ", NULL][p_partkey % 14 + 1] AS entity, ['before Judges ', 'by Judge ', 'signed', NULL][p_partkey % 4 + 1] AS pre FROM part)"
+
+
+@query(f"""WITH {_ODD_SQL}, f AS (SELECT *, coalesce(contains(lower(pre), 'judges') AND entity = 'Doe, John Lee', false) AS listed FROM odd)
+SELECT id, NOT ((entity IS NULL AND NOT listed) OR coalesce(entity IN ('x', '', 'Jr', ' sr '), false)) AS eligible, listed OR coalesce(entity IN ('Ann Lee Judge Park', 'Bo Kim - MagJud Ho', 'Ann B. Hon. Poe'), false) AS is_exception FROM f""")
+def mention_eligibility(spark, d):
+    return mention_ops.eligibility(_odd_mentions(spark, d), "entity", "pre").select("id", "eligible", "is_exception")
+
+
+@query(f"""WITH {_ODD_SQL} SELECT id, coalesce(length(entity) < 4 AND regexp_matches(lower(entity), '^[^aeiouy]+$') AND regexp_matches(lower(entity), '^[a-z]+$'), false) AS short_consonants,
+  CASE entity WHEN 'Doe, Jr.' THEN true ELSE NOT contains(trim(entity), ' ') AND entity <> '' END AS is_single FROM odd WHERE entity IS NOT NULL""")
+def name_kinds(spark, d):
+    named = mention_ops.with_words(_odd_mentions(spark, d).where("entity IS NOT NULL"), "entity")
+    return named.select("id", mention_ops.is_short_consonants(F.col("entity")).alias("short_consonants"), "is_single")
+
+
+@query(f"WITH {_ODD_SQL} SELECT id, entity FROM odd WHERE entity IN ('Doe, John Lee', 'Doe, Jr.', 'Ann Lee Judge Park', 'Bo Kim - MagJud Ho', 'Mary Ann Ross, III', 'Ann B. Hon. Poe', 'Ann Hon. Poe') AND id % 3 <> 0 AND id % 5 <> 0")
+def free_match_candidates(spark, d):
+    nodes = _odd_mentions(spark, d).where("entity IS NOT NULL").withColumns({"ok": F.col("id") % 3 != 0, "twice": F.col("id") % 5 == 0})
+    return mention_ops.free_candidates(nodes, "entity", "ok", "twice").select("id", "entity")
+
+
+@query(f"""WITH {MENTIONS}, k AS (SELECT CASE WHEN case_id % 2 = 0 THEN string_split(name, ' ')[1] ELSE name END AS entity, court, case_id, category FROM tagged)
+SELECT entity, court, count(DISTINCT case_id) AS n_ucids, count(*) FILTER (category <> 'No_Keywords') AS titled, count(DISTINCT case_id) <= 3 AND NOT contains(entity, ' ') AND count(*) FILTER (category <> 'No_Keywords') = 0 AS ignore FROM k GROUP BY entity, court""")
+def court_layer_ignore(spark, d):
+    m = mentions(spark, d).withColumn("entity", F.when(F.col("case_id") % 2 == 0, F.split("name", " ")[0]).otherwise(F.col("name")))
+    return mention_ops.court_ignored(m, "entity", "court", "case_id", "category")
+
+
+@query(f"""WITH {MENTIONS} SELECT case_id, name, court, EXISTS (SELECT 1 FROM tagged h WHERE h.category = 'District_Judge' AND h.name = t.name AND h.court = t.court) AS was_header FROM tagged t""")
+def header_flag(spark, d):
+    m = mentions(spark, d)
+    return mention_ops.with_header_flag(m, m.where("category = 'District_Judge'"), ["name", "court"]).select("case_id", "name", "court", "was_header")
+
+
+@query("""SELECT p_partkey AS case_id, p_name AS name, CASE WHEN p_size > 40 THEN upper(p_name) ELSE p_name END AS points_to FROM part WHERE NOT (p_size BETWEEN 30 AND 35)""")
+def remap_without_parties(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("case_id"), F.col("p_name").alias("name"), "p_size")
+    remap = part.where("p_size > 40 OR p_size BETWEEN 30 AND 35").select("case_id", "name", F.when(F.col("p_size") > 40, F.upper("name")).alias("points_to"), F.col("p_size").between(30, 35).alias("is_party"))
+    return mention_ops.repointed(part, remap, ["case_id", "name"], "name").select("case_id", "name", "points_to")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN NULL WHEN l_returnflag = 'A' THEN upper(l_linestatus) || '!' ELSE l_linestatus END AS entity, CASE WHEN l_returnflag IN ('A', 'R') THEN -l_suppkey ELSE l_suppkey END AS span FROM lineitem""")
+def mention_overwrite(spark, d):
+    old = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.col("l_linestatus").alias("entity"), F.col("l_suppkey").alias("span"), "l_returnflag")
+    new = old.where("l_returnflag IN ('A', 'R')").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.when(F.col("l_returnflag") == "A", F.concat(F.upper("entity"), F.lit("!"))).alias("entity"), (-F.col("span")).alias("span"))
+    return mention_ops.overwritten(old, new, ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], ["entity", "span"]).select("l_orderkey", "l_linenumber", "entity", "span")
+
+
+@query("""SELECT k AS sjid, CAST(sum(h) AS BIGINT) AS head, CAST(sum(t) AS BIGINT) AS total FROM (SELECT o_custkey AS k, count(*) FILTER (o_orderstatus = 'F') AS h, count(*) AS t FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' GROUP BY 1
+  UNION ALL SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F'), count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01' GROUP BY 1) GROUP BY 1""")
+def merged_counts(spark, d):
+    counts = lambda rows: rows.groupBy(F.col("o_custkey").alias("sjid")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("head"), F.count("*").alias("total"))
+    o = table(spark, d, "orders")
+    return mention_ops.added_counts([counts(o.where("o_orderdate < '1995-01-01'")), counts(o.where("o_orderdate >= '1994-01-01'"))], "sjid", ["head", "total"])
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS k, CAST(l_quantity AS BIGINT) AS s_start, CAST(l_quantity + 6 AS BIGINT) AS s_end FROM lineitem WHERE l_linenumber = 1), p AS (SELECT l_orderkey AS k, CAST(l_quantity - l_linenumber AS BIGINT) AS b, CAST(l_quantity + 4 AS BIGINT) AS e FROM lineitem WHERE l_linenumber > 1),
+  i AS (SELECT s.k, s_start, s_end, count(*) AS n, min(b) AS b, min(e) AS e FROM s JOIN p ON s.k = p.k AND (b BETWEEN s_start AND s_end OR e BETWEEN s_start AND s_end) GROUP BY 1, 2, 3)
+SELECT k, s_start, s_end, CASE WHEN n = 1 THEN b END AS start, CASE WHEN n = 1 THEN e END AS "end" FROM s LEFT JOIN i USING (k, s_start, s_end)""")
+def span_overlap(spark, d):
+    li = table(spark, d, "lineitem")
+    statuses = li.where("l_linenumber = 1").selectExpr("l_orderkey AS k", "cast(l_quantity AS long) AS s_start", "cast(l_quantity + 6 AS long) AS s_end")
+    spans = li.where("l_linenumber > 1").selectExpr("l_orderkey AS k", "cast(l_quantity - l_linenumber AS long) AS start", "cast(l_quantity + 4 AS long) AS end")
+    return mention_ops.only_overlap(statuses, spans, "k")
+
+
+_SPANS = f"""WITH {_FILES.replace("'mdd;;1:' || lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') || '-cv-' || o_orderkey AS ucid", "o_orderkey AS ucid, o_orderdate + INTERVAL 90 DAY AS ended")}, told AS (
+  SELECT l_orderkey AS ucid, l_returnflag = 'R' AS sealed_article, l_linestatus = 'F' AND l_quantity > 40 AS seal_motion, l_returnflag = 'A' AND l_quantity > 45 AS restricted, l_quantity < 10 AS about FROM lineitem WHERE l_returnflag <> 'N' OR l_quantity < 10
+), spans AS (
+  SELECT ucid, court, status, CAST(date_diff('day', filing_date, CAST(greatest(CAST(ended AS DATE), (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem WHERE l_orderkey = ucid)) AS DATE)) AS INTEGER) AS days, (SELECT count(*) FROM lineitem WHERE l_orderkey = ucid) AS n_lines,
+    EXISTS (SELECT 1 FROM told WHERE told.ucid = files.ucid) AS sealed, EXISTS (SELECT 1 FROM told WHERE told.ucid = files.ucid AND about) AS discovery
+  FROM files WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = ucid))"""
+
+
+def _case_spans(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date(F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("ended"))
+    f = files(spark, d).withColumn("ucid", F.split("ucid", "-cv-")[1].cast("long"))
+    f = f.join(o, F.col("ucid") == F.col("o_orderkey"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ucid"), F.to_date("l_shipdate").alias("entered"), "l_returnflag", "l_linestatus", "l_quantity")
+    told = li.where("l_returnflag <> 'N' OR l_quantity < 10").selectExpr(
+        "ucid", "l_returnflag = 'R' AS sealed_article", "l_linestatus = 'F' AND l_quantity > 40 AS seal_motion", "l_returnflag = 'A' AND l_quantity > 45 AS restricted", "l_quantity < 10 AS about",
+        *[f"false AS {c}" for c in ("unseal_motion", "seal_grant", "unseal_grant", "unseal_deny", "seal_grant_deny", "unseal_grant_deny")],
+    )
+    return cases.case_spans(f, li, told, "ucid", "filing_date", "ended", "entered", F.col("about")), told, f
+
+
+@query(f"{_SPANS} SELECT ucid, days, n_lines, sealed, discovery FROM spans")
+def case_span_flags(spark, d):
+    return _case_spans(spark, d)[0].select("ucid", "days", "n_lines", "sealed", "discovery")
+
+
+@query(f"""{_SPANS}, x AS (SELECT told.*, court, sealed_article OR (restricted AND NOT seal_motion) AS item FROM told JOIN spans USING (ucid) WHERE status = 'closed' AND discovery)
+SELECT court, count(DISTINCT ucid) AS case_count, count(*) AS docket_lines, count(*) FILTER (sealed_article) AS sealed_article, count(*) FILTER (seal_motion) AS seal_motion, count(*) FILTER (item) AS sealed_item,
+  round(count(*) FILTER (sealed_article) / nullif(count(*) FILTER (seal_motion), 0), 6) AS articles_motions, round(count(*) FILTER (item) / nullif(count(*) FILTER (seal_motion), 0), 6) AS items_motions, court <> 'alnd' AS plr, CASE court WHEN 'txed' THEN 'txed' ELSE 'other' END AS is_txed
+FROM x GROUP BY court""")
+def court_quotients(spark, d):
+    spans, told, f = _case_spans(spark, d)
+    return rounded(cases.court_quotients(told.join(f.select("ucid", "court"), "ucid"), spans), "articles_motions", "items_motions")

@@ -193,3 +193,24 @@ def test_significance_without_intervals(spark):
     assert {(r.court, r.judge): r.sig for r in run.collect()} == {("x", "a"): False, ("nmid", "a"): False, ("nmid", "b"): False, ("y", "a"): True, ("y", "b"): True}
     table = {r.court: (r.jsum, r.jcount, r.is_sig) for r in statistics.significance_table([("all", run)], "court").collect()}
     assert table == {"x": (0, 1, False), "y": (2, 2, True)}
+
+
+def test_cases_and_mentions_of_odd_rows(spark):
+    from docketlens.operators import cases, mentions
+
+    rows = [(None, 2016, "cand", None, "cv", None), ("b", None, "txed", "830: x", "cr", True), ("c", 2016, "cand", "830: y", "cr", False)]
+    files = spark.createDataFrame(rows, "ucid string, year int, court string, nature_suit string, case_type string, is_multi boolean")
+    assert [r.ucid for r in cases.select_cases(files, year=2016, nos="83").collect()] == ["c"] and cases.select_cases(files, sample=2).count() == 2
+    assert {(r.ucid, r.nature_suit) for r in cases.single_cases(files).collect()} == {(None, None), ("c", "criminal")}
+    lines = spark.createDataFrame([("a", 0, None), ("a", 4, "In Forma Pauperis"), ("a", 5, "forma pauperis"), ("b", 1, "Order of Service, forma pauperis"), (None, 3, "forma pauperis")], "c string, i long, t string")
+    assert {tuple(r) for r in cases.first_phrase_line(lines, "c", "i", "t").collect()} == {("a", 4, 1), ("b", 9999, 0), (None, 3, 1)}
+    names = spark.createDataFrame([(None, "x"), (None, "Judges of"), ("Doe, Roe", "JUDGES"), ("III", "x"), ("", "x"), ("Lee", None)], "n string, p string")
+    got = [(r.eligible, r.is_exception) for r in mentions.eligibility(names, "n", "p").collect()]
+    assert got == [(False, False), (False, False), (True, True), (False, False), (False, False), (True, False)]
+    spans = spark.createDataFrame([(1, 0, 4), (1, 6, 9), (2, 0, 100), (3, 5, 9)], "k long, start long, end long")
+    status = spark.createDataFrame([(1, 4, 6), (2, 5, 6), (3, 9, 12), (4, 0, 1)], "k long, s_start long, s_end long")
+    assert {tuple(r) for r in mentions.only_overlap(status, spans, "k").collect()} == {(1, 4, 6, None, None), (2, 5, 6, None, None), (3, 9, 12, 5, 9), (4, 0, 1, None, None)}
+    paths = spark.createDataFrame([("mdd;;1:16-cv-02159", "mdd"), ("odd", "x")], "u string, c string")
+    assert [r.p for r in paths.select(mentions.case_path("b/", paths.u, paths.c, update=True).alias("p")).collect()] == ["b/mdd/16/_updates/mdd-1-16-cv-02159_U.jsonl", None]
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    assert {tuple(r) for r in mentions.overwritten(old, spark.createDataFrame([(2, None)], "k long, v string"), ["k"], ["v"]).collect()} == {(1, "a"), (2, None)}
