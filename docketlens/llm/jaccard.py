@@ -21,8 +21,11 @@ steps between components.  Links and components are tables, never collected.
 Defined results: null text or text without words has an empty set, size 0 and
 is its own component; fewer than ``WORDS`` words are one shingle; rows that
 repeat an id with the same text are one document, and so is the smallest of
-equal texts; a null id takes part only through its class; an empty table
-gives an empty result.
+equal texts; ids are taken to name one text each (``near_duplicates`` may judge an
+id with different texts by one of them; ``one_of_each`` tells such rows apart
+by id and text); a null id takes part only through its class; a pair of exactly 0.75 is
+linked; a very long text is hashed whole, in arrays of a few times its size;
+further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,8 +18,10 @@ Offsets are code points, ends exclusive.
 
 Defined results: null and empty texts have no spans; repeated rows are
 searched each; a row's disclosing terms follow from its own text, whatever its
-``doc_id``; an entity that all texts hold has no information to give away; an
-empty table gives an empty result.
+``doc_id``; an entity that all texts hold has no information to give away; a
+share on a threshold reaches it; a very long text is searched whole, in time
+linear in its length; further columns are kept where asked for; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ bits, and what each rule costs (alone, or in addition to the others) is read
 off the same ledger by bitwise aggregation, without touching a text again.
 
 Defined results: a null or empty text has no words and fails ``few_words``;
-repeated rows give one ledger row each; an empty table gives an empty ledger;
-further columns of the input are ignored.
+repeated rows give one ledger row each; equal lines or windows count from the
+second or the first on, as the rule says, whatever their order; a very long
+text is one row's arrays in memory, a few times its size; an empty table gives
+an empty ledger; further columns of the input are ignored.
 """
 
 from __future__ import annotations

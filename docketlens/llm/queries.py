@@ -28,6 +28,10 @@ def op4_quality_rules(spark, sf_dir):
     )
 
 
+def op4_quality_ablations(spark, sf_dir):
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def op5_packing(spark, sf_dir):
     return packing.packed_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
+    "op4_quality_ablations": op4_quality_ablations,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_personal_data": op7_personal_data,
@@ -138,6 +143,23 @@ FROM (SELECT *, sha256('docketlens-record:' || CAST(page_id AS VARCHAR)) AS h FR
 """,
 }
 
+_RULES_SQL = {
+    "few_words": "n_words < 50",
+    "repeated_words": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "duplicate_lines": "n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines",
+    "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
+    "capitals": "2 * n_caps > n_words",
+}
+_MEASURED = ORACLES["op4_quality_rules"].split("SELECT doc_id, n_words, word_chars")[0].rstrip()
+ORACLES["op4_quality_ablations"] = f"""{_MEASURED}, r AS (
+  SELECT {', '.join(f'{sql} AS {name}' for name, sql in _RULES_SQL.items())} FROM f
+), x AS (SELECT *, {' + '.join(f'CAST({name} AS INTEGER)' for name in _RULES_SQL)} AS fails FROM r)
+""" + " UNION ALL ".join(
+    f"""SELECT '{name}' AS rule, CAST({1 << i} AS BIGINT) AS bit, count(*) FILTER ({name}) AS failed, count(*) FILTER ({name} AND fails = 1) AS "only", count(*) FILTER (fails = 0) AS kept, count(*) FILTER (fails = 0 OR ({name} AND fails = 1)) AS kept_without FROM x"""
+    for i, name in enumerate(_RULES_SQL)
+)
+
 _LINKS, _COMPONENTS = ORACLES["op9_ngram_jaccard"].split("SELECT d.doc_id, ")
 ORACLES["op9_ngram_jaccard_links"] = f"""{_LINKS}SELECT k.n_links, d.doc_id, {_COMPONENTS}
 JOIN (SELECT d.doc_id, count(l.b) AS n_links FROM documents d LEFT JOIN links l ON l.a = d.doc_id GROUP BY d.doc_id) k USING (doc_id)

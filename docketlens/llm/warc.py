@@ -16,7 +16,9 @@ Payloads that are equal and at least ``REVISIT_BYTES`` long: the smallest
 Defined results: null html is an empty payload; null or unprintable parts of a
 URL are escaped; rows that repeat a ``page_id`` with an equal payload are all
 responses if that id is the smallest; a null ``page_id`` never is; an empty
-table gives no archive records.
+table gives no archive records; a very long page is one record, and its archive
+as much longer; of equal payloads the smallest ``page_id`` alone decides, so
+there are no ties; further columns are ignored.
 """
 
 from __future__ import annotations
