@@ -40,16 +40,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docketlens/{name}-{uuid.uuid4().hex}"
 
 
-_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 
 
 def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the
-    lineage, survives a lost executor, and is evaluated once."""
+    lineage, survives a lost executor, and is evaluated once.  Inside ``passing_tables`` it goes at their end; a
+    lasting one at the end of those around them, if there are any."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    if not lasting and _PASSING.get() is not None:
-        _PASSING.get().append(path)
+    around = _PASSING.get()[: -1 if lasting else None]
+    if around:
+        around[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -57,9 +59,9 @@ def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
 def passing_tables(spark: SparkSession):
     """Tables stored inside go at the end, but for lasting ones: nothing that is used later may read them."""
     held: list[str] = []
-    token = _PASSING.set(held)
+    token = _PASSING.set((*_PASSING.get(), held))
     try:
-        yield held
+        yield
     finally:
         _PASSING.reset(token)
         for path in held:
@@ -112,7 +114,7 @@ def join_spread(many: DataFrame, one: DataFrame, key: str, by: str, hot: DataFra
 
 
 #: What one Arrow batch holds at most; a single longer row is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

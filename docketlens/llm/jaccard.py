@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, hot_keys, join_one, join_spread, passing_tables, release_shuffles, stored
+from .common import bound_batches, hot_keys, join_one, join_spread, passing_tables, stored
 
 WORDS = 5
 #: Buckets of the count sketch (its size is fixed), and of the pieces it is summed in.
@@ -303,6 +303,11 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of every linked node: alternating large-star and small-star steps, until no root has a root."""
+    with passing_tables(links.sparkSession):
+        return stored(_stars(links).select(F.col("u").alias("node"), F.col("v").alias("root")), "jaccard-labels", lasting=True)
+
+
+def _stars(links: DataFrame) -> DataFrame:
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "jaccard-edges")
     while not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).unionByName(
         edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").select("u", F.lit(1).alias("n")).limit(1)
@@ -310,19 +315,20 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Large star: neighbours above a node move to its lowest neighbour.
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, "jaccard-large")
         # Small star: a node and its neighbours below move to the lowest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u <> v").distinct(), "jaccard-edges")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return edges
 
 
 def _labelled(shared: DataFrame, labels: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Postings of lists that still hold different components: ``gram, x, label, size``."""
     told = shared.join(labels, F.col("x.rep") == F.col("node"), "left").select("gram", "x", F.coalesce("root", "x.rep").alias("label"))
-    told = told if hot is None else stored(told, "jaccard-told")
+    if hot is not None:
+        told = stored(told, "jaccard-told")
     mixed = told.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).where("l <> h").select("gram", "size")
     return join_one(told, mixed, "gram", hot)
 
@@ -359,7 +365,8 @@ def _more(links: DataFrame, pairs: DataFrame, docs: DataFrame) -> tuple[DataFram
     """Links with those that the pairs add; whether they add any."""
     if pairs.isEmpty():
         return links, False
-    new = stored(verify(pairs, docs), "jaccard-links")
+    with passing_tables(docs.sparkSession):
+        new = stored(verify(pairs, docs), "jaccard-links", lasting=True)
     return (links, False) if new.isEmpty() else (links.unionByName(new), True)
 
 
@@ -387,12 +394,13 @@ def _join_steps(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shared = stored(shared, "jaccard-lists")
     # Each set with the leader of its list.
     tried = stored(_pairs(shared.select("x", F.col("leader").alias("y"))), "jaccard-pairs")
-    links = stored(verify(tried, docs), "jaccard-links")
+    with passing_tables(spark):
+        links = stored(verify(tried, docs), "jaccard-links", lasting=True)
     labels = components(links)
-    release_shuffles(spark)
     (hot,) = hot_keys(shared, ["gram"])
     # Lists of several components: each set with other leaders, by chance, while that adds links.
-    left = stored(_labelled(shared, labels, hot), "jaccard-left")
+    with passing_tables(spark):
+        left = stored(_labelled(shared, labels, hot), "jaccard-left", lasting=True)
     # Components are found anew after every second round only.
     for turn in range(0, LEADER_ROUNDS, 2):
         added = False
@@ -405,8 +413,8 @@ def _join_steps(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if not added:
             break
         labels = components(links)
-        left = stored(_labelled(shared, labels, hot), "jaccard-left")
-        release_shuffles(spark)
+        with passing_tables(spark):
+            left = stored(_labelled(shared, labels, hot), "jaccard-left", lasting=True)
     # All pairs of different components that are left.
     rest = stored(_remaining(left, shared).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     links, more = _more(links, rest, docs)

@@ -118,23 +118,31 @@ def outside(text: str, base: list[tuple[str, int, int]]):
             yield m
 
 
-def observations(keyed: DataFrame) -> DataFrame:
+def observations(keyed: DataFrame, flush: int = 20_000) -> DataFrame:
     """``key, entity, term`` from ``text, key``: of every text with entities each entity, and each term outside them."""
     schema = pa.schema([("key", pa.int64()), ("entity", pa.string()), ("term", pa.string())])
 
     def run(batches):
+        found: list[tuple[int, str | None, str | None]] = []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)], schema=schema)
+
         for batch in batches:
-            found = []
             for text, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if spans := base_spans(text):
                     found += [(key, e, None) for e in {entity(k, text[a:b]) for k, a, b in spans}]
                     found += [(key, None, t) for t in {m[0].lower() for m in outside(text, spans)}]
-            yield pa.RecordBatch.from_pydict({n: [r[i] for r in found] for i, n in enumerate(schema.names)}, schema=schema)
+                if len(found) > flush:
+                    yield out()
+                    found = []
+        if found:
+            yield out()
 
     return keyed.select("text", "key").mapInArrow(run, "key long, entity string, term string")
 
 
-def term_frequencies(weighed: DataFrame, flush: int = 200_000) -> DataFrame:
+def term_frequencies(weighed: DataFrame, flush: int = 100_000) -> DataFrame:
     """``term, n`` from ``text, weight``: partial weights of the texts that hold each term, to be summed."""
 
     def run(batches):
