@@ -46,6 +46,18 @@ OUTCOME_PRIORITY = [1, -1, -999, -10]
 BASIC_PHRASES = ["forma pauperis", "ifp"]
 ALL_PHRASES = ["forma pauperis", "ifp", "prepay", "prepaying", "1915"]
 APPEAL_PHRASES = ["appeal"]
+# Where a line ends a sentence, fixed values: a joint between clauses, or a stop after a word and before a capital.
+SENTENCE_END = r" and | but |;|: #|, #|(?<=(?:[^\.]{4}[a-z]|[^\.]{3}[^\. ][A-Z]))\. (?=[A-Z\(][^\.]{4})"
+# What a sentence says, by action: outcomes as above, and requests (the pattern of requests is this engine's own).
+STATUS_GROUPS = {
+    "application": [rf"(motion|application|request|petition|leave){FILLER}{{1,80}}(in forma pauperis|ifp|without prepay)"],
+    "grant": OUTCOME_GROUPS[1],
+    "deny": OUTCOME_GROUPS[-1],
+    "other": OUTCOME_GROUPS[-999] + OUTCOME_GROUPS[-10],
+}
+# How a line that opens an appeal begins, and how later lines name its number.
+APPEAL_OPENINGS = ["notice of appeal", "appeal", "transmission of notice of appeal"]
+APPEAL_NUMBERS = [r"(\d+)[.)\]]? ?notice ?of ?appeal", r"notice ?of ?appeal ?[(\[]? ?(?:no ?\.?|#)? ?(\d+)[.)\] ]", r"(?:dkt|docket) ?(?:no ?\.?|#)? ?(\d+)[.)\] ]"]
 
 # Fixed values of the sealing indicators: fragments, then a pattern for each flag.
 ARTICLE = r"(motion|order|document|reply|response|affidavit|attachment|transcript|declaration|image|exhibit|indictment|judgement|vesrion)s?"

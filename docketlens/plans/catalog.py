@@ -8,10 +8,11 @@ type gives its docket text.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import cases, dockets, ground_truth, relational, resolve, sealed, statistics
+from ..operators import cases, dockets, ground_truth, relational, resolve, sealed, statistics, statuses
 from ..operators import mentions as mention_ops
 from ..sources.readers import table
 
@@ -238,17 +239,76 @@ def nearest_line_probe(spark, d):
     return dockets.nearest_line(all_.where("event_type = 'purchase'"), all_.where("event_type = 'view'"), "case_id", "idx", "value")
 
 
-@query(f"""WITH {LINES}, c AS (
-  SELECT case_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) END AS sole, min(CASE WHEN event_type = 'purchase' AND value > 300 THEN 'exact' END) AS exact_match,
-         min(CASE WHEN event_type = 'error' AND value > 100 THEN 'neighbour' END) AS near FROM lines GROUP BY case_id)
-SELECT case_id, coalesce(sole, exact_match, near) AS attributed, CASE WHEN sole IS NOT NULL THEN 'sole' WHEN exact_match IS NOT NULL THEN 'exact' WHEN near IS NOT NULL THEN 'near' ELSE 'not_found' END AS method FROM c""")
+# Seven cases a user; a line's number counts from 0 in its case.
+_CASES = """li AS (
+  SELECT user_id * 100 + event_id % 7 AS case_id, event_id AS e, event_type, row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY event_id) - 1 AS idx FROM events
+), st AS (
+  SELECT case_id, idx, CASE event_type WHEN 'signup' THEN 'application' WHEN 'purchase' THEN 'grant' ELSE 'deny' END AS action, e % 10 AS s_start, e % 10 + 9 AS s_end, 2 * e AS seq
+  FROM li WHERE event_type IN ('signup', 'purchase', 'error') UNION ALL
+  SELECT case_id, idx, 'application', 0, 8, 2 * e + 1 FROM li WHERE e % 6 = 0
+), me AS (
+  SELECT case_id, idx, e % 17 AS "start", e % 17 + 5 AS "end", CASE WHEN e % 3 = 0 THEN NULL WHEN case_id % 5 = 0 THEN 'SJ0' ELSE 'SJ' || (e % 5) END AS sjid, 'text' AS method, 2 * e AS seq
+  FROM li WHERE CASE case_id % 7 WHEN 3 THEN event_type IN ('view', 'click') AND e % 6 <> 0 WHEN 5 THEN false ELSE e % 5 < 2 END UNION ALL
+  SELECT case_id, idx, e % 13, e % 13 + 4, 'SJ' || (e % 7), 'text', 2 * e + 1 FROM li WHERE e % 4 = 0 AND case_id % 5 <> 0 AND case_id % 7 NOT IN (3, 5) UNION ALL
+  SELECT DISTINCT case_id, -1, 0, 5, 'SJ' || (case_id % 9), CASE WHEN case_id % 2 = 0 THEN 'assigned_judge' ELSE 'referred_judges' END, case_id FROM li WHERE case_id % 3 = 0
+), ca AS (
+  SELECT case_id, arg_min(CASE WHEN action = 'application' THEN [idx, s_start, s_end] END, seq) FILTER (action = 'application') AS app,
+         CASE WHEN case_id % 4 = 2 THEN NULL WHEN case_id % 4 = 0 THEN arg_min([idx, s_start, s_end], seq) FILTER (action <> 'application')
+              ELSE arg_max([idx, s_start, s_end], seq) FILTER (action <> 'application') END AS res
+  FROM st GROUP BY case_id
+)"""
+
+
+def _cases(spark, d):
+    """Cases with their chosen application and resolution, statuses, and mentions of judges."""
+    li = table(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 7).alias("case_id"), F.col("event_id").alias("e"), "event_type")
+    li = li.withColumn("idx", (F.row_number().over(Window.partitionBy("case_id").orderBy("e")) - 1).cast("long"))
+    action = F.when(F.col("event_type") == "signup", "application").when(F.col("event_type") == "purchase", "grant").otherwise("deny")
+    st = li.where("event_type IN ('signup', 'purchase', 'error')").select("case_id", "idx", action.alias("action"), F.expr("e % 10 AS s_start"), F.expr("e % 10 + 9 AS s_end"), F.expr("2 * e AS seq"))
+    st = st.unionByName(li.where("e % 6 = 0").selectExpr("case_id", "idx", "'application' AS action", "0L AS s_start", "8L AS s_end", "2 * e + 1 AS seq"))
+    judge = F.when(F.expr("e % 3 = 0"), None).when(F.expr("case_id % 5 = 0"), "SJ0").otherwise(F.concat(F.lit("SJ"), F.expr("e % 5")))
+    where = "CASE case_id % 7 WHEN 3 THEN event_type IN ('view', 'click') AND e % 6 <> 0 WHEN 5 THEN false ELSE e % 5 < 2 END"
+    me = li.where(where).select("case_id", "idx", F.expr("e % 17 AS start"), F.expr("e % 17 + 5 AS end"), judge.alias("sjid"), F.lit("text").alias("method"), F.expr("2 * e AS seq"))
+    me = me.unionByName(li.where("e % 4 = 0 AND case_id % 5 <> 0 AND case_id % 7 NOT IN (3, 5)").selectExpr("case_id", "idx", "e % 13 AS start", "e % 13 + 4 AS end", "concat('SJ', e % 7) AS sjid", "'text' AS method", "2 * e + 1 AS seq"))
+    heads = li.where("case_id % 3 = 0").select("case_id").distinct()
+    me = me.unionByName(heads.selectExpr("case_id", "-1L AS idx", "0L AS start", "5L AS end", "concat('SJ', case_id % 9) AS sjid", "CASE WHEN case_id % 2 = 0 THEN 'assigned_judge' ELSE 'referred_judges' END AS method", "case_id AS seq"))
+    spot, ends = F.struct("idx", "s_start", "s_end"), F.col("action") != "application"
+    first, last = F.min_by(spot, F.when(ends, F.col("seq"))), F.max_by(spot, F.when(ends, F.col("seq")))
+    ca = st.groupBy("case_id").agg(F.min_by(spot, F.when(~ends, F.col("seq"))).alias("a"), F.when(F.expr("case_id % 4 = 2"), None).when(F.expr("case_id % 4 = 0"), first).otherwise(last).alias("r"))
+    names = [("idx", "line"), ("s_start", "start"), ("s_end", "end")]
+    return ca.select("case_id", *[F.col(f"{s}.{c}").alias(f"{p}_{n}") for s, p in (("a", "app"), ("r", "res")) for c, n in names]), st, me
+
+
+@query(f"""WITH {_CASES}, aim AS (
+  SELECT case_id, app, res, coalesce(res, app) AS t, (SELECT min(idx) FROM st WHERE st.case_id = ca.case_id) AS lo, (SELECT max(idx) FROM st WHERE st.case_id = ca.case_id) AS hi,
+         EXISTS (SELECT 1 FROM st WHERE st.case_id = ca.case_id AND idx = 0 AND action = 'application') AS asked FROM ca
+), ex AS (
+  SELECT st.case_id, st.idx, st.s_start, st.s_end, min(st.seq) AS q, count(DISTINCT sjid) AS k, max(sjid) AS one,
+         count(DISTINCT me.seq) FILTER (me.start BETWEEN s_start AND s_end OR me."end" BETWEEN s_start AND s_end) AS n,
+         max(sjid) FILTER (me.start BETWEEN s_start AND s_end OR me."end" BETWEEN s_start AND s_end) AS ins
+  FROM st JOIN me ON me.case_id = st.case_id AND me.idx = st.idx GROUP BY 1, 2, 3, 4
+), hit AS (
+  SELECT case_id, idx, s_start, s_end, q, CASE WHEN k = 1 THEN one WHEN n = 1 THEN ins END AS j FROM ex WHERE k = 1 OR (k > 1 AND n = 1 AND ins IS NOT NULL)
+), near AS (
+  SELECT case_id, j FROM (SELECT h.case_id, j, row_number() OVER (PARTITION BY h.case_id ORDER BY CASE WHEN (h.idx < t[1]) = (res IS NOT NULL) THEN 0 ELSE 1 END, abs(h.idx - t[1]), q) AS r
+  FROM hit h JOIN aim USING (case_id) WHERE h.idx <> t[1]) WHERE r = 1
+), tally AS (
+  SELECT case_id, sjid, count(*) AS c FROM me JOIN aim USING (case_id) WHERE sjid IS NOT NULL
+    AND idx BETWEEN CASE WHEN res[1] <> 0 THEN app[1] ELSE lo END AND CASE WHEN res[1] <> 0 THEN res[1] ELSE hi END GROUP BY 1, 2
+), mode AS (
+  SELECT case_id, min(sjid) AS j FROM tally t WHERE c = (SELECT max(c) FROM tally u WHERE u.case_id = t.case_id) GROUP BY 1 HAVING count(*) = 1
+), steps AS (
+  SELECT case_id, res[1] = 0 AND NOT asked AS void,
+         (SELECT CASE WHEN count(DISTINCT sjid) = 1 THEN max(sjid) END FROM me WHERE me.case_id = aim.case_id) AS s1,
+         (SELECT max(j) FROM hit h WHERE h.case_id = aim.case_id AND h.idx = t[1] AND h.s_start = t[2] AND h.s_end = t[3]) AS s2, near.j AS s3, mode.j AS s4,
+         (SELECT max(sjid) FROM me WHERE me.case_id = aim.case_id AND idx = -1) AS s5
+  FROM aim LEFT JOIN near USING (case_id) LEFT JOIN mode USING (case_id)
+)
+SELECT case_id, CASE WHEN void THEN NULL ELSE coalesce(s1, s2, s3, s4, s5) END AS attributed,
+       CASE WHEN void THEN 'void' WHEN s1 IS NOT NULL THEN 'single' WHEN s2 IS NOT NULL THEN 'direct' WHEN s3 IS NOT NULL THEN 'neighbour' WHEN s4 IS NOT NULL THEN 'mode'
+            WHEN s5 IS NOT NULL THEN 'header' ELSE 'not_found' END AS method FROM steps""")
 def attribution_cascade(spark, d):
-    c = lines(spark, d).groupBy("case_id").agg(
-        F.when(F.countDistinct("event_type") == 1, F.min("event_type")).alias("sole"),
-        F.min(F.when((F.col("event_type") == "purchase") & (F.col("value") > 300), "exact")).alias("exact_match"),
-        F.min(F.when((F.col("event_type") == "error") & (F.col("value") > 100), "neighbour")).alias("near"),
-    )
-    return dockets.cascade(c, [("sole", "sole"), ("exact", "exact_match"), ("near", "near")]).select("case_id", "attributed", "method")
+    return statuses.attributed(*_cases(spark, d), "case_id", "idx")
 
 
 @query(f"""WITH {LINES}, r AS (SELECT case_id, ts, max(round(value, 6)) AS label FROM lines WHERE event_type = 'signup' GROUP BY 1, 2)
