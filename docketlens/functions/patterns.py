@@ -131,3 +131,5 @@ PLR_DISTRICTS = "cand casd flnd gand idd ilnd innd insd mdd mad moed nvd nhd njd
 # Suffixes that are no name of their own, and titles that stand inside a name.
 SUFFIXES = ["i", "ii", "iii", "iv", "v", "jr", "jnr", "snr", "sr", "senior", "junior"]
 TITLE_INSIDE = r"(?i)[a-zA-Z]+[\s\x08][a-zA-Z]*\.*( ?- ?Mag\. Judge| ?- ?MagJud| Judge| Hon\.| \(magistrate\))[\s\x08][a-zA-Z]+"
+# Words before a surname that may be a split-off part of it, or stand for "judge".
+SPLIT_PREFIXES = ["jude", "j", "o", "mc", "van"]

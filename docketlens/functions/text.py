@@ -43,8 +43,8 @@ def entry_type(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences: a stop ends one unless it follows a title or an initial."""
-    return F.split(text, r"(?<!\b(?:mr|ms|dr|jr|sr|no|vs|hon|u\.s))(?<!\b[A-Za-z])[.;] +")
+    """A line's sentences: joints between clauses end one, and a stop after a whole word and before a capital."""
+    return F.split(text, P.SENTENCE_END)
 
 
 def clean_name(name: Column) -> Column:

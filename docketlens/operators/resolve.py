@@ -28,18 +28,20 @@ def _sides(nodes: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     return tuple(nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in ("a", "b"))
 
 
-def blocked_pairs(nodes: DataFrame, scope: str, name: str, max_share: float = 0.15) -> DataFrame:
+def blocked_pairs(nodes: DataFrame, scope: str, name: str, keep: tuple = (), more=None) -> DataFrame:
     """Pairs of one scope, each once, that share a trigram or a word: what any rule below can accept.
 
     A ratio of 85 or more leaves stretches of at least three equal characters
-    in names of four characters or more, so nothing is lost.
+    in names of four characters or more, so nothing is lost.  ``more`` is an
+    array of further keys, ``keep`` names columns to carry as ``a_`` and ``b_``.
     """
     low = F.lower(name)
     grams = F.when(F.length(low) < 4, F.array(low)).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
-    keyed = nodes.withColumn("_g", F.explode(F.array_distinct(F.array_union(grams, tokens(F.col(name))))))
-    a, b = _sides(keyed, [scope, name, "ord", "_g"])
+    keys = F.array_union(grams, tokens(F.col(name)))
+    keyed = nodes.withColumn("_g", F.explode(F.array_distinct(keys if more is None else F.array_union(keys, more))))
+    a, b = _sides(keyed, [scope, name, "ord", "_g", *keep])
     on = (F.col(f"a_{scope}") == F.col(f"b_{scope}")) & (F.col("a__g") == F.col("b__g")) & (F.col("a_ord") < F.col("b_ord"))
-    return a.join(b, on).select(F.col(f"a_{scope}").alias(scope), "a_ord", F.col(f"a_{name}").alias("a"), "b_ord", F.col(f"b_{name}").alias("b")).distinct()
+    return a.join(b, on).select(F.col(f"a_{scope}").alias(scope), "a_ord", F.col(f"a_{name}").alias("a"), "b_ord", F.col(f"b_{name}").alias("b"), *[f"{s}_{c}" for c in keep for s in ("a", "b")]).distinct()
 
 
 def fuzzy_edges(pairs: DataFrame, scope: str, measure: str = "ratio", least: int = 93, rule: int = 1) -> DataFrame:

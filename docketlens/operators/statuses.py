@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
-from ..functions.text import contains_any
+from ..functions.text import contains_any, sentences
 from .dockets import cascade, unique_mode
 
 
@@ -20,7 +20,7 @@ def status_spans(lines: DataFrame, case: str, index: str, text: str, groups: dic
     Sentences are searched in lower case with single blanks.  A span is the place in that form, moved by
     where the line first has the sentence, so it is exact unless the sentence has longer gaps.
     """
-    parts = lines.select(case, index, F.col(text).alias("_t"), F.posexplode(F.split(text, P.SENTENCE_END)).alias("_n", "_s")).where("_s <> ''")
+    parts = lines.select(case, index, F.col(text).alias("_t"), F.posexplode(sentences(F.col(text))).alias("_n", "_s")).where("_s <> ''")
     low = F.trim(F.regexp_replace(F.lower("_s"), r"\s+", " "))
     parts = parts.withColumns({"_low": low, "_at": F.instr("_t", F.col("_s")) - 1}).where(~contains_any(F.col("_s"), exclusions or P.OUTCOME_EXCLUSIONS))
     found, k = [], 0

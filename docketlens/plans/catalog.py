@@ -7,12 +7,15 @@ type gives its docket text.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import cases, dockets, ground_truth, relational, resolve, sealed, statistics, statuses
+from ..operators import anchors, cases, dockets, ground_truth, relational, resolve, sealed, statistics, statuses
 from ..operators import mentions as mention_ops
 from ..sources.readers import table
 
@@ -259,10 +262,14 @@ _CASES = """li AS (
 )"""
 
 
+def _case_lines(spark, d):
+    li = table(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 7).alias("case_id"), F.col("event_id").alias("e"), "event_type")
+    return li.withColumn("idx", (F.row_number().over(Window.partitionBy("case_id").orderBy("e")) - 1).cast("long"))
+
+
 def _cases(spark, d):
     """Cases with their chosen application and resolution, statuses, and mentions of judges."""
-    li = table(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 7).alias("case_id"), F.col("event_id").alias("e"), "event_type")
-    li = li.withColumn("idx", (F.row_number().over(Window.partitionBy("case_id").orderBy("e")) - 1).cast("long"))
+    li = _case_lines(spark, d)
     action = F.when(F.col("event_type") == "signup", "application").when(F.col("event_type") == "purchase", "grant").otherwise("deny")
     st = li.where("event_type IN ('signup', 'purchase', 'error')").select("case_id", "idx", action.alias("action"), F.expr("e % 10 AS s_start"), F.expr("e % 10 + 9 AS s_end"), F.expr("2 * e AS seq"))
     st = st.unionByName(li.where("e % 6 = 0").selectExpr("case_id", "idx", "'application' AS action", "0L AS s_start", "8L AS s_end", "2 * e + 1 AS seq"))
@@ -311,6 +318,72 @@ def attribution_cascade(spark, d):
     return statuses.attributed(*_cases(spark, d), "case_id", "idx")
 
 
+# Lines of several sentences; sentences are joined by "; " and " and " only, which the SQL can split at.
+SAID = ["MOTION for leave to proceed in forma pauperis", "ORDER  granting motion to proceed in forma pauperis", "ORDER denying application to proceed IFP", "order of service for ifp", "request to proceed without prepaying", "Notice of voluntary dismissal", "nothing of the kind"]
+_SAID = ", ".join(f"'{x}'" for x in SAID)
+_PATTERNS = ", ".join(f"({k}, '{action}', '(" + pattern.replace("'", "''") + ")')" for k, (action, pattern) in enumerate((a, p) for a, g in P.STATUS_GROUPS.items() for p in g))
+
+
+@query(f"""WITH t AS (SELECT user_id AS case_id, event_id AS idx, [{_SAID}] AS s FROM events), l AS (
+  SELECT case_id, idx, s[idx % 7 + 1] || '; ' || s[idx % 5 + 1] || CASE WHEN idx % 2 = 0 THEN ' and ' || s[idx % 3 + 1] ELSE '' END AS txt FROM t
+), p AS (SELECT case_id, idx, txt, unnest(regexp_split_to_array(txt, ' and |;')) AS s, generate_subscripts(regexp_split_to_array(txt, ' and |;'), 1) AS n FROM l
+), m AS (SELECT *, trim(regexp_replace(lower(s), '\\s+', ' ', 'g')) AS low FROM p WHERE s <> '' AND NOT contains(lower(s), 'order of service')
+), h AS (SELECT *, regexp_extract(low, pat, 1) AS hit FROM m, (VALUES {_PATTERNS}) AS g(k, action, pat))
+SELECT case_id, idx, action, CAST(strpos(txt, s) + strpos(low, hit) - 2 AS INTEGER) AS s_start, CAST(strpos(txt, s) + strpos(low, hit) - 2 + length(hit) AS INTEGER) AS s_end,
+       CAST(row_number() OVER (PARTITION BY case_id ORDER BY idx, n, k) AS INTEGER) AS seq FROM h WHERE hit <> ''""")
+def status_spans(spark, d):
+    said = F.array(*[F.lit(x) for x in SAID])
+    at = lambda k: F.get(said, (F.col("idx") % k).cast("int"))
+    text = F.concat(at(7), F.lit("; "), at(5), F.when(F.col("idx") % 2 == 0, F.concat(F.lit(" and "), at(3))).otherwise(""))
+    rows = lines(spark, d).select("case_id", "idx").withColumn("txt", text)
+    return statuses.status_spans(rows, "case_id", "idx", "txt")
+
+
+@query(f"""WITH {_CASES}, x AS (
+  SELECT *, CASE WHEN seq % 3 = 0 THEN 1.0 ELSE 0.0 END + CASE WHEN idx = max(idx) OVER (PARTITION BY case_id) THEN 0.5 ELSE 0.0 END + CASE WHEN seq % 4 = 0 THEN 0.0 ELSE 1.0 END AS score
+  FROM st WHERE action = 'application')
+SELECT case_id, idx, seq, CAST(score AS DOUBLE) AS score FROM x WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, seq) = 1""")
+def application_score_argmax(spark, d):
+    _, st, _ = _cases(spark, d)
+    st = st.withColumns({"kind": F.when(F.expr("seq % 3 = 0"), "MOTION").otherwise("NOTICE"), "text": F.when(F.expr("seq % 4 = 0"), "Pending APPEAL").otherwise("Motion")})
+    return statuses.best_application(st, "case_id", "idx", "seq", "kind", "text").select("case_id", "idx", "seq", "score")
+
+
+_EDGES = f"""{_CASES}, ed AS (
+  SELECT case_id, idx AS source, idx - 3 AS target FROM li WHERE case_id % 2 = 0 AND e % 5 = 0 AND idx > 2 UNION SELECT case_id, idx, idx // 2 FROM li WHERE case_id % 2 = 0 AND e % 3 = 0)"""
+
+
+def _edges(spark, d):
+    li = _case_lines(spark, d).where("case_id % 2 = 0")
+    return li.where("e % 5 = 0 AND idx > 2").selectExpr("case_id", "idx AS source", "idx - 3 AS target").union(li.where("e % 3 = 0").selectExpr("case_id", "idx", "idx div 2")).distinct()
+
+
+@query(f"""WITH {_EDGES}, hit AS (SELECT st.*, action <> 'application' AND EXISTS (SELECT 1 FROM ed JOIN ca ON ca.case_id = ed.case_id WHERE ed.case_id = st.case_id AND source = st.idx AND target = app[1]) AS h FROM st)
+SELECT case_id, idx, action, seq FROM hit t WHERE h OR NOT EXISTS (SELECT 1 FROM hit u WHERE u.case_id = t.case_id AND u.h)""")
+def statuses_by_edges(spark, d):
+    ca, st, _ = _cases(spark, d)
+    chosen = ca.where("app_line IS NOT NULL").select("case_id", F.col("app_line").alias("idx"))
+    return statuses.answering(st, _edges(spark, d), chosen, "case_id", "idx").select("case_id", "idx", "action", "seq")
+
+
+@query(f"""WITH {_EDGES}, tx AS (
+  SELECT case_id, idx, CAST(idx + 1 AS VARCHAR) AS no, CASE WHEN event_type = 'click' THEN 'NOTICE of appeal as to ' || idx WHEN e % 4 = 0 THEN 'ORDER on ' || (idx - 1) || ' Notice of  Appeal'
+         WHEN e % 4 = 1 THEN 'Letter, see Docket No. ' || (idx - 2) || '.' WHEN e % 4 = 2 THEN 'Fee for notice of appeal (no. ' || (idx - 3) || ')' ELSE 'MOTION ' || idx END AS txt FROM li
+), op AS (SELECT case_id, idx, no FROM tx WHERE starts_with(lower(txt), 'notice of appeal') OR starts_with(lower(txt), 'appeal'))
+SELECT case_id, idx AS start, CAST(CASE WHEN EXISTS (SELECT 1 FROM ed WHERE ed.case_id = op.case_id)
+         THEN coalesce((SELECT max(source) FROM ed WHERE ed.case_id = op.case_id AND target = op.idx), (SELECT count(*) FROM tx WHERE tx.case_id = op.case_id))
+         ELSE coalesce((SELECT max(tx.idx) FROM tx WHERE tx.case_id = op.case_id AND tx.idx > op.idx AND regexp_matches(regexp_replace(lower(txt), '\\s+', ' ', 'g'),
+           '(^|[^0-9])' || op.no || '[.)\\]]? ?notice ?of ?appeal|notice ?of ?appeal ?[(\\[]? ?(no ?\\.?|#)? ?' || op.no || '[.)\\] ]|(dkt|docket) ?(no ?\\.?|#)? ?' || op.no || '[.)\\] ]')), op.idx) END + 1 AS BIGINT) AS "end" FROM op""")
+def appeal_windows(spark, d):
+    near = lambda before, k, after: F.concat(F.lit(before), (F.col("idx") - k).cast("string"), F.lit(after))
+    text = (
+        F.when(F.col("event_type") == "click", near("NOTICE of appeal as to ", 0, "")).when(F.expr("e % 4 = 0"), near("ORDER on ", 1, " Notice of  Appeal"))
+        .when(F.expr("e % 4 = 1"), near("Letter, see Docket No. ", 2, ".")).when(F.expr("e % 4 = 2"), near("Fee for notice of appeal (no. ", 3, ")")).otherwise(near("MOTION ", 0, ""))
+    )
+    li = _case_lines(spark, d).withColumn("txt", text).withColumn("no", F.col("idx") + 1)
+    return statuses.appeal_windows(li, _edges(spark, d), "case_id", "idx", "no", "txt")
+
+
 @query(f"""WITH {LINES}, r AS (SELECT case_id, ts, max(round(value, 6)) AS label FROM lines WHERE event_type = 'signup' GROUP BY 1, 2)
 SELECT l.case_id, l.idx, (SELECT arg_max(r.label, r.ts) FROM r WHERE r.case_id = l.case_id AND r.ts <= l.ts) AS label FROM lines l WHERE l.event_type = 'purchase'""")
 def asof_label(spark, d):
@@ -559,6 +632,41 @@ def fuzzy_pairs(spark, d):
     return resolve.fuzzy_edges(resolve.blocked_pairs(_name_nodes(spark, d), "scope", "name"), "scope", "ratio", 75)
 
 
+def _surname_nodes(spark, d):
+    """Words of a part's name by size as scope: two-word names, some with a letter before them, and lone last words."""
+    w = F.split("p_name", " ")
+    part = table(spark, d, "part").select(F.col("p_size").alias("scope"), F.element_at(w, 1).alias("x"), F.element_at(w, 2).alias("y"), "p_partkey")
+    long = part.select("scope", F.concat_ws(" ", F.when(F.expr("p_partkey % 2 = 0"), F.substring("x", 1, 1)).otherwise(F.col("x")), F.col("y")).alias("name"))
+    return long.union(part.where("p_partkey % 3 = 0").select("scope", F.concat(F.col("x"), F.lit("s")))).union(part.where("p_partkey % 3 = 1").select("scope", "y")).distinct()
+
+
+@query()
+def anchor_edges(spark, d):
+    pairs = anchors.anchor_pairs(resolve.ordered(_surname_nodes(spark, d), "scope", "name"), "scope", "name")
+    return reduce(DataFrame.unionByName, [rule(pairs, "scope") for rule in anchors.CASE_RULES])
+
+
+@query()
+def first_letter_edges(spark, d):
+    return anchors.first_letter_edges(anchors.anchor_pairs(resolve.ordered(_surname_nodes(spark, d), "scope", "name"), "scope", "name"), "scope")
+
+
+@query("""WITH p AS (SELECT p_size AS scope, string_split(p_name, ' ')[1] AS x, string_split(p_name, ' ')[2] AS y, p_partkey FROM part), n AS (
+  SELECT DISTINCT scope, CASE WHEN p_partkey % 2 = 0 THEN x[1] ELSE x END || ' ' || y AS l, y FROM p
+), s AS (SELECT scope, x || 's' AS w FROM p WHERE p_partkey % 3 = 0 UNION SELECT scope, y FROM p WHERE p_partkey % 3 = 1
+), m AS (SELECT s.scope, w, l FROM s JOIN n ON n.scope = s.scope AND (w = y OR w = y || 's' OR y = w || 's' OR (length(w) > 5 AND list_sort(string_split(w, '')) = list_sort(string_split(y, '')))))
+SELECT scope, w AS name, CASE WHEN count(DISTINCT l) = 1 THEN max(l) END AS points_to, count(DISTINCT l) > 1 AS is_ambiguous FROM m GROUP BY 1, 2""")
+def surname_crossover(spark, d):
+    return anchors.crossover(_surname_nodes(spark, d), "scope", "name")
+
+
+@query("""WITH n AS (SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS name, CASE WHEN p_size % 10 = 0 THEN p_brand END AS id FROM part)
+SELECT name, CASE WHEN count(DISTINCT id) <= 1 THEN coalesce(min(k) FILTER (id IS NOT NULL), min(k)) END AS points_to, count(DISTINCT id) > 1 AS is_ambiguous FROM n GROUP BY name HAVING count(*) > 1""")
+def same_name(spark, d):
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.element_at(F.split("p_name", " "), 1).alias("name"), F.when(F.expr("p_size % 10 = 0"), F.col("p_brand")).alias("id"))
+    return anchors.same_name(nodes, "name", "id", "k")
+
+
 @query()
 def resolve_within_group(spark, d):
     return resolve.resolve(mentions(spark, d), "court", "name", "case_id")
