@@ -328,7 +328,8 @@ _PATTERNS = ", ".join(f"({k}, '{action}', '(" + pattern.replace("'", "''") + ")'
   SELECT case_id, idx, s[idx % 7 + 1] || '; ' || s[idx % 5 + 1] || CASE WHEN idx % 2 = 0 THEN ' and ' || s[idx % 3 + 1] ELSE '' END AS txt FROM t
 ), p AS (SELECT case_id, idx, txt, unnest(regexp_split_to_array(txt, ' and |;')) AS s, generate_subscripts(regexp_split_to_array(txt, ' and |;'), 1) AS n FROM l
 ), m AS (SELECT *, trim(regexp_replace(lower(s), '\\s+', ' ', 'g')) AS low FROM p WHERE s <> '' AND NOT contains(lower(s), 'order of service')
-), h AS (SELECT *, regexp_extract(low, pat, 1) AS hit FROM m, (VALUES {_PATTERNS}) AS g(k, action, pat))
+), f AS (SELECT low, k, action, regexp_extract(low, pat, 1) AS hit FROM (SELECT DISTINCT low FROM m), (VALUES {_PATTERNS}) AS g(k, action, pat)
+), h AS (SELECT * FROM m JOIN f USING (low))
 SELECT case_id, idx, action, CAST(strpos(txt, s) + strpos(low, hit) - 2 AS INTEGER) AS s_start, CAST(strpos(txt, s) + strpos(low, hit) - 2 + length(hit) AS INTEGER) AS s_end,
        CAST(row_number() OVER (PARTITION BY case_id ORDER BY idx, n, k) AS INTEGER) AS seq FROM h WHERE hit <> ''""")
 def status_spans(spark, d):
