@@ -1,5 +1,6 @@
 """Training-data operators: language ID, vector search, token files, quality
-rules, packing, web archives, personal data, mixing, near duplicates, toxicity.
+rules, packing, web archives, personal data, mixing, near duplicates, toxicity,
+spelling variants, conversation tries, benchmark decontamination.
 
 Nothing outside this subpackage imports it; it can be removed on its own.
 """

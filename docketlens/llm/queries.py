@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, lang_id, mixing, packing, pii, quality, token_files, toxicity, warc
+from . import ann, jaccard, lang_id, mixing, packing, pii, quality, queries_text_graphs, token_files, toxicity, warc
 from .common import table
 from .tokenizing import vocabulary
 
@@ -73,11 +73,13 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op9_ngram_jaccard_links": op9_ngram_jaccard_links,
     "op10_toxicity": op10_toxicity,
+    **queries_text_graphs.QUERIES,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLES = {
+    **queries_text_graphs.ORACLES,
     "op9_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
