@@ -256,7 +256,8 @@ def private(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataFr
 
 def sanitised_documents(docs: DataFrame) -> DataFrame:
     """The documents with sanitised texts, and the columns they came with (``n_chars`` follows the text)."""
-    keep = [c for c in docs.columns if c != "text"]
-    out = private(docs, keep, with_text=True)
+    # The row travels as one column: no name of its own meets a name of the result.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("text"))
+    out = private(docs.select(row.alias("row"), "text"), ["row"], with_text=True)
     cols = {"text": F.col("clean"), "n_chars": F.char_length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("clean")}
-    return out.select(*[cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[cols[c].alias(c) if c in cols else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

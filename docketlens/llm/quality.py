@@ -9,7 +9,8 @@ Defined results: a null or empty text has no words and fails ``few_words``;
 repeated rows give one ledger row each; equal lines or windows count from the
 second or the first on, as the rule says, whatever their order; a very long
 text is one row's arrays in memory, a few times its size; an empty table gives
-an empty ledger; further columns of the input are ignored.
+an empty ledger; further columns of the input are ignored, or kept as they are
+by ``kept_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -143,4 +144,6 @@ def ablations(led: DataFrame, policy: str = "web-1") -> DataFrame:
 
 def kept_documents(docs: DataFrame, policy: str = "web-1") -> DataFrame:
     """The rows that pass a policy, with the columns they came with."""
-    return ledger(docs, list(docs.columns)).where(passes(policy)).select(*docs.columns)
+    # The row travels as one column: no name of its own meets a name of the ledger.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
+    return ledger(whole, ["_doc"]).where(passes(policy)).select("_doc.*")

@@ -35,3 +35,13 @@ def test_stages_take_empty_and_odd_documents(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             d = stage(spark, d, "")
             d.count()
+
+
+def test_stages_take_columns_named_like_their_own(spark, odd):
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_caps fail_bits _words _h _doc spans clean n_email base_sha256 _text _terms _key _k row key target copies taken n node part a b".split()
+    from pyspark.sql import functions as F
+
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.lit(f"own {c}") for c in names})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns and all(r[c] == f"own {c}" for r in kept.collect() for c in names)
