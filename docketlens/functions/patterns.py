@@ -88,15 +88,6 @@ INDICATORS = {
     "discovery_control": r"((stipulated|stipulation for)|(agreed|joint|unopposed)( sealed)? motion .{1,100}) (protective order|discovery control|docket control order)",
 }
 
-# Prefix categories in the order in which they are tried.
-PREFIX_CATEGORIES = {
-    "Bankruptcy_Judge": ["bankruptcy judge", "bankruptcy judges", "bankruptcy chief judge", "bankruptcy court judge", "usbj"],
-    "Circuit_Appeals": ["chief justice", "senior justice", "associate justice", "appellate judge", "circuit judge"],
-    "District_Judge": ["district judge", "district judges", "district court judge", "dist judge", "usdj"],
-    "Magistrate_Judge": ["magistrate judge", "magistrate judges", "mag judge", "chief magistrate", "usmj"],
-    "Nondescript_Judge": ["visiting judge", "honorable", "hon", "judge", "judges", "court judge"],
-    "Judicial_Actor": ["signed by", "ordered by", "entered by", "mediator", "clerk"],
-}
 # Labels from the most to the least specific, for relabelling after an update.
 LABEL_RANK = ["FJC Judge", "BA-MAG Judge", "District_Judge", "Magistrate_Judge", "Bankruptcy_Judge", "Circuit_Appeals", "Nondescript_Judge", "Judicial_Actor"]
 # Nature-of-suit codes of prisoner cases.

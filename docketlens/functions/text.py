@@ -63,15 +63,6 @@ def presentable(name: Column) -> Column:
     return F.array_join(F.transform(F.split(name, " "), word), " ")
 
 
-def prefix_category(text: Column) -> Column:
-    """The first category with a word of its vocabulary in the text, else ``No_Keywords``."""
-    low, out = F.lower(text), None
-    for name, words in P.PREFIX_CATEGORIES.items():
-        hit = low.rlike(r"(^|[^a-z0-9_])(" + "|".join(w.replace(".", r"\.") for w in words) + r")([^a-z0-9_]|$)")
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("No_Keywords")
-
-
 def keyed_hash(value: Column, key: str) -> Column:
     """A pseudonym that only the key's holder can recompute."""
     return F.sha2(F.concat(F.lit(key), F.lit("\x1f"), value), 256)

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import keywords
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.court_words import KEYWORDS
 from ..operators import anchors, cases, dockets, ground_truth, relational, resolve, sealed, statistics, statuses
 from ..operators import mentions as mention_ops
 from ..sources.readers import table
@@ -522,24 +524,18 @@ def protective_timeframe(spark, d):
 
 _PREFIXES = ["Bankruptcy Judge ", "signed by U.S. District Judge ", "MAGISTRATE JUDGE ", "Hon. ", "filed by ", "Circuit Judge "]
 _PREFIX_SQL = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PREFIXES)) + " END || p_name"
-_CATEGORY_SQL = "CASE " + " ".join(
-    f"WHEN regexp_matches(lower(t), '(^|[^a-z0-9_])({'|'.join(w.replace('.', chr(92) + '.') for w in words)})([^a-z0-9_]|$)') THEN '{n}'" for n, words in P.PREFIX_CATEGORIES.items()
-) + " ELSE 'No_Keywords' END"
+_CATEGORY_SQL = """CASE WHEN lower(t) LIKE 'bankruptcy judge %' THEN 'Bankruptcy_Judge' WHEN lower(t) LIKE 'circuit judge %' THEN 'Circuit_Appeals' WHEN lower(t) LIKE '% district judge %' THEN 'District_Judge'
+  WHEN lower(t) LIKE 'magistrate judge %' THEN 'Magistrate_Judge' WHEN lower(t) LIKE 'hon. %' THEN 'Nondescript_Judge' ELSE 'No_Keywords' END"""
 MENTIONS = f"mentions AS (SELECT p_partkey AS case_id, p_name AS name, p_brand AS court, {_PREFIX_SQL} AS t FROM part), tagged AS (SELECT *, {_CATEGORY_SQL} AS category FROM mentions)"
 
 
 def mentions(spark, d):
     prefix = F.element_at(F.array(*[F.lit(p) for p in _PREFIXES]), (F.col("p_partkey") % 6 + 1).cast("int"))
     return table(spark, d, "part").select(F.col("p_partkey").alias("case_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("court"), F.concat(prefix, "p_name").alias("t")).withColumn(
-        "category", T.prefix_category(F.col("t"))
+        "category", keywords.category(F.col("t"))
     )
 
 
-@query(f"WITH {MENTIONS} SELECT case_id, t, category FROM tagged")
-def prefix_category(spark, d):
-    return mentions(spark, d).select("case_id", "t", "category")
-
-
 @query()
 def name_clean(spark, d):
     """Its steps look ahead and behind, which the SQL has not: tested on names worked out by hand."""
@@ -553,7 +549,7 @@ def ucid_counts_full_outer(spark, d):
     return relational.counts_full_outer(m.where("case_id % 3 <> 1"), m.where("case_id % 3 = 1"), ["name", "court"], "case_id")
 
 
-CATEGORIES = [*P.PREFIX_CATEGORIES, "No_Keywords"]
+CATEGORIES = [*KEYWORDS, "No_Keywords"]
 _PIVOT = ", ".join(f"count(DISTINCT CASE WHEN category = '{c}' THEN case_id END) AS {c}" for c in CATEGORIES)
 
 
@@ -970,3 +966,11 @@ FROM x GROUP BY court""")
 def court_quotients(spark, d):
     spans, told, f = _case_spans(spark, d)
     return rounded(cases.court_quotients(told.join(f.select("ucid", "court"), "ucid"), spans), "articles_motions", "items_motions")
+
+
+# --- names made ready ----------------------------------------------------------
+
+from . import preparation as _preparation  # noqa: E402  its queries stand on their own
+
+QUERIES |= _preparation.QUERIES
+ORACLES |= _preparation.ORACLES
