@@ -42,21 +42,71 @@ OUTCOME_GROUPS = {
 # Best outcome first.
 OUTCOME_PRIORITY = [1, -1, -999, -10]
 
-# Phrases that admit a case, and that select its lines.
-BASIC_PHRASES = ["forma pauperis", "ifp"]
-ALL_PHRASES = ["forma pauperis", "ifp", "prepay", "prepaying", "1915"]
-APPEAL_PHRASES = ["appeal"]
+# Phrases that admit a case, that select its lines, and that tell an appeal.
+BASIC_PHRASES = ["pauperis", "ifp", "without prepay", "without the pay", "without pay", "1915"]
+ALL_PHRASES = [*BASIC_PHRASES, "consolidate", "transfer", "remand", "dismiss", "no longer pending", "reduced filing fee procedure"]
+APPEAL_PHRASES = ["notice of appeal"]
+# Kinds of entries by their leading capitals, in the order in which they are tried.
+ENTRY_KINDS = ["APPLICATION", "MOTION", "REQUEST", "COMPLAINT", "AFFIDAVIT", "MINUTE ORDER", "ORDER", "DECISION", "OPINION"]
 # Where a line ends a sentence, fixed values: a joint between clauses, or a stop after a word and before a capital.
 SENTENCE_END = r" and | but |;|: #|, #|(?<=(?:[^\.]{4}[a-z]|[^\.]{3}[^\. ][A-Z]))\. (?=[A-Z\(][^\.]{4})"
-# What a sentence says, by action: outcomes as above, and requests (the pattern of requests is this engine's own).
+# What a sentence says, by action: fixed values.
+_FILL = r"[a-zA-Z0-9 ()\[\]:#\,\.\'\"\-\$&/]"
+_FILL_STAR = r"[a-zA-Z0-9 ()\[\]:#\,\.\'\"\-\$&/\*]"
+_PREPAY = "without (pre|the )?pay"
+_STATUTE = "under 28 ?u\\.?s\\.?c\\.? ?\u00a7? ?1915"
+_IFP = "(in ?forma ?pauperis|ifp)"
+_NOT_ASKED = (
+    "(?<![0-9] )(?<!re )(?<!re: )(?<!re [0-9] )(?<!re: [0-9] )(?<!the )(?<!'s )(?<!^a )(?<!^an )(?<!^no )(?<! a )(?<! an )(?<! no )"
+    "(?<!grant )(?<!grants )(?<!granting )(?<!deny )(?<!denies )(?<!denying )(?<!supplemental )"
+)
+_TO_PROCEED = f"to proceed (in district court )?(in ?forma ?pauperis|ifp|{_PREPAY}|{_STATUTE})(?! on appeal)(?! (o|i)n (his|her) appeal)(?! on transcripts)"
+_NOT_BEFORE = "(?<!appeal )(?<!case files )(?<!or an )"
+_NOT_AFTER = (
+    "(?! on appeal)(?! status on appeal)(?! (o|i)n (his|her) appeal)(?! status (o|i)n (his|her) appeal)(?! for the purpose of an appeal)(?! status for the purpose of an appeal)(?! on transcripts)"
+)
+_NOT_DENIED = "(?!as moot)(?!in part)(?!for the purpose of an appeal)"
+_ASKED = f"{_NOT_BEFORE}{_IFP}{_NOT_AFTER}"
+_UNPAID = f"{_NOT_BEFORE}({_PREPAY}|{_STATUTE})"
 STATUS_GROUPS = {
-    "application": [rf"(motion|application|request|petition|leave){FILLER}{{1,80}}(in forma pauperis|ifp|without prepay)"],
-    "grant": OUTCOME_GROUPS[1],
-    "deny": OUTCOME_GROUPS[-1],
-    "other": OUTCOME_GROUPS[-999] + OUTCOME_GROUPS[-10],
+    "application": [rf"(?:^|, )(?!order){_FILL_STAR}{{0,30}}?{_NOT_ASKED}(motion|application|request|affidavit|letter){_FILL}{{1,50}}?{_TO_PROCEED}"],
+    "grant": [
+        rf"grant(?!(s|ed|ing)? ((P|p)laintiff )?(thirty|30) days)(?!(s|ed|ing)? in part){_FILL}{{1,400}}?{_ASKED}",
+        rf"{_ASKED}{_FILL}{{1,400}}?(?<!if such leave should be )grant(?!ed in part)",
+        rf"(?<!if he is )(?<!if she is )allow{_FILL}{{1,400}}?{_ASKED}",
+        rf"{_ASKED}{_FILL}{{1,400}}?allow",
+        rf"grant(?!(s|ed|ing)? in part){_FILL}{{1,80}}?{_UNPAID}",
+        rf"{_UNPAID}{_FILL}{{1,100}}?grant(?!ed in part)",
+        rf"may proceed{_FILL}{{1,30}}(in ?forma ?pauperis|ifp|{_PREPAY})",
+        "waive filing fee grant",
+    ],
+    "deny": [
+        rf"den(y |ies |ied |ying ){_NOT_DENIED}{_FILL}{{0,400}}?{_ASKED}",
+        rf"{_ASKED}{_FILL}{{1,400}}?(?!appeal is )den(y |ies |ied(\.| )|ying ){_NOT_DENIED}",
+        rf"(?!appeal is )den(y |ies |ied |ying ){_NOT_DENIED}{_FILL}{{0,100}}?{_UNPAID}",
+        rf"{_UNPAID}{_FILL}{{1,100}}?(?!appeal is )den(y |ies |ied(\.| )|ying ){_NOT_DENIED}",
+        rf"order{_FILL}{{1,60}}?den{_FILL}{{1,80}}?{_NOT_BEFORE}{_PREPAY}",
+        rf"waive filing fee den(y |ies |ied(\.| )|ying ){_NOT_DENIED}",
+        "ordered to pay (the)? full",
+    ],
+    "other": [
+        rf"{_IFP}{_FILL}{{1,400}}?moot",
+        rf"(find|stricken|terminat|den)[iedyings]{{0,4}} as moot{_FILL}{{1,400}}?forma ?pauperis",
+        "grant(s|ed|ing)? in part",
+        rf"order to consolidate cases{_FILL}{{1,500}}?all future pleadings",
+        rf"case was assigned incorrectly{_FILL}{{1,400}}?hereby ordered{_FILL}{{1,400}}?transferred",
+        rf"(transfer[redings]{{0,4}}|remand[edings]{{0,3}}){_FILL}{{1,30}}?to{_FILL}{{1,30}}?(district|division)",
+        "no longer pending in this court",
+        "notice of [voluntary ]{0,11}dismissal",
+        rf"dismiss{_FILL}{{0,40}}?case{_FILL}{{0,20}}?(entirety|frivolous)",
+        rf"appeal{_FILL}{{1,100}}?good faith{_FILL}{{1,100}}?should not{_FILL}{{1,100}}?in ?forma ?pauperis",
+        rf"(direct|order)(?! grant)(?! den){_FILL}{{1,40}}?fil{_FILL}{{1,400}}?forma ?pauperis",
+        rf"has not{_FILL}{{0,80}}?submit{_FILL}{{1,80}}?(fil|motion){_FILL}{{1,200}}?forma ?pauperis",
+        "reduced (payment|filing fee) procedure",
+    ],
 }
 # How a line that opens an appeal begins, and how later lines name its number.
-APPEAL_OPENINGS = ["notice of appeal", "appeal", "transmission of notice of appeal"]
+APPEAL_OPENINGS = APPEAL_PHRASES
 APPEAL_NUMBERS = [r"(\d+)[.)\]]? ?notice ?of ?appeal", r"notice ?of ?appeal ?[(\[]? ?(?:no ?\.?|#)? ?(\d+)[.)\] ]", r"(?:dkt|docket) ?(?:no ?\.?|#)? ?(\d+)[.)\] ]"]
 
 # Fixed values of the sealing indicators: fragments, then a pattern for each flag.

@@ -37,7 +37,7 @@ def entry_type(text: Column) -> Column:
     """Leading capitals of an entry, reduced to the first known keyword."""
     caps = F.split(text, "[a-z]")[0]
     out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for word in ["APPLICATION", "MOTION", "REQUEST", "COMPLAINT", "ORDER", "DECISION", "OPINION", "NOTICE", "JUDGMENT"]:
+    for word in P.ENTRY_KINDS:
         out = out.when(caps.contains(word), word)
     return out
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +9,6 @@ from .dockets import asof
 from .relational import unpivot_appointments
 
 APPOINTMENT = ["Court Type", "Court Name", "Appointment Title", "Confirmation Date", "Commission Date", "Termination Date"]
-# Words that exclude an institution.
-TOSS_COURTS = ["county", "tax", "municipal", "city", "appeals", "circuit", "compensation", "superior"]
 
 
 def full_name(*parts: Column) -> Column:
@@ -52,8 +48,7 @@ def dormant(judges: DataFrame, bound) -> tuple[DataFrame, DataFrame]:
 def positions(table: DataFrame) -> DataFrame:
     """Positions of judges at federal courts."""
     title, place = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("TITLE", "INSTITUTION"))
-    tossed = reduce(lambda a, b: a | b, [place.contains(w) for w in TOSS_COURTS])
-    return table.where(title.contains("judge") & place.contains("court") & ~tossed & place.startswith("u.s."))
+    return table.where(title.contains("judge") & place.contains("court") & place.startswith("u.s."))
 
 
 def appointment_kind(id_: Column) -> Column:

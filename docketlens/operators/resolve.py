@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import patterns as P
 from ..functions.fuzzy import similarity
 
 
@@ -28,15 +29,26 @@ def _sides(nodes: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     return tuple(nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in ("a", "b"))
 
 
-def blocked_pairs(nodes: DataFrame, scope: str, name: str, keep: tuple = (), more=None) -> DataFrame:
-    """Pairs of one scope, each once, that share a trigram or a word: what any rule below can accept.
+def _grams(low, n: int):
+    return F.when(F.length(low) <= n, F.array(low)).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n))))
 
-    A ratio of 85 or more leaves stretches of at least three equal characters
-    in names of four characters or more, so nothing is lost.  ``more`` is an
-    array of further keys, ``keep`` names columns to carry as ``a_`` and ``b_``.
+
+def blocked_pairs(nodes: DataFrame, scope: str, name: str, keep: tuple = (), more=None, least: int = 93) -> DataFrame:
+    """Pairs of one scope, each once, that share a stretch of a name or a word: all of a ratio of ``least`` (75 or more) are met.
+
+    A ratio r of two names of T characters in all leaves at most (1 - r) T + 1
+    equal stretches for at least r T / 2 equal characters, so one stretch has
+    three characters from 93 on (T over 6; shorter names must be equal), two
+    from 85 on (T over 3), and two from 75 on where T is over 8.  In shorter
+    names single characters are compared.  ``more`` is an array of further
+    keys, ``keep`` names columns to carry as ``a_`` and ``b_``.
     """
+    if least < 75:
+        raise ValueError("blocking is proven for ratios of 75 and more")
     low = F.lower(name)
-    grams = F.when(F.length(low) < 4, F.array(low)).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
+    grams = _grams(low, 3 if least >= 93 else 2)
+    if least < 85:
+        grams = F.when(F.length(low) <= 8, F.array_union(grams, _grams(low, 1))).otherwise(grams)
     keys = F.array_union(grams, tokens(F.col(name)))
     keyed = nodes.withColumn("_g", F.explode(F.array_distinct(keys if more is None else F.array_union(keys, more))))
     a, b = _sides(keyed, [scope, name, "ord", "_g", *keep])
@@ -44,6 +56,20 @@ def blocked_pairs(nodes: DataFrame, scope: str, name: str, keep: tuple = (), mor
     return a.join(b, on).select(F.col(f"a_{scope}").alias(scope), "a_ord", F.col(f"a_{name}").alias("a"), "b_ord", F.col(f"b_{name}").alias("b"), *[f"{s}_{c}" for c in keep for s in ("a", "b")]).distinct()
 
 
+def subset_pairs(nodes: DataFrame, scope: str, name: str) -> DataFrame:
+    """Pairs that ``token_subset`` can accept: they share a word, or one has initials and the first letters of two words in order agree
+    (of the only word, if both have one)."""
+    words = tokens(F.col(name))
+    letters = F.transform(words, lambda w: F.left(w, F.lit(1)))
+    twos = F.array_distinct(F.flatten(F.transform(letters, lambda x, i: F.transform(F.slice(letters, i + 2, F.size(letters)), lambda y: F.concat(x, y)))))
+    twos = F.when(F.size(letters) == 1, letters).otherwise(twos)  # a lone initial meets lone words
+    initial = F.exists(words, lambda w: F.length(w) == 1)
+    keyed = nodes.select(scope, name, "ord", initial.alias("_i"), F.explode(F.array_union(F.array_distinct(words), F.transform(twos, lambda k: F.concat(F.lit("\x01"), k)))).alias("_g"))
+    a, b = _sides(keyed, [scope, name, "ord", "_i", "_g"])
+    on = (F.col(f"a_{scope}") == F.col(f"b_{scope}")) & (F.col("a__g") == F.col("b__g")) & (F.col("a_ord") < F.col("b_ord")) & (F.col("a__i") | F.col("b__i") | ~F.col("a__g").startswith("\x01"))
+    return a.join(b, on).select(F.col(f"a_{scope}").alias(scope), "a_ord", F.col(f"a_{name}").alias("a"), "b_ord", F.col(f"b_{name}").alias("b")).distinct()
+
+
 def fuzzy_edges(pairs: DataFrame, scope: str, measure: str = "ratio", least: int = 93, rule: int = 1) -> DataFrame:
     """Pairs whose similarity reaches ``least``."""
     close = pairs.where(F.abs(F.length("a") - F.length("b")) * 100 <= (200 - 2 * least) * F.greatest(F.length("a"), F.length("b"))) if measure == "ratio" else pairs
@@ -51,13 +77,15 @@ def fuzzy_edges(pairs: DataFrame, scope: str, measure: str = "ratio", least: int
 
 
 def token_subset(a, b):
-    """The shorter word list is an ordered subsequence of the longer; an initial stands for any word with it."""
+    """The shorter word list is an ordered subsequence of the longer; an initial stands for any word with it.  A single word
+    is compared with the surname of several only."""
     x, y = tokens(a), tokens(b)
     short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
     same = lambda s, t: (s == t) | ((F.length(s) == 1) & t.startswith(s)) | ((F.length(t) == 1) & s.startswith(t))
     # Greedy: each word of the longer list may match the next open word of the shorter one.
     used = F.aggregate(long, F.lit(0), lambda k, t: F.when((k < F.size(short)) & same(F.get(short, k), t), k + 1).otherwise(k))
-    return (F.size(short) > 0) & (used == F.size(short))
+    surname = F.when(F.element_at(long, -1).isin(P.SUFFIXES), F.element_at(long, -2)).otherwise(F.element_at(long, -1))
+    return F.when((F.size(short) == 1) & (F.size(long) > 1), F.get(short, F.lit(0)) == surname).otherwise((F.size(short) > 0) & (used == F.size(short)))
 
 
 def token_edges(pairs: DataFrame, scope: str, rule: int = 2) -> DataFrame:
@@ -173,8 +201,8 @@ def fold(nodes: DataFrame, edges: DataFrame, scope: str, name: str, weight: str)
 def resolve(mentions: DataFrame, scope: str, name: str, case: str, least: int = 93, rules: str = "plain") -> DataFrame:
     """Names of each scope resolved by closeness, then by ordered words; ``rules="all"`` adds the others."""
     nodes = ordered(mentions.where(F.col(name).isNotNull() & F.col(scope).isNotNull()).groupBy(scope, name).agg(F.countDistinct(case).alias("weight")), scope, name)
-    pairs = blocked_pairs(nodes, scope, name)
-    edges = all_edges(pairs, scope) if rules == "all" else fuzzy_edges(pairs, scope, "ratio", least, 1).unionByName(token_edges(pairs, scope, 2))
+    pairs, subsets = blocked_pairs(nodes, scope, name, least=min(least, 93)), subset_pairs(nodes, scope, name)
+    edges = all_edges(pairs.unionByName(subsets).distinct(), scope) if rules == "all" else fuzzy_edges(pairs, scope, "ratio", least, 1).unionByName(token_edges(subsets, scope, 2))
     return fold(nodes, edges, scope, name, "weight")
 
 

@@ -86,9 +86,11 @@ def appeal_windows(lines: DataFrame, edges: DataFrame, case: str, index: str, nu
 
 def exact_matches(statuses: DataFrame, mentions: DataFrame, case: str, index: str) -> DataFrame:
     """Statuses with the judge of their own line: its only one, or of several the one whose single mention starts or
-    ends in the status's span.  Statuses without one are left out."""
+    ends in the status's span.  Statuses of one span are one, with the least ``seq``.  Statuses without a judge
+    are left out."""
+    once = statuses.groupBy(case, index, "s_start", "s_end").agg(F.min("seq").alias("seq"))
     inside = F.expr("start BETWEEN s_start AND s_end OR end BETWEEN s_start AND s_end")
-    met = statuses.select(case, index, "s_start", "s_end", "seq").join(mentions.select(case, index, "start", "end", "sjid"), [case, index])
+    met = once.join(mentions.select(case, index, "start", "end", "sjid"), [case, index])
     k, n = F.countDistinct("sjid"), F.count_if(inside)
     found = F.when(k == 1, F.max("sjid")).when((k > 1) & (n == 1), F.max(F.when(inside, F.col("sjid"))))
     return met.groupBy(case, index, "s_start", "s_end").agg(found.alias("sjid"), F.min("seq").alias("seq")).where("sjid IS NOT NULL")

@@ -190,14 +190,16 @@ def _statuses(spark, d):
     action = F.lit(None).cast("string")
     for k, v in ACTIONS.items():
         action = F.when(F.col("event_type") == k, v).otherwise(action)
-    return lines(spark, d).withColumn("action", action).where("action IS NOT NULL").withColumn("kind", T.entry_type(F.col("txt")))
+    text = F.when(F.expr("idx % 7 = 0"), F.concat(F.lit("MINUTE "), "txt")).when(F.expr("idx % 7 = 1"), F.concat("txt", F.lit(" after an appeal"))).otherwise(F.col("txt"))
+    return lines(spark, d).withColumn("txt", text).withColumn("action", action).where("action IS NOT NULL").withColumn("kind", T.entry_type(F.col("txt")))
 
 
 @query(f"""WITH {LINES}, s AS (
-  SELECT case_id, idx, CASE event_type WHEN 'purchase' THEN 'grant' WHEN 'error' THEN 'deny' ELSE 'other' END AS action, txt FROM lines WHERE event_type IN ('purchase', 'error', 'click')
+  SELECT case_id, idx, CASE event_type WHEN 'purchase' THEN 'grant' WHEN 'error' THEN 'deny' ELSE 'other' END AS action,
+         CASE WHEN idx % 7 = 0 THEN 'MINUTE ' || txt WHEN idx % 7 = 1 THEN txt || ' after an appeal' ELSE txt END AS txt FROM lines WHERE event_type IN ('purchase', 'error', 'click')
 ), c AS (
   SELECT *, (CASE WHEN txt LIKE 'ORDER%' THEN 1.0 ELSE 0 END) + (CASE WHEN idx = max(idx) OVER (PARTITION BY case_id) THEN 0.5 ELSE 0 END) + 1.0
-         + (CASE WHEN lower(txt) LIKE '%appeal%' THEN 0 ELSE 1.0 END) + (CASE action WHEN 'grant' THEN 1.5 WHEN 'deny' THEN 1.0 ELSE 0 END) AS score FROM s
+         + (CASE WHEN txt LIKE '%NOTICE OF APPEAL%' THEN 0 ELSE 1.0 END) + (CASE action WHEN 'grant' THEN 1.5 WHEN 'deny' THEN 1.0 ELSE 0 END) AS score FROM s
 ), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, idx) AS k FROM c)
 SELECT case_id, idx, action, CAST(score AS DOUBLE) AS score FROM r WHERE k = 1""")
 def status_score_argmax(spark, d):
@@ -321,25 +323,38 @@ def attribution_cascade(spark, d):
 
 
 # Lines of several sentences; sentences are joined by "; " and " and " only, which the SQL can split at.
-SAID = ["MOTION for leave to proceed in forma pauperis", "ORDER  granting motion to proceed in forma pauperis", "ORDER denying application to proceed IFP", "order of service for ifp", "request to proceed without prepaying", "Notice of voluntary dismissal", "nothing of the kind"]
+SAID = [
+    "MOTION for leave to proceed in forma pauperis", "ORDER  granting motion to proceed in forma pauperis", "ORDER denying application to proceed IFP", "order of service for ifp", "request to proceed without prepaying fees",
+    "motion to proceed without the payment of costs", "allows plaintiff to proceed in forma pauperis", "request for ifp is denied as moot", "Notice of voluntary dismissal", "nothing of the kind",
+    "IFP application granted in part", "Case transferred to the Eastern District", "motion to proceed in forma pauperis on appeal", "plaintiff may proceed IFP", "waive filing fee denied.", "reduced filing fee procedure",
+    "denies leave to proceed under 28 USC 1915",
+]
 _SAID = ", ".join(f"'{x}'" for x in SAID)
-_PATTERNS = ", ".join(f"({k}, '{action}', '(" + pattern.replace("'", "''") + ")')" for k, (action, pattern) in enumerate((a, p) for a, g in P.STATUS_GROUPS.items() for p in g))
+_SAID_LINES = f"""t AS (SELECT user_id AS case_id, event_id AS idx, [{_SAID}] AS s FROM events), l AS (
+  SELECT case_id, idx, s[idx % 17 + 1] || '; ' || s[idx % 13 + 1] || CASE WHEN idx % 2 = 0 THEN ' and ' || s[idx % 11 + 1] ELSE '' END AS txt FROM t)"""
 
 
-@query(f"""WITH t AS (SELECT user_id AS case_id, event_id AS idx, [{_SAID}] AS s FROM events), l AS (
-  SELECT case_id, idx, s[idx % 7 + 1] || '; ' || s[idx % 5 + 1] || CASE WHEN idx % 2 = 0 THEN ' and ' || s[idx % 3 + 1] ELSE '' END AS txt FROM t
+def _said(spark, d):
+    said = F.array(*[F.lit(x) for x in SAID])
+    at = lambda k: F.get(said, (F.col("idx") % k).cast("int"))
+    text = F.concat(at(17), F.lit("; "), at(13), F.when(F.col("idx") % 2 == 0, F.concat(F.lit(" and "), at(11))).otherwise(""))
+    return lines(spark, d).select("case_id", "idx").withColumn("txt", text)
+
+
+# What the sentences say, read from the patterns by hand; each says one thing at most.
+@query(f"""WITH {_SAID_LINES}, said(low, action, hit) AS (VALUES
+  ('motion for leave to proceed in forma pauperis', 'application', 'motion for leave to proceed in forma pauperis'), ('order granting motion to proceed in forma pauperis', 'grant', 'granting motion to proceed in forma pauperis'),
+  ('order denying application to proceed ifp', 'deny', 'denying application to proceed ifp'), ('request to proceed without prepaying fees', 'application', 'request to proceed without prepay'),
+  ('motion to proceed without the payment of costs', 'application', 'motion to proceed without the pay'), ('allows plaintiff to proceed in forma pauperis', 'grant', 'allows plaintiff to proceed in forma pauperis'),
+  ('request for ifp is denied as moot', 'other', 'ifp is denied as moot'), ('notice of voluntary dismissal', 'other', 'notice of voluntary dismissal'), ('ifp application granted in part', 'other', 'granted in part'),
+  ('case transferred to the eastern district', 'other', 'transferred to the eastern district'), ('plaintiff may proceed ifp', 'grant', 'may proceed ifp'), ('waive filing fee denied.', 'deny', 'waive filing fee denied.'),
+  ('reduced filing fee procedure', 'other', 'reduced filing fee procedure'), ('denies leave to proceed under 28 usc 1915', 'deny', 'denies leave to proceed under 28 usc 1915')
 ), p AS (SELECT case_id, idx, txt, unnest(regexp_split_to_array(txt, ' and |;')) AS s, generate_subscripts(regexp_split_to_array(txt, ' and |;'), 1) AS n FROM l
-), m AS (SELECT *, trim(regexp_replace(lower(s), '\\s+', ' ', 'g')) AS low FROM p WHERE s <> '' AND NOT contains(lower(s), 'order of service')
-), f AS (SELECT low, k, action, regexp_extract(low, pat, 1) AS hit FROM (SELECT DISTINCT low FROM m), (VALUES {_PATTERNS}) AS g(k, action, pat)
-), h AS (SELECT * FROM m JOIN f USING (low))
+), m AS (SELECT *, trim(regexp_replace(lower(s), '\\s+', ' ', 'g')) AS low FROM p)
 SELECT case_id, idx, action, CAST(strpos(txt, s) + strpos(low, hit) - 2 AS INTEGER) AS s_start, CAST(strpos(txt, s) + strpos(low, hit) - 2 + length(hit) AS INTEGER) AS s_end,
-       CAST(row_number() OVER (PARTITION BY case_id ORDER BY idx, n, k) AS INTEGER) AS seq FROM h WHERE hit <> ''""")
+       CAST(row_number() OVER (PARTITION BY case_id ORDER BY idx, n) AS INTEGER) AS seq FROM m JOIN said USING (low)""")
 def status_spans(spark, d):
-    said = F.array(*[F.lit(x) for x in SAID])
-    at = lambda k: F.get(said, (F.col("idx") % k).cast("int"))
-    text = F.concat(at(7), F.lit("; "), at(5), F.when(F.col("idx") % 2 == 0, F.concat(F.lit(" and "), at(3))).otherwise(""))
-    rows = lines(spark, d).select("case_id", "idx").withColumn("txt", text)
-    return statuses.status_spans(rows, "case_id", "idx", "txt")
+    return statuses.status_spans(_said(spark, d), "case_id", "idx", "txt")
 
 
 @query(f"""WITH {_CASES}, x AS (
@@ -348,7 +363,7 @@ def status_spans(spark, d):
 SELECT case_id, idx, seq, CAST(score AS DOUBLE) AS score FROM x WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, seq) = 1""")
 def application_score_argmax(spark, d):
     _, st, _ = _cases(spark, d)
-    st = st.withColumns({"kind": F.when(F.expr("seq % 3 = 0"), "MOTION").otherwise("NOTICE"), "text": F.when(F.expr("seq % 4 = 0"), "Pending APPEAL").otherwise("Motion")})
+    st = st.withColumns({"kind": F.when(F.expr("seq % 3 = 0"), "MOTION").otherwise("NOTICE"), "text": F.when(F.expr("seq % 4 = 0"), "Pending NOTICE of Appeal").otherwise("Motion on appeal")})
     return statuses.best_application(st, "case_id", "idx", "seq", "kind", "text").select("case_id", "idx", "seq", "score")
 
 
@@ -371,8 +386,8 @@ def statuses_by_edges(spark, d):
 
 @query(f"""WITH {_EDGES}, tx AS (
   SELECT case_id, idx, CAST(idx + 1 AS VARCHAR) AS no, CASE WHEN event_type = 'click' THEN 'NOTICE of appeal as to ' || idx WHEN e % 4 = 0 THEN 'ORDER on ' || (idx - 1) || ' Notice of  Appeal'
-         WHEN e % 4 = 1 THEN 'Letter, see Docket No. ' || (idx - 2) || '.' WHEN e % 4 = 2 THEN 'Fee for notice of appeal (no. ' || (idx - 3) || ')' ELSE 'MOTION ' || idx END AS txt FROM li
-), op AS (SELECT case_id, idx, no FROM tx WHERE starts_with(lower(txt), 'notice of appeal') OR starts_with(lower(txt), 'appeal'))
+         WHEN e % 4 = 1 THEN 'Letter, see Docket No. ' || (idx - 2) || '.' WHEN e % 4 = 2 THEN 'Fee for notice of appeal (no. ' || (idx - 3) || ')' WHEN idx % 5 = 0 THEN 'Appeal fee ' || idx ELSE 'MOTION ' || idx END AS txt FROM li
+), op AS (SELECT case_id, idx, no FROM tx WHERE starts_with(lower(txt), 'notice of appeal'))
 SELECT case_id, idx AS start, CAST(CASE WHEN EXISTS (SELECT 1 FROM ed WHERE ed.case_id = op.case_id)
          THEN coalesce((SELECT max(source) FROM ed WHERE ed.case_id = op.case_id AND target = op.idx), (SELECT count(*) FROM tx WHERE tx.case_id = op.case_id))
          ELSE coalesce((SELECT max(tx.idx) FROM tx WHERE tx.case_id = op.case_id AND tx.idx > op.idx AND regexp_matches(regexp_replace(lower(txt), '\\s+', ' ', 'g'),
@@ -381,7 +396,7 @@ def appeal_windows(spark, d):
     near = lambda before, k, after: F.concat(F.lit(before), (F.col("idx") - k).cast("string"), F.lit(after))
     text = (
         F.when(F.col("event_type") == "click", near("NOTICE of appeal as to ", 0, "")).when(F.expr("e % 4 = 0"), near("ORDER on ", 1, " Notice of  Appeal"))
-        .when(F.expr("e % 4 = 1"), near("Letter, see Docket No. ", 2, ".")).when(F.expr("e % 4 = 2"), near("Fee for notice of appeal (no. ", 3, ")")).otherwise(near("MOTION ", 0, ""))
+        .when(F.expr("e % 4 = 1"), near("Letter, see Docket No. ", 2, ".")).when(F.expr("e % 4 = 2"), near("Fee for notice of appeal (no. ", 3, ")")).when(F.expr("idx % 5 = 0"), near("Appeal fee ", 0, "")).otherwise(near("MOTION ", 0, ""))
     )
     li = _case_lines(spark, d).withColumn("txt", text).withColumn("no", F.col("idx") + 1)
     return statuses.appeal_windows(li, _edges(spark, d), "case_id", "idx", "no", "txt")
@@ -408,10 +423,16 @@ def regex_outcome(spark, d):
     return lines(spark, d).select("idx", T.outcome(F.col("txt")).alias("outcome"))
 
 
-@query(f"""WITH {LINES}, a AS (SELECT DISTINCT case_id FROM lines WHERE lower(txt) LIKE '%forma pauperis%' OR lower(txt) LIKE '%ifp%')
-SELECT case_id, idx, txt FROM lines SEMI JOIN a USING (case_id) WHERE lower(txt) LIKE '%forma pauperis%' OR lower(txt) LIKE '%ifp%' OR lower(txt) LIKE '%prepay%' OR lower(txt) LIKE '%1915%'""")
+# A third of the cases has only lines that select, but do not admit.
+@query(f"""WITH {_SAID_LINES}, v AS (SELECT case_id, idx, CASE WHEN case_id % 3 = 0 THEN s[[8, 9, 11, 15][idx % 4 + 1] + 1] || ' by remand' WHEN idx % 4 = 0 THEN s[10] ELSE txt END AS txt FROM l JOIN t USING (case_id, idx)
+), a AS (SELECT DISTINCT case_id FROM v WHERE regexp_matches(lower(txt), 'pauperis|ifp|without prepay|without the pay|without pay|1915'))
+SELECT case_id, idx, txt FROM v SEMI JOIN a USING (case_id)
+WHERE regexp_matches(lower(txt), 'pauperis|ifp|without prepay|without the pay|without pay|1915|consolidate|transfer|remand|dismiss|no longer pending|reduced filing fee procedure')""")
 def phrase_gate(spark, d):
-    return dockets.phrase_gate(lines(spark, d), "case_id", "txt").select("case_id", "idx", "txt")
+    said = F.array(*[F.lit(x) for x in SAID])
+    late = F.concat(F.get(said, F.get(F.array(*[F.lit(x) for x in (8, 9, 11, 15)]), (F.col("idx") % 4).cast("int"))), F.lit(" by remand"))
+    text = F.when(F.expr("case_id % 3 = 0"), late).when(F.expr("idx % 4 = 0"), SAID[9]).otherwise(F.col("txt"))
+    return dockets.phrase_gate(_said(spark, d).withColumn("txt", text), "case_id", "txt").select("case_id", "idx", "txt")
 
 
 # --- sealing -----------------------------------------------------------------
@@ -616,17 +637,24 @@ def _name_nodes(spark, d):
     return resolve.ordered(table(spark, d, "part").select(F.lit("all").alias("scope"), F.col("p_name").alias("name")).distinct(), "scope", "name")
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT regexp_replace(p_name, '^(\\w)\\w* ', '\\1 ') AS name FROM part UNION SELECT p_name FROM part UNION SELECT regexp_extract(p_name, '\\w+$') FROM part WHERE p_partkey % 5 = 0 UNION SELECT regexp_extract(p_name, '^\\w+') FROM part WHERE p_partkey % 7 = 0
+), o AS (SELECT name, row_number() OVER (ORDER BY length(name) DESC, name) AS ord, list_filter(regexp_split_to_array(lower(name), '[\\s.]+'), lambda w: w <> '') AS w FROM n
+), p AS (SELECT a.ord AS a_ord, b.ord AS b_ord, CASE WHEN len(a.w) <= len(b.w) THEN a.w ELSE b.w END AS s, CASE WHEN len(a.w) <= len(b.w) THEN b.w ELSE a.w END AS l FROM o a JOIN o b ON a.ord < b.ord
+), g AS (
+  SELECT *, CAST(list_reduce(l, lambda k, t: CASE WHEN CAST(k AS INTEGER) < len(s) AND (s[CAST(k AS INTEGER) + 1] = t OR (length(s[CAST(k AS INTEGER) + 1]) = 1 AND starts_with(t, s[CAST(k AS INTEGER) + 1]))
+    OR (length(t) = 1 AND starts_with(s[CAST(k AS INTEGER) + 1], t))) THEN CAST(CAST(k AS INTEGER) + 1 AS VARCHAR) ELSE k END, '0') AS INTEGER) AS used FROM p)
+SELECT 'all' AS scope, 2 AS rule, CAST(a_ord AS INTEGER) AS a_ord, CAST(b_ord AS INTEGER) AS b_ord FROM g WHERE CASE WHEN len(s) = 1 AND len(l) > 1 THEN s[1] = l[len(l)] ELSE used = len(s) END""")
 def token_subset_pairs(spark, d):
     part = table(spark, d, "part")
-    short = part.select(F.lit("all").alias("scope"), F.regexp_replace("p_name", r"^(\w)\w* ", "$1 ").alias("name"))
-    nodes = resolve.ordered(short.union(part.select(F.lit("all"), "p_name")).distinct(), "scope", "name")
-    return resolve.token_edges(resolve.blocked_pairs(nodes, "scope", "name"), "scope")
+    short, last, first = F.regexp_replace("p_name", r"^(\w)\w* ", "$1 "), F.regexp_extract("p_name", r"\w+$", 0), F.regexp_extract("p_name", r"^\w+", 0)
+    names = part.select(short.alias("name")).union(part.select("p_name")).union(part.where("p_partkey % 5 = 0").select(last)).union(part.where("p_partkey % 7 = 0").select(first)).distinct()
+    nodes = resolve.ordered(names.select(F.lit("all").alias("scope"), "name"), "scope", "name")
+    return resolve.token_edges(resolve.subset_pairs(nodes, "scope", "name"), "scope")
 
 
 @query()
 def fuzzy_pairs(spark, d):
-    return resolve.fuzzy_edges(resolve.blocked_pairs(_name_nodes(spark, d), "scope", "name"), "scope", "ratio", 75)
+    return resolve.fuzzy_edges(resolve.blocked_pairs(_name_nodes(spark, d), "scope", "name", least=75), "scope", "ratio", 75)
 
 
 def _surname_nodes(spark, d):
