@@ -91,3 +91,36 @@ def category(text: Column, categories: dict[str, list[str]] | None = None) -> Co
     for name, words in (categories or W.KEYWORDS).items():
         out = out.when(low.rlike("(^|[^a-z0-9_])(?:" + "|".join(re.escape(w) for w in words) + ")(?![a-z0-9_])"), name)
     return out.otherwise("No_Keywords")
+
+
+class Phrases:
+    """One list of phrases, which may begin with a mark.  The text is read once from the left: where a word begins, and at a
+    mark that no word comes before, the longest phrase that ends with a word counts; the character behind a match or a word
+    without one begins nothing."""
+
+    def __init__(self, phrases):
+        self.root: dict = {}
+        for phrase in filter(None, phrases):
+            node = self.root
+            for c in phrase.lower():
+                node = node.setdefault(c, {})
+            node["end"] = True
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        low, out, at = _lowered(text), [], 0
+        while at < len(low):
+            node, here, end = self.root, at, None
+            while here < len(low) and (node := node.get(low[here])) is not None:
+                here += 1
+                if "end" in node and (here == len(low) or low[here] not in _IN_WORD):
+                    end = here
+            if end is not None:
+                out.append((at, end))
+                at = end + 1
+            elif low[at] in _IN_WORD:
+                while at < len(low) and low[at] in _IN_WORD:
+                    at += 1
+                at += 1
+            else:
+                at += 1
+        return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keywords
-from ..operators import preparation
+from ..operators import neighbourhood, preparation
 from ..sources.readers import table
 
 _BEFORE = [
@@ -170,5 +170,26 @@ def prepared_mentions(spark, d):
     return out.select("id", "New_Span_Start", "New_Span_End", "New_Pre_Tokens", "New_Entity", "New_Post_Tokens", "Prefix_Categories", "Transferred_Flag", "Entity_Extraction_Method")
 
 
-QUERIES = {f.__name__: f for f in (keyword_spans, prefix_category, trimmed_entities, exploded_exceptions, respanned_entities, prepared_mentions)}
+_WIDE = ["", "Ann ", "J.R. ", "Mary B. ", "J R ", "judge "]
+_SHORT = ["Poe", "Ruth Poe", "Poe", "Will", "J. Roe", "Roe", "Smithson", "123", "Ann B. Van Dyke", "Dyke", "Smith"]
+_TAIL = [" Jr.", ", Jr. on", " Smithson", "", " will rule", " appear", " III", "'s order"]
+
+
+def reextracted_names(spark, d):
+    """Names widened by the words beside them; compared with a plain loop in the tests."""
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), _pick(_WIDE, "o_orderkey").alias("a"), _pick(_SHORT, "o_orderkey div 5").alias("n"), _pick(_TAIL, "o_orderkey div 3").alias("z"), F.expr("cast(o_orderkey % 100 as int)").alias("full_span_start"),
+    )
+    # Every fourth name was extracted with what stands before it, every ninth with what follows.
+    long = F.col("id") % 4 == 0
+    pre, name = F.when(long, "").otherwise(F.col("a")), F.when(long, F.concat("a", "n")).otherwise(F.col("n"))
+    tail = F.col("id") % 9 == 0
+    name, post = F.when(tail, F.concat(name, "z")).otherwise(name), F.when(tail, "").otherwise(F.ltrim("z"))
+    told = rows.select("id", "full_span_start", pre.alias("extracted_pre_5"), name.alias("extracted_entity"), post.alias("extracted_post_5"), F.concat("a", "n", "z").alias("original_text"))
+    start = F.col("full_span_start") + F.length("extracted_pre_5")
+    told = told.withColumns({"Ent_span_start": start, "Ent_span_end": start + F.length("extracted_entity")})
+    return neighbourhood.reextracted(told).select("id", "extracted_pre_5", "extracted_entity", "extracted_post_5", "Ent_span_start", "Ent_span_end", "was_widened")
+
+
+QUERIES = {f.__name__: f for f in (keyword_spans, prefix_category, trimmed_entities, exploded_exceptions, respanned_entities, prepared_mentions, reextracted_names)}
 ORACLES = {"keyword_spans": _SPANS_SQL, "prefix_category": _CATEGORY_SQL, "exploded_exceptions": _EXPLODED_SQL, "respanned_entities": _RESPANNED_SQL}
