@@ -19,6 +19,7 @@ from ..functions import text as T
 from ..functions.court_words import KEYWORDS
 from ..operators import anchors, cases, dockets, ground_truth, relational, resolve, sealed, statistics, statuses
 from ..operators import mentions as mention_ops
+from ..operators.endpoints import shared_folder
 from ..sources.readers import table
 
 QUERIES: dict = {}
@@ -806,10 +807,7 @@ def events_tag_stream(spark, d):
     known = events.groupBy(F.col("user_id").alias("user")).agg(F.min_by("event_type", "event_id").alias("label"))
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     out = tagged_stream(stream.select("event_id", F.col("user_id").alias("user")), known, "user", "label")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(shared or '/tmp/checkpoints/docketlens').rstrip('/')}/stream-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     run_once(out, f"{path}/rows", f"{path}/state")
     return spark.read.schema(out.schema).parquet(f"{path}/rows")
 
@@ -998,7 +996,8 @@ def court_quotients(spark, d):
 
 # --- names made ready ----------------------------------------------------------
 
-from . import preparation as _preparation  # noqa: E402  its queries stand on their own
+from . import linking as _linking  # noqa: E402  their queries stand on their own
+from . import preparation as _preparation  # noqa: E402
 
-QUERIES |= _preparation.QUERIES
-ORACLES |= _preparation.ORACLES
+QUERIES |= _preparation.QUERIES | _linking.QUERIES
+ORACLES |= _preparation.ORACLES | _linking.ORACLES
