@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import crosscheck
+from ..operators import crosscheck, variants
 from ..operators import endpoints as ends
 from ..sources.readers import table
 
@@ -43,8 +43,44 @@ def final_crosscheck(spark, d):
     return crosscheck.final_crosscheck(rows, "case_id", "name", "points_to", "sjid")
 
 
-QUERIES = {f.__name__: f for f in (endpoints, chained_endpoints, final_crosscheck)}
+_FORMS = """forms AS (
+  SELECT DISTINCT p_size AS scope, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN regexp_replace(p_name, '^(\\w)\\w* ', '\\1 ') WHEN 2 THEN regexp_extract(p_name, '\\w+$')
+    WHEN 3 THEN regexp_replace(p_name, ' ', ' ' || chr(97 + CAST(p_partkey % 5 AS INTEGER)) || 'nn ') WHEN 4 THEN regexp_replace(p_name, ' ', ' ' || chr(97 + CAST(p_partkey % 5 AS INTEGER)) || ' ') ELSE p_name || ' jr' END AS name
+  FROM part)"""
+
+
+def _forms(spark, d):
+    letter = F.expr("chr(97 + p_partkey % 5)")
+    k, name = F.col("p_partkey") % 6, F.col("p_name")
+    form = (
+        F.when(k == 0, name).when(k == 1, F.regexp_replace(name, r"^(\w)\w* ", "$1 ")).when(k == 2, F.regexp_extract(name, r"\w+$", 0)).when(k == 3, F.replace(name, F.lit(" "), F.concat(F.lit(" "), letter, F.lit("nn "))))
+        .when(k == 4, F.replace(name, F.lit(" "), F.concat(F.lit(" "), letter, F.lit(" ")))).otherwise(F.concat(name, F.lit(" jr")))
+    )
+    return table(spark, d, "part").select(F.col("p_size").alias("scope"), form.alias("name")).distinct()
+
+
+def name_variants(spark, d):
+    """Letters for first and middle words."""
+    return variants.name_variants(_forms(spark, d), "name", ("scope",), first=True, middle=True).select("scope", "name", F.array_join("words", " ").alias("variant"))
+
+
+def variant_subset_pairs(spark, d):
+    """Names that hold one another once their middle words are letters."""
+    return variants.subset_matches(_forms(spark, d), "scope", "name", middle=True)
+
+
+QUERIES = {f.__name__: f for f in (endpoints, chained_endpoints, final_crosscheck, name_variants, variant_subset_pairs)}
+# These names have at most one middle word, and only the suffix jr behind two words.
+_CUT = """w AS (SELECT scope, name, string_split(name, ' ') AS t FROM forms), v AS (
+  SELECT *, CASE WHEN len(t) = 3 AND t[3] <> 'jr' THEN [t[1], t[2][1], t[3]] ELSE t END AS m FROM w)"""
 ORACLES = {
+    "name_variants": f"""WITH {_FORMS}, {_CUT} SELECT scope, name, CASE WHEN len(m) = 1 THEN m[1] ELSE m[1][1] || ' ' || array_to_string(m[2:], ' ') END AS variant FROM v""",
+    "variant_subset_pairs": f"""WITH {_FORMS}, {_CUT}, p AS (
+  SELECT a.scope, a.name AS x, b.name AS y, a.m AS s, b.m AS l FROM v a JOIN v b ON a.scope = b.scope AND a.name <> b.name AND len(a.m) <= len(b.m)
+), g AS (
+  SELECT *, CASE WHEN len(s) = 1 AND len(l) > 1 THEN s[1] = CASE WHEN l[len(l)] = 'jr' THEN l[len(l) - 1] ELSE l[len(l)] END
+    ELSE len(list_filter(range(1, len(s) + 1), lambda i: list_contains(l, s[i]) AND (i = 1 OR list_position(l, s[i]) > list_position(l, s[i - 1])))) = len(s) END AS held FROM p)
+SELECT DISTINCT scope, least(x, y) AS a, greatest(x, y) AS b FROM g WHERE held""",
     "endpoints": f"WITH RECURSIVE {_POINTERS}, {_ENDS} SELECT node, target FROM follow",
     "chained_endpoints": "SELECT o_orderkey AS node, o_orderkey - o_orderkey % 1000 AS target FROM orders",
     # The names of the parts are close only where one contains the other.
