@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
+from .endpoints import cut
 
 
 def counts_full_outer(a: DataFrame, b: DataFrame, keys: list[str], case: str) -> DataFrame:
@@ -79,9 +80,17 @@ def unique_container(names: DataFrame, name: str) -> DataFrame:
 
 
 def assign_ids(new: DataFrame, order: list[str], start: int = 0, prefix: str = "SJ", width: int = 6) -> DataFrame:
-    """Consecutive ids in a stated order, from ``start``; entities, not rows, are numbered."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1 + F.lit(start)
-    return new.withColumn("sjid", F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0")))
+    """Consecutive ids in a stated order, from ``start``; entities, not rows, are numbered.
+
+    Ranges of the order are numbered by themselves, each from the number of entities in the ranges before it (a row
+    a range), so no task holds them all.  Entities that are equal in the order stand in any order.
+    """
+    ranged = cut(new.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    n = F.col("_local") + F.col("_before") + F.lit(start)
+    return placed.withColumn("sjid", F.concat(F.lit(prefix), F.format_string(f"%0{width}d", n))).drop("_part", "_local", "_before", "_n")
 
 
 def continue_ids(old: DataFrame, new: DataFrame, name: str, id_: str = "sjid", prefix: str = "SJ", width: int = 6) -> DataFrame:

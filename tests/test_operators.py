@@ -251,3 +251,11 @@ def test_subset_pairs_meet_initials(spark):
     n = nodes.select("name", "ord")
     all_pairs = n.toDF("a", "a_ord").crossJoin(n.toDF("b", "b_ord")).where("a_ord < b_ord").where(resolve.token_subset(F.col("a"), F.col("b"))).select("a_ord", "b_ord")
     assert rows(resolve.token_edges(resolve.subset_pairs(nodes, "scope", "name"), "scope").select("a_ord", "b_ord")) == rows(all_pairs)
+
+
+def test_ids_go_on_from_range_to_range(spark):
+    names = [f"n{i:05d}" for i in range(3000)]
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "name string").repartition(7)
+    got = {r.name: r.sjid for r in relational.assign_ids(df, ["name"], start=998_500).collect()}
+    assert got == {n: f"SJ{998_500 + i:06d}" for i, n in enumerate(names)}  # seven digits where six are not enough
+    assert relational.assign_ids(df.limit(0), ["name"]).count() == 0
