@@ -42,16 +42,26 @@ def parties(spark: SparkSession, path) -> DataFrame:
 
 
 def entities(spark: SparkSession, path) -> DataFrame:
-    return spark.read.schema(schemas.ENTITY).json(path).withColumn("NID", F.regexp_extract("NID", r"^[^.]*", 0))
+    """The entity list, a JSON object a line.  The label stands in ``Judge_Label`` or in the column whose name ends with ``_Guess``;
+    ids written as decimals lose their fraction."""
+    told = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("m")).where("m IS NOT NULL")
+    guess = F.try_element_at(F.map_values(F.map_filter("m", lambda k, v: k.endswith("_Guess"))), F.lit(1))
+    pick = lambda c: F.coalesce(F.try_element_at("m", F.lit(c)), guess) if c == "Judge_Label" else F.try_element_at("m", F.lit(c))
+    fields = [f.strip().split(" ") for f in schemas.ENTITY.split(",")]
+    out = told.select(*[pick(c).cast(kind if kind != "long" else "double").cast(kind).alias(c) for c, kind in fields])
+    return out.withColumn("NID", F.regexp_extract("NID", r"^[^.]*", 0))
 
 
 def mentions(spark: SparkSession, path) -> DataFrame:
-    """Mention files below a folder, JSON lines or arrays; indices as integers."""
-    raw = spark.read.schema(schemas.MENTION).option("recursiveFileLookup", True).option("multiLine", True).json(path)
-    lines = spark.read.schema(schemas.MENTION).option("recursiveFileLookup", True).json(path)
-    # A file of lines read as one document yields its first line only, an array read by lines none.
-    both = lines.where("ucid IS NOT NULL").unionByName(raw.where("ucid IS NOT NULL")).dropDuplicates()
-    return both.withColumn("docket_index", F.col("docket_index").cast("long"))
+    """Mention files below a folder, one a case: JSON lines or one array; indices as integers.  Each file is read once, and
+    equal mentions are as many as it holds."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    text = F.ltrim("value")
+    each = F.when(text.startswith("["), F.from_json(text, f"array<struct<{schemas.MENTION_FIELDS}>>")).otherwise(
+        F.transform(F.filter(F.split("value", "\n"), lambda line: F.trim(line) != ""), lambda line: F.from_json(line, f"struct<{schemas.MENTION_FIELDS}>"))
+    )
+    rows = files.select(F.explode(each).alias("m")).select("m.*").where("ucid IS NOT NULL")
+    return rows.withColumn("docket_index", F.col("docket_index").cast("long"))
 
 
 def write_mentions(mentions: DataFrame, path: str) -> None:

@@ -19,3 +19,5 @@ MENTION = _ddl("""Entity_Extraction_Method string, docket_source string, judge_e
     docket_index double, ucid string, cid string, court string, year int, original_text string, Extracted_Entity string,
     Prefix_Categories string, Transferred_Flag boolean, full_span_start long, full_span_end double,
     Entity_Span_Start double, Entity_Span_End double, Parent_Entity string, SJID string""")
+#: The same as the fields of a struct.
+MENTION_FIELDS = ", ".join(f.strip().replace(" ", ": ", 1) for f in MENTION.split(","))
