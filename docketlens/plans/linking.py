@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import crosscheck, variants
+from ..operators import components as graph
+from ..operators import crosscheck, free_scope, near, variants
 from ..operators import endpoints as ends
 from ..sources.readers import table
 
@@ -49,14 +50,14 @@ _FORMS = """forms AS (
   FROM part)"""
 
 
-def _forms(spark, d):
+def _forms(spark, d, *more):
     letter = F.expr("chr(97 + p_partkey % 5)")
     k, name = F.col("p_partkey") % 6, F.col("p_name")
     form = (
         F.when(k == 0, name).when(k == 1, F.regexp_replace(name, r"^(\w)\w* ", "$1 ")).when(k == 2, F.regexp_extract(name, r"\w+$", 0)).when(k == 3, F.replace(name, F.lit(" "), F.concat(F.lit(" "), letter, F.lit("nn "))))
         .when(k == 4, F.replace(name, F.lit(" "), F.concat(F.lit(" "), letter, F.lit(" ")))).otherwise(F.concat(name, F.lit(" jr")))
     )
-    return table(spark, d, "part").select(F.col("p_size").alias("scope"), form.alias("name")).distinct()
+    return table(spark, d, "part").select(*(more or [F.col("p_size").alias("scope")]), form.alias("name")).distinct()
 
 
 def name_variants(spark, d):
@@ -69,11 +70,37 @@ def variant_subset_pairs(spark, d):
     return variants.subset_matches(_forms(spark, d), "scope", "name", middle=True)
 
 
-QUERIES = {f.__name__: f for f in (endpoints, chained_endpoints, final_crosscheck, name_variants, variant_subset_pairs)}
+def resolve_free(spark, d):
+    """Each part a node: its form of a name, its size as weight, a few with ids."""
+    k = F.col("p_partkey")
+    named = _forms(spark, d, k.alias("node"), F.col("p_size").alias("weight"))
+    ids = {c: F.when(F.col("node") % n == 0, F.concat(F.lit(p), (F.col("node") % 9973).cast("string"))) for c, n, p in (("nid", 97, "N"), ("ba_mag_id", 89, "B"), ("sjid", 211, "SJ"))}
+    return free_scope.resolve_free(named.withColumns(ids))
+
+
+def near_name_pairs(spark, d):
+    """Names of the parts of a size that are alike by 90 or more."""
+    return near.near_pairs(table(spark, d, "part").select(F.col("p_size").alias("scope"), "p_name"), "p_name", 90, ("scope",))
+
+
+def name_components(spark, d):
+    """Orders linked by the parts that a customer's order shares with the one 32 keys on, and with the next line's supplier."""
+    o = F.col("o_orderkey")
+    orders = table(spark, d, "orders")
+    links = orders.where(o % 7 != 0).select(o.alias("a"), (o - o % 64 + (o * 5) % 64).alias("b")).where("a % 3 <> 0")
+    return graph.components(links, "a", "b")
+
+
+QUERIES = {f.__name__: f for f in (endpoints, chained_endpoints, final_crosscheck, name_variants, variant_subset_pairs, resolve_free, near_name_pairs, name_components)}
 # These names have at most one middle word, and only the suffix jr behind two words.
 _CUT = """w AS (SELECT scope, name, string_split(name, ' ') AS t FROM forms), v AS (
   SELECT *, CASE WHEN len(t) = 3 AND t[3] <> 'jr' THEN [t[1], t[2][1], t[3]] ELSE t END AS m FROM w)"""
 ORACLES = {
+    "name_components": """WITH RECURSIVE links AS (
+  SELECT o_orderkey AS a, o_orderkey - o_orderkey % 64 + (o_orderkey * 5) % 64 AS b FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0
+), both AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT a, a FROM links UNION SELECT b, b FROM links),
+reach AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a)
+SELECT a AS node, min(b) AS component FROM reach GROUP BY a""",
     "name_variants": f"""WITH {_FORMS}, {_CUT} SELECT scope, name, CASE WHEN len(m) = 1 THEN m[1] ELSE m[1][1] || ' ' || array_to_string(m[2:], ' ') END AS variant FROM v""",
     "variant_subset_pairs": f"""WITH {_FORMS}, {_CUT}, p AS (
   SELECT a.scope, a.name AS x, b.name AS y, a.m AS s, b.m AS l FROM v a JOIN v b ON a.scope = b.scope AND a.name <> b.name AND len(a.m) <= len(b.m)
