@@ -164,6 +164,26 @@ NAME_STEPS = [
     (r"(?i) (sr|snr|senior)", " sr"),
     (r"(?i) (jr|jnr|junior)", " jr"),
 ]
+# The same for names of known judges as they are published.
+TRUTH_STEPS = [
+    (r"(?i)('s[\s\x08$]|\\'s[\s\x08$])", " "),
+    (r"(?i)(\\xc2|\\xa71)", ""),
+    (r"(?i)(\\xc3|\\xa1)", "a"),
+    (r"\\'", "'"),
+    (r"[0-9]", ""),
+    (r"(!|\"|#|%|&|\*|\+|,|/|=|\?|@|\^|_|`|~|\$|\||\\)", " "),
+    (r"[.](?=[^\s])", " "),
+    (r"[.](?=[\s])", ""),
+    (r"['](?=[\s])|(?<=[\s])[']", ""),
+    (r"(-$|^-|'$|^')", ""),
+    (r"(?<=[^\s]) [-](?=[^\s])|(?<=[^\s])[-] (?=[^\s])", "-"),
+    (r"((?<=[a-zA-Z])|^)[\[](?=[a-zA-Z]+)", ""),
+    (r"(?<=[a-zA-Z])[\]](?=[\s]+)", ""),
+    (r"[.]", ""),
+    (r"[']", ""),
+]
+# Words of institutions that are no federal trial court.
+TOSS_COURTS = ["county", "tax", "municipal", "city", "appeals", "circuit", "compensation", "superior"]
 # Words that admit a line, characters in which they and the flags are looked for, and characters of a line that are kept.
 WIDE_NET = ["seal", "restrict", "redact", "protective"]
 READ, KEPT = 200, 400

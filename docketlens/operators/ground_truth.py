@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import contains_any
 from .dockets import asof
 from .relational import unpivot_appointments
 
@@ -45,10 +46,10 @@ def dormant(judges: DataFrame, bound) -> tuple[DataFrame, DataFrame]:
     return judges.where(~ended), judges.where(ended)
 
 
-def positions(table: DataFrame) -> DataFrame:
-    """Positions of judges at federal courts."""
+def positions(table: DataFrame, toss: list[str] | None = None) -> DataFrame:
+    """Positions of judges at federal courts; ``toss`` lists words of institutions to leave out."""
     title, place = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("TITLE", "INSTITUTION"))
-    return table.where(title.contains("judge") & place.contains("court") & place.startswith("u.s."))
+    return table.where(title.contains("judge") & place.contains("court") & place.startswith("u.s.")).where(~contains_any(place, toss) if toss else F.lit(True))
 
 
 def appointment_kind(id_: Column) -> Column:

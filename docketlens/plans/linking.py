@@ -84,7 +84,7 @@ def near_name_pairs(spark, d):
 
 
 def name_components(spark, d):
-    """Orders linked by the parts that a customer's order shares with the one 32 keys on, and with the next line's supplier."""
+    """Orders linked with another of their 64 keys."""
     o = F.col("o_orderkey")
     orders = table(spark, d, "orders")
     links = orders.where(o % 7 != 0).select(o.alias("a"), (o - o % 64 + (o * 5) % 64).alias("b")).where("a % 3 <> 0")
@@ -98,8 +98,8 @@ _CUT = """w AS (SELECT scope, name, string_split(name, ' ') AS t FROM forms), v
 ORACLES = {
     "name_components": """WITH RECURSIVE links AS (
   SELECT o_orderkey AS a, o_orderkey - o_orderkey % 64 + (o_orderkey * 5) % 64 AS b FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0
-), both AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT a, a FROM links UNION SELECT b, b FROM links),
-reach AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a)
+), pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT a, a FROM links UNION SELECT b, b FROM links),
+reach AS (SELECT a, b FROM pairs UNION SELECT r.a, e.b FROM reach r JOIN pairs e ON r.b = e.a)
 SELECT a AS node, min(b) AS component FROM reach GROUP BY a""",
     "name_variants": f"""WITH {_FORMS}, {_CUT} SELECT scope, name, CASE WHEN len(m) = 1 THEN m[1] ELSE m[1][1] || ' ' || array_to_string(m[2:], ' ') END AS variant FROM v""",
     "variant_subset_pairs": f"""WITH {_FORMS}, {_CUT}, p AS (
