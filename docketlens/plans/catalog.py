@@ -796,7 +796,8 @@ def distinct_rows(spark, d):
     return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("yr")).distinct()
 
 
-@query()
+@query("""SELECT event_id, e.user_id AS "user", coalesce(label, 'Inconclusive') AS label
+FROM events e LEFT JOIN (SELECT user_id, arg_min(event_type, event_id) AS label FROM events WHERE event_id IS NOT NULL GROUP BY user_id) k ON e.user_id = k.user_id""")
 def events_tag_stream(spark, d):
     """The events as a stream, tagged with their user's first type, until all are read."""
     from uuid import uuid4
@@ -998,6 +999,7 @@ def court_quotients(spark, d):
 
 from . import linking as _linking  # noqa: E402  their queries stand on their own
 from . import preparation as _preparation  # noqa: E402
+from . import upkeep as _upkeep  # noqa: E402
 
-QUERIES |= _preparation.QUERIES | _linking.QUERIES
-ORACLES |= _preparation.ORACLES | _linking.ORACLES
+QUERIES |= _preparation.QUERIES | _linking.QUERIES | _upkeep.QUERIES
+ORACLES |= _preparation.ORACLES | _linking.ORACLES | _upkeep.ORACLES
