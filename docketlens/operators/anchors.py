@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.fuzzy import similarity
-from .resolve import blocked_pairs, tokens
+from .resolve import blocked_pairs, fold, fuzzy_edges, ordered, subset_pairs, token_edges, tokens
 
 
 def bare(name: Column) -> Column:
@@ -144,3 +144,18 @@ def same_name(nodes: DataFrame, name: str, id_: str, order: str) -> DataFrame:
 
 #: Rules of the case scope in their order.
 CASE_RULES = [surname_edges, surname_or_ends_edges, fused_name_edges]
+
+
+def resolve_case(mentions: DataFrame, scope: str, name: str, case: str, least: int = 93, header: str | None = None) -> DataFrame:
+    """``scope, name, points_to``: names of each scope by closeness, by ordered words, then by the anchor rules, in one fold.
+
+    ``header`` is a flag of mentions from headers; a name is from one if any of its mentions is.  Mentions without a name or
+    scope take no part; ``scope`` may be the case itself.
+    """
+    told = mentions.where(F.col(name).isNotNull() & F.col(scope).isNotNull())
+    flags = [F.coalesce(F.max(F.col(header).cast("boolean")), F.lit(False)).alias(header)] if header else []
+    nodes = ordered(told.groupBy(scope, name).agg(F.countDistinct(case).alias("weight"), *flags), scope, name)
+    pairs = anchor_pairs(nodes, scope, name, (header,) if header else ())
+    found = [fuzzy_edges(blocked_pairs(nodes, scope, name, least=min(least, 93)), scope, "ratio", least, 1), token_edges(subset_pairs(nodes, scope, name), scope, 2)]
+    found += [rule(pairs, scope, **({"header": header} if header and rule is fused_name_edges else {})) for rule in CASE_RULES]
+    return fold(nodes, reduce(DataFrame.unionByName, found), scope, name, "weight")

@@ -1,8 +1,9 @@
 """Entity resolution: pairwise rules as blocked joins, then one ordered fold per scope.
 
 Rules look only at fixed attributes of two names.  Their edges are found in
-parallel; the fold then walks each scope's edges in order (rule, then position)
-and lets the winner absorb the loser unless it was absorbed before.
+parallel; the fold then walks the edges in order (rule, then position) and lets
+the winner absorb the loser unless it was absorbed before.  Names that no chain of
+edges links cannot change one another, so each component of a scope is folded by itself.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions.fuzzy import similarity
+from .components import components
+from .endpoints import cut
 
 
 def tokens(name):
@@ -195,7 +198,14 @@ def fold(nodes: DataFrame, edges: DataFrame, scope: str, name: str, weight: str)
 
         return pd.DataFrame({scope: people[scope], name: people[name], "points_to": [names[root(o)] for o in people["ord"]]})
 
-    return nodes.groupBy(scope).cogroup(edges.groupBy(scope)).applyInPandas(run, schema)
+    # A row in each scope and place, so that edges of all scopes make one graph.
+    place = lambda o: F.struct(F.col(scope).alias("scope"), F.col(o).alias("ord"))
+    edges = cut(edges.select(scope, "rule", "a_ord", "b_ord"))
+    parts = components(edges.select(place("a_ord").alias("a"), place("b_ord").alias("b")), "a", "b")
+    placed = cut(nodes.select(scope, name, "ord", weight, place("ord").alias("_p")).join(parts, F.col("_p") == F.col("node"), "left").select(scope, name, "ord", weight, F.to_json("component").alias("_c")))
+    linked = edges.withColumn("_p", place("a_ord")).join(parts, F.col("_p") == F.col("node")).select(F.to_json("component").alias("_c"), "rule", "a_ord", "b_ord")
+    alone = placed.where("_c IS NULL").select(scope, name, F.col(name).alias("points_to"))
+    return placed.where("_c IS NOT NULL").groupBy("_c").cogroup(linked.groupBy("_c")).applyInPandas(run, schema).unionByName(alone)
 
 
 def resolve(mentions: DataFrame, scope: str, name: str, case: str, least: int = 93, rules: str = "plain") -> DataFrame:

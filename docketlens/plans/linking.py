@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import components as graph
-from ..operators import crosscheck, free_scope, near, variants
+from ..operators import anchors, crosscheck, free_scope, near, variants
 from ..operators import endpoints as ends
 from ..sources.readers import table
 
@@ -91,7 +91,12 @@ def name_components(spark, d):
     return graph.components(links, "a", "b")
 
 
-QUERIES = {f.__name__: f for f in (endpoints, chained_endpoints, final_crosscheck, name_variants, variant_subset_pairs, resolve_free, near_name_pairs, name_components)}
+def resolve_case_rules(spark, d):
+    """The forms of the parts' names by all rules of a case, each size a scope."""
+    return anchors.resolve_case(_forms(spark, d, F.col("p_size").alias("scope"), F.col("p_partkey").alias("case_id")), "scope", "name", "case_id")
+
+
+QUERIES = {f.__name__: f for f in (endpoints, chained_endpoints, final_crosscheck, name_variants, variant_subset_pairs, resolve_free, near_name_pairs, name_components, resolve_case_rules)}
 # These names have at most one middle word, and only the suffix jr behind two words.
 _CUT = """w AS (SELECT scope, name, string_split(name, ' ') AS t FROM forms), v AS (
   SELECT *, CASE WHEN len(t) = 3 AND t[3] <> 'jr' THEN [t[1], t[2][1], t[3]] ELSE t END AS m FROM w)"""
