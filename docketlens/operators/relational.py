@@ -68,14 +68,18 @@ def frequent(rows: DataFrame, keys: list[str], case: str, least: int) -> DataFra
 def unique_container(names: DataFrame, name: str) -> DataFrame:
     """Each name with the only longer name that contains it, if there is one, else itself.
 
-    Names are joined on their words: a container holds the name's first whole
-    word or a word around it, so candidates share a trigram of the name.
+    A container holds every trigram of the name, so a name looks for its rarest one: names that begin alike do not all meet.
     """
     distinct = names.select(F.col(name).alias("n")).where("n IS NOT NULL").distinct()
-    grams = "transform(sequence(1, greatest(length(n) - 2, 1)), i -> substring(n, i, 3))"
-    longer = distinct.select(F.col("n").alias("l"), F.explode(F.array_distinct(F.expr(grams))).alias("g"))
-    short = distinct.select("n", F.expr("substring(n, 1, 3)").alias("g"))
-    hits = short.join(longer, "g").where("length(l) > length(n) AND contains(l, n)").groupBy("n").agg(F.count("*").alias("k"), F.min("l").alias("l"))
+    grams = "if(length(n) < 3, array(n), transform(sequence(1, length(n) - 2), i -> substring(n, i, 3)))"
+    every = "array_union(" + grams + ", flatten(transform(sequence(1, 2), k -> transform(sequence(1, greatest(length(n) - k + 1, 1)), i -> substring(n, i, k)))))"
+    # Names shorter than a trigram are looked for by all of themselves.
+    brief = distinct.where("length(n) < 3").limit(1).count() > 0
+    index = distinct.select(F.col("n").alias("l"), F.explode(F.array_distinct(F.expr(every if brief else grams))).alias("g"))
+    often = index.groupBy("g").agg(F.count("*").alias("_k"))
+    own = distinct.select("n", F.explode(F.array_distinct(F.expr(grams))).alias("g")).join(often, "g")
+    short = own.groupBy("n").agg(F.min_by("g", F.struct("_k", "g")).alias("g"))
+    hits = short.join(index, "g").where("length(l) > length(n) AND contains(l, n)").groupBy("n").agg(F.count("*").alias("k"), F.min("l").alias("l"))
     return distinct.join(hits, "n", "left").select(F.col("n").alias(name), F.when(F.col("k") == 1, F.col("l")).otherwise(F.col("n")).alias("resolved"))
 
 

@@ -220,7 +220,9 @@ def drop_parties(mentions: DataFrame, parties: DataFrame, case: str, name: str,
     """Mentions that are no party of their own case, exactly or closely."""
     m = mentions.select(F.col(case).alias("_c"), F.col(name).alias("_n")).distinct()
     p = parties.select(F.col(case).alias("_pc"), F.col(party).alias("_p")).distinct()
-    hit = m.join(p, F.col("_c") == F.col("_pc")).where(similarity("ratio", F.lower("_n"), F.lower("_p")) >= least).select("_c", "_n").distinct()
+    # The ratio cannot reach the bound where the lengths differ by too much; only the rest is compared.
+    fits = 200 * F.least(F.length("_n"), F.length("_p")) >= (least - 0.5) * (F.length("_n") + F.length("_p"))
+    hit = m.join(p, (F.col("_c") == F.col("_pc")) & fits).where(similarity("ratio", F.lower("_n"), F.lower("_p")) >= least).select("_c", "_n").distinct()
     return mentions.join(hit, (F.col(case) == F.col("_c")) & (F.col(name) == F.col("_n")), "left_anti")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docketlens.functions import text as T
-from docketlens.operators import dockets, ground_truth
+from docketlens.operators import dockets, ground_truth, relational
 from docketlens.streaming import tagging
 
 
@@ -42,3 +42,14 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
         tagging.run_once(counts, str(tmp_path / "out"), str(tmp_path / "state"))
     got = spark.read.schema(counts.schema).parquet(str(tmp_path / "out")).orderBy("start", "k").collect()
     assert [(str(r.start), r.k, r.n) for r in got] == [("2020-01-01 00:00:00", "a", 2), ("2020-01-01 00:00:00", "b", 1), ("2020-01-02 00:00:00", "a", 1)]
+
+
+def test_unique_container_of_short_and_long_names(spark):
+    names = ["a", "ab", "abc", "xabcx", "zz", "zzq", "", "mno pq", "mno", "no p", "lonely", None, "a"]
+    own = {n for n in names if n is not None}
+    want = {}
+    for n in own:
+        longer = [m for m in own if len(m) > len(n) and n in m]
+        want[n] = longer[0] if len(longer) == 1 else n
+    got = relational.unique_container(spark.createDataFrame([(n,) for n in names], "name string"), "name")
+    assert {r.name: r.resolved for r in got.collect()} == want and want["ab"] == "ab" and want["abc"] == "xabcx"
