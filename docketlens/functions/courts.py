@@ -46,3 +46,17 @@ def classified(rows: DataFrame, institution: str, court: str = "court") -> DataF
     """Rows with the court of an institution, null where it is no district court.  The index has a row a court (94), so it is broadcast."""
     index = rows.sparkSession.createDataFrame(list(COURTS.items()), f"_key string, `{court}` string")
     return rows.withColumn("_key", court_key(F.col(institution))).join(F.broadcast(index), "_key", "left").drop("_key")
+
+
+# The states and territories of each circuit.
+CIRCUITS = {
+    "1": "me ma nh ri pr", "2": "ct ny vt", "3": "de nj pa vi", "4": "md nc sc va wv", "5": "la ms tx", "6": "ky mi oh tn", "7": "il in wi", "8": "ar ia mn mo ne nd sd", "9": "ak az ca hi id mt nv or wa gu nmi",
+    "10": "co ks nm ok ut wy", "11": "al fl ga", "DC": "dc",
+}
+
+
+def circuit(court: Column) -> Column:
+    """The circuit of a district's abbreviation, null for anything else."""
+    state = {s: c for c, states in CIRCUITS.items() for s in states.split()}
+    of = {court: state[court[:-1] if court[:-1] in state else court[:-2]] for court in COURTS.values()}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(of.items()) for x in pair]), court)

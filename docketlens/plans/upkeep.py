@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from ..operators import court_nodes
+from ..operators import court_nodes, report
 from ..operators.endpoints import shared_folder
 from ..sources.readers import table
 from ..streaming import updates
@@ -58,8 +58,42 @@ def case_updates(spark, d):
     return updates.read_cases(spark, f"{path}/cases", old.schema).select("ucid", "court", "yy", "judge_enum", "docket_index", "full_span_start", "SJID")
 
 
-QUERIES = {f.__name__: f for f in (tenured_nodes, reduced_nodes, case_updates)}
+def _outcomes(spark, d):
+    """Orders as cases: a customer is the judge, the status the resolution, and some have no application."""
+    return table(spark, d, "orders").selectExpr(
+        "concat('u', o_orderkey) AS ucid", "CASE o_orderkey % 4 WHEN 0 THEN 'ilnd' WHEN 1 THEN 'nmid' WHEN 2 THEN 'dcd' ELSE 'xx' END AS court", "concat('1:16-', if(o_orderkey % 10 = 0, 'cr', 'cv'), '-', o_orderkey) AS case_id",
+        "CASE o_orderkey % 6 WHEN 0 THEN 555 WHEN 1 THEN 440 WHEN 2 THEN 510 END AS nos_code", "CASE WHEN o_custkey % 17 = 0 THEN 'Void' WHEN o_custkey % 19 = 0 THEN NULL ELSE concat('J', o_custkey % 400) END AS judge_name",
+        "date_format(o_orderdate, 'M/d/yyyy') AS filedate", "if(o_orderkey % 5 > 0, named_struct('line', o_orderkey % 7, 'action', 'application'), NULL) AS application",
+        "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE named_struct('line', o_orderkey % 9, 'action', CASE o_orderstatus WHEN 'F' THEN 'grant' WHEN 'O' THEN 'deny' ELSE 'other' END) END AS resolution",
+    )
+
+
+def living_report(spark, d):
+    told = _outcomes(spark, d)
+    hand = told.where("judge_name LIKE 'J%7'").select("ucid", F.lit("grant").alias("category"))
+    return report.living_report(report.kept_cases(told, by_hand=hand), "key", ("J13",))
+
+
+def validation_table(spark, d):
+    told = _outcomes(spark, d)
+    return report.validation_table(told.where("court <> 'xx'"), told.select("ucid", F.concat(F.lit("data/"), "ucid", F.lit(".json")).alias("fpath")), "/cases/")
+
+
+QUERIES = {f.__name__: f for f in (tenured_nodes, reduced_nodes, case_updates, living_report, validation_table)}
+_OUTCOMES = """o AS (SELECT 'u' || o_orderkey AS ucid, o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'ilnd' WHEN 1 THEN 'nmid' WHEN 2 THEN 'dcd' ELSE 'xx' END AS court, CASE o_orderkey % 4 WHEN 0 THEN '7' WHEN 1 THEN '9' WHEN 2 THEN 'DC' END AS circuit,
+  CASE WHEN o_orderkey % 10 = 0 THEN 'cr' ELSE 'cv' END AS case_type, CASE WHEN o_custkey % 17 = 0 THEN 'Void' WHEN o_custkey % 19 = 0 THEN NULL ELSE 'J' || o_custkey % 400 END AS judge, CAST(year(o_orderdate) AS INTEGER) AS year,
+  CASE WHEN o_orderkey % 5 > 0 THEN 'application on line ' || o_orderkey % 7 END AS app, CASE WHEN o_orderkey % 11 > 0 THEN CASE o_orderstatus WHEN 'F' THEN 'grant' WHEN 'O' THEN 'deny' ELSE 'other' END END AS res FROM orders)"""
 ORACLES = {
+    "living_report": f"""WITH {_OUTCOMES}, c AS (
+  SELECT *, CASE WHEN judge LIKE 'J%7' THEN 'grant' ELSE coalesce(res, 'no_resolution') END AS category FROM o WHERE (app IS NOT NULL OR res IS NOT NULL) AND judge IS DISTINCT FROM 'Void'
+), r AS (SELECT *, CASE category WHEN 'grant' THEN 1 WHEN 'deny' THEN -1 ELSE 0 END AS resolution FROM c WHERE category <> 'other')
+SELECT court, sha256('key' || chr(31) || '1:16-' || case_type || '-' || k) AS case_id, CASE WHEN judge = 'J13' THEN judge ELSE sha256('key' || chr(31) || judge) END AS judge_name, CAST(resolution AS INTEGER) AS resolution, year, case_type,
+  CAST(case_type = 'cr' OR k % 6 IN (0, 2) AS INTEGER) AS nature_of_suit_prisoner, circuit,
+  CASE WHEN judge IS NOT NULL THEN count(*) OVER j END AS case_total, CASE WHEN judge IS NOT NULL THEN count(*) FILTER (resolution <> 0) OVER j END AS decision_total, CASE WHEN judge IS NOT NULL THEN count(*) FILTER (resolution = 1) OVER j / count(*) OVER j END AS decision_average,
+  CASE WHEN judge IS NOT NULL THEN count(*) OVER y END AS ycase_total, CASE WHEN judge IS NOT NULL THEN count(*) FILTER (resolution <> 0) OVER y END AS ydecision_total, CASE WHEN judge IS NOT NULL THEN count(*) FILTER (resolution = 1) OVER y / count(*) OVER y END AS ydecision_average
+FROM r WINDOW j AS (PARTITION BY judge), y AS (PARTITION BY judge, year)""",
+    "validation_table": f"""WITH {_OUTCOMES}
+SELECT ucid, '/cases/data/' || ucid || '.html' AS fpath, '/cases/data/' || ucid || '.json' AS jpath, CASE WHEN court = 'xx' THEN 'none' ELSE coalesce(app, 'none') END AS app, CASE WHEN court = 'xx' THEN 'none' ELSE coalesce(res || ' on line ' || k % 9, 'none') END AS res FROM o""",
     "tenured_nodes": """WITH seats AS (
   SELECT o_custkey AS k, CASE o_orderkey % 9 WHEN 0 THEN 'ilnd' WHEN 1 THEN 'mad' WHEN 3 THEN 'vawd' WHEN 4 THEN 'wvsd' WHEN 6 THEN 'dcd' WHEN 8 THEN 'nmid' END AS court FROM orders WHERE o_custkey % 4 < 3
 ), people AS (
