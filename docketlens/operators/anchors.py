@@ -3,14 +3,14 @@ crossover of lone surnames.  Each takes pairs ``a, b`` (a stands first) and give
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.fuzzy import similarity
-from .resolve import blocked_pairs, fold, fuzzy_edges, ordered, subset_pairs, token_edges, tokens
+from .resolve import blocked_pairs, edges_of_texts, fold, fuzzy_edges, ordered, subset_pairs, token_edges, tokens
 
 
 def bare(name: Column) -> Column:
@@ -155,7 +155,11 @@ def resolve_case(mentions: DataFrame, scope: str, name: str, case: str, least: i
     told = mentions.where(F.col(name).isNotNull() & F.col(scope).isNotNull())
     flags = [F.coalesce(F.max(F.col(header).cast("boolean")), F.lit(False)).alias(header)] if header else []
     nodes = ordered(told.groupBy(scope, name).agg(F.countDistinct(case).alias("weight"), *flags), scope, name)
-    pairs = anchor_pairs(nodes, scope, name, (header,) if header else ())
-    found = [fuzzy_edges(blocked_pairs(nodes, scope, name, least=min(least, 93)), scope, "ratio", least, 1), token_edges(subset_pairs(nodes, scope, name), scope, 2)]
-    found += [rule(pairs, scope, **({"header": header} if header and rule is fused_name_edges else {})) for rule in CASE_RULES]
+    keep = (header,) if header else ()
+    close = lambda p, s: fuzzy_edges(p, s, "ratio", least, 1)
+    anchored = [partial(rule, header=header) if rule is fused_name_edges else rule for rule in CASE_RULES]
+    # Pairs of the anchor rules hold all that a ratio of 93 can accept.
+    found = [edges_of_texts(anchor_pairs(nodes, scope, name, keep), scope, anchored + [close] * (least >= 93), keep), edges_of_texts(subset_pairs(nodes, scope, name), scope, [token_edges])]
+    if least < 93:
+        found.append(edges_of_texts(blocked_pairs(nodes, scope, name, least=least), scope, [close]))
     return fold(nodes, reduce(DataFrame.unionByName, found), scope, name, "weight")

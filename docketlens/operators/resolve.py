@@ -8,6 +8,8 @@ edges links cannot change one another, so each component of a scope is folded by
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,17 @@ from .components import components
 from .endpoints import cut
 
 
+#: Pairs of names that are worth a task of their own.
+PAIRS_A_TASK = 1000
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks for costly rows, which are few bytes and so would be put together in a few tasks."""
+    spark = rows.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return min(most, rows.count() // PAIRS_A_TASK + 1)
+
+
 def tokens(name):
     return F.filter(F.split(F.lower(name), r"[\s.]+"), lambda t: t != "")
 
@@ -59,6 +72,21 @@ def blocked_pairs(nodes: DataFrame, scope: str, name: str, keep: tuple = (), mor
     return a.join(b, on).select(F.col(f"a_{scope}").alias(scope), "a_ord", F.col(f"a_{name}").alias("a"), "b_ord", F.col(f"b_{name}").alias("b"), *[f"{s}_{c}" for c in keep for s in ("a", "b")]).distinct()
 
 
+def edges_of_texts(pairs: DataFrame, scope: str, rules, keep: tuple = ()) -> DataFrame:
+    """Edges that ``rules`` (each ``pairs, scope`` -> edges) find; every two names are compared once, however many scopes they share.
+
+    A rule looks at the names alone (and at the columns ``keep``, carried as ``a_`` and ``b_``), so it is asked about
+    distinct ones, whose verdicts then return to their pairs.  The distinct pairs are cut: else a rule's filter
+    would be pushed below the distinct and compare names at every stretch that they share.
+    """
+    texts = cut(pairs.select("a", "b", *[f"{s}_{c}" for c in keep for s in ("a", "b")]).distinct())
+    texts = cut(texts.repartition(_tasks(texts)))  # cut again, as filters are pushed below a repartition too
+    own = lambda s: F.struct(s, *[f"{s}_{c}" for c in keep]).alias(f"{s}_ord")
+    told = texts.select("*", F.lit(0).alias(scope), own("a"), own("b"))
+    found = cut(reduce(DataFrame.unionByName, [rule(told, scope) for rule in rules]).select("rule", "a_ord.*", "b_ord.*"))
+    return pairs.join(found, ["a", "b", *[f"{s}_{c}" for c in keep for s in ("a", "b")]]).select(scope, "rule", "a_ord", "b_ord")
+
+
 def subset_pairs(nodes: DataFrame, scope: str, name: str) -> DataFrame:
     """Pairs that ``token_subset`` can accept: they share a word, or one has initials and the first letters of two words in order agree
     (of the only word, if both have one)."""
@@ -160,11 +188,7 @@ RULES = [fuzzy_edges, token_edges, initialism_edges, single_word_edges, first_la
 
 
 def all_edges(pairs: DataFrame, scope: str) -> DataFrame:
-    out = None
-    for rule in RULES:
-        part = rule(pairs, scope)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return edges_of_texts(pairs, scope, RULES)
 
 
 def fold(nodes: DataFrame, edges: DataFrame, scope: str, name: str, weight: str) -> DataFrame:
@@ -205,14 +229,20 @@ def fold(nodes: DataFrame, edges: DataFrame, scope: str, name: str, weight: str)
     placed = cut(nodes.select(scope, name, "ord", weight, place("ord").alias("_p")).join(parts, F.col("_p") == F.col("node"), "left").select(scope, name, "ord", weight, F.to_json("component").alias("_c")))
     linked = edges.withColumn("_p", place("a_ord")).join(parts, F.col("_p") == F.col("node")).select(F.to_json("component").alias("_c"), "rule", "a_ord", "b_ord")
     alone = placed.where("_c IS NULL").select(scope, name, F.col(name).alias("points_to"))
-    return placed.where("_c IS NOT NULL").groupBy("_c").cogroup(linked.groupBy("_c")).applyInPandas(run, schema).unionByName(alone)
+    n = _tasks(edges)
+    people, links = placed.where("_c IS NOT NULL").repartition(n, "_c"), linked.repartition(n, "_c")
+    return people.groupBy("_c").cogroup(links.groupBy("_c")).applyInPandas(run, schema).unionByName(alone)
 
 
 def resolve(mentions: DataFrame, scope: str, name: str, case: str, least: int = 93, rules: str = "plain") -> DataFrame:
     """Names of each scope resolved by closeness, then by ordered words; ``rules="all"`` adds the others."""
     nodes = ordered(mentions.where(F.col(name).isNotNull() & F.col(scope).isNotNull()).groupBy(scope, name).agg(F.countDistinct(case).alias("weight")), scope, name)
     pairs, subsets = blocked_pairs(nodes, scope, name, least=min(least, 93)), subset_pairs(nodes, scope, name)
-    edges = all_edges(pairs.unionByName(subsets).distinct(), scope) if rules == "all" else fuzzy_edges(pairs, scope, "ratio", least, 1).unionByName(token_edges(subsets, scope, 2))
+    if rules == "all":
+        edges = all_edges(pairs.unionByName(subsets).distinct(), scope)
+    else:
+        close = edges_of_texts(pairs, scope, [lambda p, s: fuzzy_edges(p, s, "ratio", least, 1)])
+        edges = close.unionByName(edges_of_texts(subsets, scope, [token_edges]))
     return fold(nodes, edges, scope, name, "weight")
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+from docketlens.functions import fuzzy
 from docketlens.operators import anchors, resolve
 
 PARTS = "ann ruth r poe poes roe smith smyth smithe vandyke".split()
@@ -50,3 +51,24 @@ def test_rules_of_a_case(spark):
     assert got["c1", "poe"] == "ruth ann poe" and got["c2", "poe"] == "poe" and len(got) == 7
     assert got["c1", "o brien"] == got["c1", "mary obrien"] and got["c1", "jude fox"] == got["c1", "tom fox"]
     assert anchors.resolve_case(df.limit(0), "court", "name", "ucid").count() == 0
+
+
+def test_names_are_compared_once_however_many_scopes_share_them(spark, monkeypatch):
+    names = ["ruth ann poe", "ruth poe", "poes", "r poe", "mary obrien", "o brien", "ruth a poe", "brien"]
+    calls = spark.sparkContext.accumulator(0)
+    for measure, f in list(fuzzy.MEASURES.items()):
+
+        def counted(a, b, f=f):
+            calls.add(1)
+            return f(a, b)
+
+        monkeypatch.setitem(fuzzy.MEASURES, measure, counted)
+    asked = {}
+    for scopes in (1, 6):
+        df = spark.createDataFrame([(c, n, f"{c}{i}") for c in range(scopes) for i, n in enumerate(names)], "court long, name string, ucid string")
+        told = [anchors.resolve_case(df, "court", "name", "ucid"), resolve.resolve(df, "court", "name", "ucid", rules="all"), resolve.resolve(df, "court", "name", "ucid", 85)]
+        ends = [{(r.court, r.name): r.points_to for r in x.collect()} for x in told]
+        assert all(x[c, n] == x[0, n] for x in ends for c in range(scopes) for n in names) and ends[0][0, "r poe"] != "r poe"
+        asked[scopes] = calls.value
+        calls.value = 0
+    assert asked[1] == asked[6] > 0
