@@ -239,6 +239,40 @@ def merged(nodes: list[Node], edges: dict[int, dict[str, set[str]]]) -> None:
                 this.settle(found)
 
 
+def equal_names(rows: DataFrame) -> DataFrame:
+    """Rule 0 over all nodes, by built-in functions: ``rows`` with ``rep``, ``open`` and ``possible``.
+
+    Of the nodes of a name, in order, each meets all later ones.  While two or more of these have a ``nid`` or ``sjid`` it is
+    shut between them; where one has, it takes the rest.  Where none has, the same holds for those with a ``ba_mag_id``;
+    without these all later ones merge with the node.  So where it ends is told by the last two nodes with ids, and at most two
+    nodes of a name stay open, which may still meet: ``merged`` sees to that.  ``rep`` is the node that took a node
+    (itself, if none), an open node has the ids that it took, and ``possible`` (null where not shut) is a shut node's.
+    """
+    known, node = F.col("nid").isNotNull() | F.col("sjid").isNotNull(), F.col("node")
+    ids = [F.col(c).isNotNull() for c in ("nid", "ba_mag_id", "sjid")]
+    by = cut(rows.groupBy("name").agg(
+        F.min("node").alias("first"), F.sort_array(F.collect_list(F.when(known, node))).alias("ks"), F.sort_array(F.collect_list(F.when(ids[1], F.struct("node", "ba_mag_id")))).alias("bs"),
+        F.min_by(reduce(lambda x, y: x | y, ids), "node").alias("led"), F.max(F.struct("weight", (-node).alias("o"))).alias("most"),
+    ))
+    last = lambda a, i: F.try_element_at(a, F.lit(-i))
+    b = F.transform("bs", lambda x: x["node"])
+    # Case a: some later node has a nid or sjid; b: one has a ba_mag_id; else all merge.
+    a_case, b_case = F.coalesce(last(F.col("ks"), 1) > F.col("first"), F.lit(False)), F.coalesce(last(b, 1) > F.col("first"), F.lit(False))
+    by = by.select(
+        F.col("name").alias("_name"), F.when(a_case, F.col("ks")).when(b_case, b).otherwise(F.array().cast("array<long>")).alias("_ids"), "first",
+        F.when(~a_case & ~b_case, F.when(F.col("led"), F.col("first")).otherwise(-F.col("most.o"))).alias("_won"), F.when(a_case, F.col("bs")).alias("_bs"),
+    )
+    by = by.withColumns({"_taker": F.coalesce("_won", last(F.col("_ids"), 1)), "_from": F.coalesce(F.when(F.col("_won").isNull(), last(F.col("_ids"), 2)), "first")})
+    by = by.withColumn("_ba", F.get(F.filter("_bs", lambda x: (x["node"] > F.col("_from")) & (x["node"] != F.col("_taker"))), F.lit(0))["ba_mag_id"])
+    told = rows.join(by.drop("_bs", "first"), F.col("name") == F.col("_name"))
+    shut = node < F.col("_from")
+    own = shut | (node == F.col("_taker")) | (F.col("_won").isNull() & (node == F.col("_from")))
+    return told.select(
+        "node", "name", "weight", "nid", F.when(~shut & (node == F.col("_taker")), F.coalesce("ba_mag_id", "_ba")).otherwise(F.col("ba_mag_id")).alias("ba_mag_id"), "sjid",
+        F.when(own, node).otherwise(F.col("_taker")).alias("rep"), (own & ~shut).alias("open"), F.when(shut, F.filter("_ids", lambda x: x > node)).alias("possible"),
+    )
+
+
 def resolve_free(nodes: DataFrame) -> DataFrame:
     """``node, name, points_to, nid, ba_mag_id, sjid, is_ambiguous, possible`` of ``node, name, weight, nid, ba_mag_id, sjid``.
 
@@ -253,11 +287,13 @@ def resolve_free(nodes: DataFrame) -> DataFrame:
     names = cut(rows.where(fit).groupBy("name").agg(F.count("*").alias("n")))
     edges = cut(free_edges(names))
     parts = components(edges, "a", "b")
-    placed = rows.where(fit).join(parts, F.col("name") == parts["node"], "left").select(rows["node"], "name", "weight", "nid", "ba_mag_id", "sjid", F.coalesce("component", "name").alias("component"))
+    told = equal_names(rows.where(fit))
+    # Only what is open after equal names have met goes on; the others follow the node that took them.
+    placed = told.where("open").withColumnRenamed("node", "_n").join(parts, F.col("name") == parts["node"], "left").select(F.col("_n").alias("node"), "name", "weight", "nid", "ba_mag_id", "sjid", F.coalesce("component", "name").alias("component"))
     # A component of one node has nothing to merge and is not taken to Python.
     sizes = placed.groupBy("component").agg((F.count("*") > 1).alias("_many"))
     placed = cut(placed.join(sizes, "component"))
-    alone = placed.where("NOT _many").drop("component", "_many", "weight").unionByName(rows.where(~fit).drop("weight"))
+    alone = placed.where("NOT _many").drop("component", "_many", "weight")
     linked = edges.join(parts.withColumnRenamed("node", "a"), "a").select("component", "rule", "a", "b")
     schema = "node long, name string, points_to long, nid string, ba_mag_id string, sjid string, is_ambiguous boolean, possible array<long>"
 
@@ -274,5 +310,9 @@ def resolve_free(nodes: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["node", "name", "points_to", "nid", "ba_mag_id", "sjid", "is_ambiguous", "possible"])
 
     many = placed.where("_many").drop("_many").groupBy("component").cogroup(linked.groupBy("component")).applyInPandas(run, schema)
-    lone = alone.select("node", "name", F.col("node").alias("points_to"), "nid", "ba_mag_id", "sjid", F.lit(False).alias("is_ambiguous"), F.array().cast("array<long>").alias("possible"))
-    return many.unionByName(lone)
+    none = F.array().cast("array<long>")
+    lone = lambda x: x.select("node", "name", F.col("node").alias("points_to"), "nid", "ba_mag_id", "sjid", F.lit(False).alias("is_ambiguous"), none.alias("possible"))
+    tops = cut(many.unionByName(lone(alone))).withColumnRenamed("node", "_rep").drop("name")
+    open_ = told.where("possible IS NULL").select("node", "name", "rep").join(tops, F.col("rep") == F.col("_rep")).drop("rep", "_rep")
+    shut = told.where("possible IS NOT NULL").select("node", "name", F.col("node").alias("points_to"), "nid", "ba_mag_id", "sjid", F.lit(True).alias("is_ambiguous"), "possible")
+    return open_.unionByName(shut).unionByName(lone(rows.where(~fit)))

@@ -236,3 +236,25 @@ def test_ids_refuse_and_doubt_shuts(spark):
     assert got[4].ba_mag_id == "B1" and got[6].is_ambiguous and got[6].possible == [7, 8] and got[6].points_to == 6
     assert [got[i].points_to for i in (9, 10, 11, 12, 13)] == [9, 10, 11, 12, 13] and got[11].nid == "N9" and got[11].ba_mag_id is None
     assert free_scope.resolve_free(df.limit(0)).count() == 0
+
+
+def test_equal_names_meet_as_in_the_loop_and_leave_two_open(spark):
+    rnd, rows, n = random.Random(11), [], 0
+    for name in range(160):
+        p = rnd.choice((0, 0.1, 0.4, 0.8))
+        for _ in range(rnd.choice((1, 2, 3, 5, 9))):
+            ids = [rnd.choice((f"{c}1", f"{c}2")) if rnd.random() < p * q else None for c, q in (("N", rnd.choice((0, 1))), ("B", 1), ("S", rnd.choice((0, 1))))]
+            rows.append((n, f"ann poe{name}", rnd.randint(0, 3), *ids))
+            n += rnd.randint(1, 3)
+    own = [free_scope.Node(*r) for r in rows]
+    free_scope.merged(own, {})
+    want = {o.node: (o.top.node, o.top.nid, o.top.ba_mag_id, o.top.sjid, o.ambiguous, [p.node for p in o.possible]) for o in own}
+    rnd.shuffle(rows)
+    told = free_scope.equal_names(spark.createDataFrame(rows, "node long, name string, weight long, nid string, ba_mag_id string, sjid string")).collect()
+    left = sorted([r for r in told if r.open], key=lambda r: r.node)
+    assert max(sum(r.name == x for r in left) for x in {r.name for r in told}) == 2 and len(told) == len(rows)
+    nodes = [free_scope.Node(r.node, r.name, r.weight, r.nid, r.ba_mag_id, r.sjid) for r in left]
+    free_scope.merged(nodes, {})
+    top = {o.node: (o.top.node, o.top.nid, o.top.ba_mag_id, o.top.sjid, False, []) for o in nodes}
+    got = {r.node: top[r.rep] if r.possible is None else (r.node, r.nid, r.ba_mag_id, r.sjid, True, list(r.possible)) for r in told}
+    assert got == want and sum(r.possible is not None for r in told) > 50
