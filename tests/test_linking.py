@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from docketlens.functions.fuzzy import partial_ratio
+from docketlens.functions import fuzzy
 from docketlens.operators import crosscheck, endpoints
 
 
@@ -68,3 +69,22 @@ def test_final_crosscheck_matches_a_plain_loop(spark):
     assert sum(a != (str(b[0]) if b[0] is not None else None, *b[1:]) for a, b in zip(sorted(want, key=str), sorted(rows, key=str), strict=True)) > 0
     assert sorted((tuple(r) for r in got.select("case", "raw", "final", "sjid").collect()), key=str) == want
     assert crosscheck.final_crosscheck(df.limit(0), "case", "raw", "final", "sjid").count() == 0
+
+
+def test_crosscheck_measures_names_once_and_large_cases_by_keys(spark, monkeypatch):
+    one = [("ruth poe", "SJ1"), ("ann smith", "SJ2"), ("poe", "Inconclusive"), ("smith", "Inconclusive"), ("roe", "Inconclusive")]
+    calls = spark.sparkContext.accumulator(0)
+    measure = fuzzy.MEASURES["partial_ratio"]
+
+    def counted(a, b):
+        calls.add(1)
+        return measure(a, b)
+
+    monkeypatch.setitem(fuzzy.MEASURES, "partial_ratio", counted)
+    df = spark.createDataFrame([(c, n, n, s) for c in range(40) for n, s in one], "case long, raw string, final string, sjid string")
+    want = {(c, *r) for c in range(40) for r in (("ruth poe", "ruth poe", "SJ1"), ("ann smith", "ann smith", "SJ2"), ("poe", "ruth poe", "SJ1"), ("smith", "ann smith", "SJ2"), ("roe", "roe", "Inconclusive"))}
+    for few in (crosscheck.FEW, 0):
+        monkeypatch.setattr(crosscheck, "FEW", few)
+        calls.value = 0
+        assert {tuple(r) for r in crosscheck.final_crosscheck(df, "case", "raw", "final", "sjid").collect()} == want
+        assert 0 < calls.value <= 8  # two pairs of names, by two forms, whatever the number of cases
