@@ -105,6 +105,17 @@ STATUS_GROUPS = {
         "reduced (payment|filing fee) procedure",
     ],
 }
+# For each status pattern words of which any match holds at least one, in the patterns' order.
+_STATUS_WORDS = {
+    "application": [["to proceed "]],
+    "grant": [["grant"], ["grant"], ["allow"], ["allow"], ["grant"], ["grant"], ["may proceed"], ["waive filing fee grant"]],
+    "deny": [["den"], ["den"], ["den"], ["den"], ["den"], ["waive filing fee den"], ["ordered to pay "]],
+    "other": [
+        ["moot"], ["as moot"], [" in part"], ["order to consolidate cases"], ["case was assigned incorrectly"], ["transfer", "remand"], ["no longer pending in this court"], ["dismissal"], ["dismiss"],
+        ["good faith"], ["pauperis"], ["has not"], ["reduced "],
+    ],
+}
+STATUS_WORDS = {pattern: words for action, group in STATUS_GROUPS.items() for pattern, words in zip(group, _STATUS_WORDS[action], strict=True)}
 # How a line that opens an appeal begins, and how later lines name its number.
 APPEAL_OPENINGS = APPEAL_PHRASES
 APPEAL_NUMBERS = [r"(\d+)[.)\]]? ?notice ?of ?appeal", r"notice ?of ?appeal ?[(\[]? ?(?:no ?\.?|#)? ?(\d+)[.)\] ]", r"(?:dkt|docket) ?(?:no ?\.?|#)? ?(\d+)[.)\] ]"]

@@ -5,6 +5,8 @@ A status is ``case, idx, action, s_start, s_end, seq``: ``seq`` is its place in
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,19 +22,27 @@ def status_spans(lines: DataFrame, case: str, index: str, text: str, groups: dic
     Sentences are searched in lower case with single blanks.  A span is the place in that form, moved by
     where the line first has the sentence, so it is exact unless the sentence has longer gaps.
     """
-    parts = lines.select(case, index, F.col(text).alias("_t"), F.posexplode(sentences(F.col(text))).alias("_n", "_s")).where("_s <> ''")
+    parts = lines.select(case, index, F.col(text).alias("_t"), F.posexplode_outer(sentences(F.col(text))).alias("_n", "_s")).where("_s <> ''")
     low = F.trim(F.regexp_replace(F.lower("_s"), r"\s+", " "))
-    parts = parts.withColumns({"_low": low, "_at": F.instr("_t", F.col("_s")) - 1}).where(~contains_any(F.col("_s"), exclusions or P.OUTCOME_EXCLUSIONS))
-    found, k = [], 0
-    for action, group in (groups or P.STATUS_GROUPS).items():
-        for pattern in group:
-            began = F.regexp_instr("_low", F.lit(f"({pattern})"))
-            length = F.length(F.regexp_extract("_low", f"({pattern})", 1))
-            found.append(F.struct(F.lit(k).alias("k"), F.lit(action).alias("action"), (F.col("_at") + began - 1).alias("s_start"), (F.col("_at") + began - 1 + length).alias("s_end"), began.alias("hit")))
-            k += 1
-    hits = parts.withColumn("_h", F.explode(F.filter(F.array(*found), lambda h: h["hit"] > 0)))
-    seq = F.row_number().over(Window.partitionBy(case).orderBy(index, "_n", "_h.k"))
-    return hits.select(case, index, "_h.action", "_h.s_start", "_h.s_end", seq.alias("seq"))
+    parts = parts.where(~contains_any(F.col("_s"), exclusions or P.OUTCOME_EXCLUSIONS)).withColumn("_low", low)
+    tried = [(action, pattern) for action, group in (groups or P.STATUS_GROUPS).items() for pattern in group]
+    # A pattern is searched once a sentence, and only where the sentence has a word that it needs; how long its match is, is asked of matches only.
+    # Of an outer explosion Spark infers no filter on the array, which would search everything again, on texts not yet prepared; the array is never empty.
+    places = parts.withColumn("_places", F.array(*[_place(F.col("_low"), pattern) for _, pattern in tried]))
+    hits = places.select(case, index, "_t", "_s", "_low", "_n", F.posexplode_outer("_places").alias("_k", "_began")).where("_began > 0")
+    action = F.element_at(F.array(*[F.lit(action) for action, _ in tried]), F.col("_k") + 1)
+    length = F.length(reduce(lambda rest, k: rest.when(F.col("_k") == k, F.regexp_extract("_low", f"({tried[k][1]})", 1)), range(1, len(tried)), F.when(F.col("_k") == 0, F.regexp_extract("_low", f"({tried[0][1]})", 1))))
+    start = F.instr("_t", F.col("_s")) - 1 + F.col("_began") - 1
+    hits = hits.select(case, index, "_n", "_k", action.alias("action"), start.alias("s_start"), length.alias("_length"))
+    seq = F.row_number().over(Window.partitionBy(case).orderBy(index, "_n", "_k"))
+    return hits.select(case, index, "action", "s_start", (F.col("s_start") + F.col("_length")).alias("s_end"), seq.alias("seq"))
+
+
+def _place(low: Column, pattern: str) -> Column:
+    """Where a pattern is first found, from 1; 0 if it is not."""
+    found = F.regexp_instr(low, F.lit(f"({pattern})"))
+    words = P.STATUS_WORDS.get(pattern)
+    return F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), found).otherwise(0) if words else found
 
 
 def best_application(statuses: DataFrame, case: str, index: str, seq: str, kind: str, text: str) -> DataFrame:
