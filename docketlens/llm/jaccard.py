@@ -49,6 +49,8 @@ LEADER_ROUNDS = 4
 LONG_PAIRS = 16
 #: Sets of a component, and of a list, in a block; two blocks meet in a task.
 LINK_BLOCK, LIST_BLOCK = 256, 1024
+#: Bytes of texts that are hashed together.
+GROUP_BYTES = 1 << 16
 #: Ids (8 bytes each) up to which a list of documents is broadcast; beyond, it is joined.
 BROADCAST_IDS = 1_000_000
 
@@ -63,6 +65,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _M3)
 _STEP = [_mix(np.array([k + 1], np.uint64) * _M2)[0] | np.uint64(1) for k in range(64)]
+#: Bytes with A-Z in lower case and every blank as a space.
+_LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ROOT = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -78,36 +82,70 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.empty(0, np.uint64)
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and a 64-bit hash of it, A-Z lower-cased; the bytes begin and end with a blank."""
+    data = np.frombuffer(data.translate(_LOWER), np.uint8)
+    blank = data == 32
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edge[0::2], edge[1::2]
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
-    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M3)
+    np.cumsum(_BYTE.take(data) * up[:-1], out=total[1:])
+    return starts, _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M3)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a whole text."""
-    words = word_hashes(text) if text else np.empty(0, np.uint64)
+def _hashed(sums: np.ndarray, width: int) -> np.ndarray:
+    return _mix(sums + np.uint64((width * int(_M3)) & 0xFFFFFFFFFFFFFFFF))
+
+
+def _group_sets(texts: list[bytes]) -> list[np.ndarray]:
+    starts, words = word_hashes(b" ".join([b"", *texts, b""]))
     n = len(words)
-    if n == 0:
-        return words
-    width = min(WORDS, n)
-    sums = np.zeros(n - width + 1, np.uint64)
-    for j in range(width):
-        sums += _mix(words[j : n - width + 1 + j] * _STEP[j])
-    return np.unique(_mix(sums + np.uint64((width * int(_M3)) & 0xFFFFFFFFFFFFFFFF)))
+    sums = words[: max(n - WORDS + 1, 0)] * _STEP[0]
+    for j in range(1, WORDS if len(sums) else 1):
+        sums += words[j : n - WORDS + 1 + j] * _STEP[j]
+    hashes, out = _hashed(sums, WORDS), []
+    # A text's windows are those that begin in it and end in it.
+    bounds = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)])).tolist()
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        k = b - a
+        if k >= WORDS:
+            s = np.sort(hashes[a : b - WORDS + 1])
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            out.append(s[new])
+        elif k:
+            out.append(_hashed((words[a:b] * np.array(_STEP[:k])).sum(keepdims=True, dtype=np.uint64), k))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
+def shingle_sets(texts: list[str | bytes | None]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each whole text (bytes: UTF-8); short texts are worked on together."""
+    out, held, size = [], [], 0
+    for text in texts:
+        data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+        if held and size + len(data) > GROUP_BYTES:
+            out += _group_sets(held)
+            held, size = [], 0
+        held.append(data)
+        size += len(data)
+    return out + _group_sets(held) if held else out
+
+
+def shingles(text: str | bytes | None) -> np.ndarray:
+    """The sorted distinct shingle hashes of a whole text."""
+    return shingle_sets([text])[0]
+
+
+def _texts(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums of a set; equal sets agree."""
-    return tuple(int(x) for x in np.array([_mix(s * _M2).sum(dtype=np.uint64), _mix(s + _M3).sum(dtype=np.uint64)]).view(np.int64))
+    return tuple(int(x) for x in np.array([s.sum(dtype=np.uint64), _mix(s + _M3).sum(dtype=np.uint64)]).view(np.int64))
 
 
 def prefix_length(n):
@@ -130,8 +168,7 @@ def _survey(batches):
     sketch = np.zeros(SKETCH, np.uint32)
     for batch in batches:
         n, f1, f2, held = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text)
+        for s in shingle_sets(_texts(batch.column(1))):
             a, b = fingerprint(s)
             n.append(len(s))
             f1.append(a)
@@ -193,8 +230,7 @@ def classes_with_prefix(docs: DataFrame, counts) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.binary())])
         for batch in batches:
             rows = {k: [] for k in schema.names}
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text)
+            for key, s in zip(batch.column(0).to_pylist(), shingle_sets(_texts(batch.column(1))), strict=True):
                 if len(s):
                     first = s[np.lexsort((s, freq[bucket(s)]))[: prefix_length(len(s))]]
                     for k, v in zip(schema.names, (key, len(s), *fingerprint(s), first.tobytes()), strict=True):
@@ -277,7 +313,7 @@ def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["rep", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(_texts(batch.column(1)))], pa.binary())], names=["rep", "s"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, F.col("rep") == F.col("_rep"), "left_semi")
     return stored(some.mapInArrow(sets, "rep long, s binary"), "jaccard-sets").dropDuplicates(["rep"])

@@ -333,6 +333,24 @@ def test_every_link_is_found_and_counted(spark, monkeypatch):
     assert counted == {a: (*whole[a], sum(a != b and similar(sets[a], sets[b]) for b in sets)) for a in sets}
 
 
+def test_shingle_sets_of_texts_hashed_together(monkeypatch):
+    rnd = np.random.default_rng(4)
+    texts = [None, "", " \t\v", "One", "one two THREE", "a b c d e", "e " * 40, "\u00c4 \u00e4 \ud800 x \u00a0 y"]
+    texts += ["".join(rnd.choice(list("abAB  \n\f\u00e9"), n)) for n in rnd.integers(0, 400, 300)] + ["long text " * 9000]
+    calls, real = [], jaccard.word_hashes
+    monkeypatch.setattr(jaccard, "word_hashes", lambda data: calls.append(1) or real(data))
+    together = jaccard.shingle_sets(texts)
+    assert len(calls) < 10
+    seen = {}
+    for text, got in zip(texts, together, strict=True):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        k = min(len(words), 5)
+        want = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+        assert len(got) == len(want) and np.array_equal(got, jaccard.shingles(text))
+        assert seen.setdefault(frozenset(want), got.tobytes()) == got.tobytes()
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == odd.count() and {r.component_id for r in got if r.doc_id in (0, 1, 2)} == {0}
