@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What tells mentions of a case apart.
 KEYS = ("judge_enum", "party_enum", "docket_index", "full_span_start")
@@ -23,11 +24,14 @@ def merged(old: DataFrame, updates: DataFrame, case: str = "ucid", keys: tuple =
     without a case are no updates.  Running it again on its own result changes nothing, as long as new cases' keys are unique.
     """
     told = updates.select(*old.columns).where(F.col(case).isNotNull())
-    on = (case, *keys)
-    one = told.groupBy(*[F.col(k).alias(f"_{k}") for k in on]).agg(F.max(F.struct(*old.columns)).alias("_u"))
-    kept = old.join(one, _equal(old, one, on), "left").select(*[F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(old[c]).alias(c) for c in old.columns])
-    known = old.select(F.col(case).alias("_case")).distinct()
-    return kept.unionByName(told.join(known, F.col(case) == F.col("_case"), "left_anti"))
+    # Both meet in one shuffle by case; old mentions without a case stay as they are, where they are.
+    both = old.where(F.col(case).isNotNull()).withColumn("_old", F.lit(True)).unionByName(told.withColumn("_old", F.lit(False)))
+    both = both.repartition(case).sortWithinPartitions(case, *keys)
+    both = both.withColumn("_known", F.bool_or("_old").over(Window.partitionBy(case)))
+    both = both.withColumn("_u", F.max(F.when(~F.col("_old"), F.struct(*old.columns))).over(Window.partitionBy(case, *keys))).where("_old OR NOT _known")
+    now = F.col("_old") & F.col("_u").isNotNull()
+    kept = both.select(*[F.when(now, F.col(f"_u.{c}")).otherwise(F.col(c)).alias(c) for c in old.columns])
+    return kept.unionByName(old.where(F.col(case).isNull()))
 
 
 def _done(spark: SparkSession, path: str) -> bool:
@@ -56,7 +60,8 @@ def apply_batch(updates: DataFrame, batch: int, path: str, staging: str, keys: t
     if not _done(spark, staged):
         touched = updates.where("ucid IS NOT NULL").select(*[F.col(c).alias(f"_{c}") for c in PARTS]).distinct()
         table = read_cases(spark, path, schema)
-        merged(table.join(touched, _equal(table, touched, PARTS), "left_semi"), updates, keys=keys).write.mode("overwrite").parquet(staged)
+        # One row a part of the table, however many mentions there are.
+        merged(table.join(F.broadcast(touched), _equal(table, touched, PARTS), "left_semi"), updates, keys=keys).write.mode("overwrite").parquet(staged)
     write_cases(spark.read.schema(schema).parquet(staged), path, "overwrite")
 
 

@@ -34,6 +34,14 @@ def test_merged_is_the_rule_and_settles(spark):
     assert updates.merged(old.limit(0), new).count() == 6
 
 
+def test_old_and_new_meet_in_one_shuffle(spark, tmp_path):
+    updates.write_cases(spark.createDataFrame(OLD, SCHEMA), f"{tmp_path}/cases")
+    both = updates.merged(updates.read_cases(spark, f"{tmp_path}/cases", SCHEMA), spark.createDataFrame(NEW, SCHEMA))
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    nameless = spark.createDataFrame([("a", "01", None, 1, None, 5, 7, "SJ1")] * 2, SCHEMA)
+    assert updates.merged(nameless, nameless).collect() == nameless.collect()
+
+
 def test_a_batch_that_comes_again_counts_once(spark, tmp_path, monkeypatch):
     path, staging = f"{tmp_path}/cases", f"{tmp_path}/staging"
     updates.write_cases(spark.createDataFrame(OLD, SCHEMA), path)
